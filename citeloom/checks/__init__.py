@@ -28,10 +28,10 @@ class Registry(dict):
 
 
 def all_checks() -> dict[str, Check]:
-    from citeloom.checks import retrieval
+    from citeloom.checks import discovery, retrieval, scalars
 
     merged: dict[str, Check] = {}
-    for module in (retrieval,):
+    for module in (retrieval, scalars, discovery):
         for name, check in module.CHECKS.items():
             assert name not in merged, name
             merged[name] = check
