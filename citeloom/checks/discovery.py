@@ -154,7 +154,7 @@ def mined_pages(spark, sf_dir):
 
 @CHECKS.query(I.with_sql(**PAGE_CTES) + """select case kind when 'pdf' then 'url:' || sha256(value) else 'axv:' || value end as doc_id,
     case kind when 'arxiv' then value end as arxiv_id, case kind when 'pdf' then value else 'https://arxiv.org/pdf/' || value || '.pdf' end as pdf_url,
-    case kind when 'pdf' then 0.6 else 1.0 end as resolution_confidence,
+    case kind when 'pdf' then 0.6::double else 1.0::double end as resolution_confidence,
     case kind when 'pdf' then 'scraped_pdf' else 'visionbib_page' end as source_kind
     from page_links where kind in ('pdf', 'arxiv')""")
 def resolutions_from_pages(spark, sf_dir):
