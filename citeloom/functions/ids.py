@@ -19,15 +19,16 @@ PDF_URL_PREFIX = "https://arxiv.org/pdf/"
 ABS_URL_PREFIX = "https://arxiv.org/abs/"
 
 
-def _paper_token(raw: ColumnLike) -> Column:
-    """The id part of an id, prefixed id or URL, without '.pdf', still with its version."""
+def _paper_token(raw: ColumnLike, after: str = "") -> Column:
+    """The id part of an id, prefixed id or URL, without '.pdf', still with its version.
+
+    A chain of replacements that each apply to their own form only, so the input is named once and the
+    generated code stays small however deep these functions are nested. ``after`` may follow the id in a URL.
+    """
     value = F.regexp_replace(strip(raw), "(?i)^arxiv:", "")
-    path = F.regexp_extract(value, r"^https?://[^/?#]*([^?#]*)", 1)
-    in_url = F.when(path.rlike("^/(?:abs|pdf)/"), F.regexp_replace(path, "^/(?:abs|pdf)/", "")).otherwise(
-        F.regexp_replace(path, "^/+|/+$", "")
-    )
-    token = F.when(value.rlike("^https?://"), in_url).otherwise(value)
-    return F.regexp_replace(token, r"\.pdf$", "")
+    value = F.regexp_replace(value, rf"(?s)^https?://[^/?#]*/(?:abs|pdf)/([^?#]*?){after}(?:[?#].*)?$", "$1")
+    value = F.regexp_replace(value, r"(?s)^https?://[^/?#]*/*([^?#]*?)/*(?:[?#].*)?$", "$1")
+    return F.regexp_replace(value, r"\.pdf$", "")
 
 
 def normalize_paper_id(raw: ColumnLike) -> Column:
@@ -37,9 +38,7 @@ def normalize_paper_id(raw: ColumnLike) -> Column:
 
 def paper_version(raw: ColumnLike) -> Column:
     """Version suffix 'vN', or null."""
-    token = _paper_token(raw)
-    in_url = F.when(strip(raw).rlike("^(?i:arxiv:)?https?://"), F.regexp_replace(token, "/+$", "")).otherwise(token)
-    return F.nullif(F.regexp_extract(in_url, r"(v\d+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_paper_token(raw, after="/*"), r"(v\d+)$", 1), F.lit(""))
 
 
 def canonical_paper_id(raw: ColumnLike) -> Column:

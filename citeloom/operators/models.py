@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +17,23 @@ Generator = Callable[..., str]
 
 
 def hashing_embedding(text: ColumnLike, dimension: int = 64) -> Column:
-    """Default embedder: signed token hashing, scaled to length one. Deterministic and free of Python.
+    """Default embedder: signed token counts by hash slot, scaled to length one. Deterministic, needs no model.
 
-    Each token adds one to the slot of its hash, the vector is the slot counts.
+    Tokens are cut and hashed in the JVM; only slot numbers travel to the array step.
     """
-    slots = F.transform(index_tokens(col(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dimension)))
-    signed = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: (
-            F.size(F.filter(slots, lambda s: s == i)) - F.size(F.filter(slots, lambda s: s == i + dimension))
-        ).cast("double"),
-    )
-    norm = F.sqrt(F.aggregate(signed, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(signed, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    slots = F.transform(index_tokens(col(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dimension)).cast("int"))
+
+    @F.pandas_udf("array<float>")
+    def count(batch: pd.Series) -> pd.Series:
+        lengths = batch.map(len).to_numpy()
+        rows = np.repeat(np.arange(len(batch)), lengths)
+        flat = np.concatenate([*batch.to_numpy(), np.empty(0)]).astype(np.int64)
+        sign = np.where(flat < dimension, 1.0, -1.0)
+        sums = np.bincount(rows * dimension + flat % dimension, sign, len(batch) * dimension).reshape(-1, dimension)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0).astype(np.float32)))
+
+    return count(slots)
 
 
 def embed(df: DataFrame, text: str, output: str, embedder: Embedder | None = None, batch_size: int = DEFAULTS.embed_batch_size) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -196,27 +199,26 @@ def _post_check(enable_decision: bool) -> Column:
     )
 
 
-@F.pandas_udf("string")
-def first_json_object(replies):
-    """First balanced {...} of a model reply; braces inside strings do not count."""
-    import json
+def first_json_object(reply: ColumnLike) -> Column:
+    """First {...} of a model reply when it is a complete JSON object; braces inside strings do not count."""
 
-    def cut(reply):
-        start = -1 if reply is None else reply.find("{")
-        if start < 0:
-            return None
+    def of(text: str | None) -> str | None:
+        start = -1 if text is None else text.find("{")
         try:
-            _, end = json.JSONDecoder().raw_decode(reply, start)
-            return reply[start:end]
+            return None if start < 0 else text[start : json.JSONDecoder().raw_decode(text, start)[1]]
         except ValueError:
             return None
 
-    return replies.map(cut)
+    @F.pandas_udf("string")
+    def cut(replies: pd.Series) -> pd.Series:
+        return replies.map(of)
+
+    return cut(col(reply))
 
 
 def parse_model_verdict(reply: ColumnLike) -> Column:
     """STRUCT<mode, k, max_per_doc, notes, targets> of a model reply, or null when it breaks the contract."""
-    parsed = F.from_json(first_json_object(col(reply)), ROUTER_REPLY)
+    parsed = F.from_json(first_json_object(reply), ROUTER_REPLY)
     known = parsed["mode"].isin(*MODES, "single")
     k, quota = F.coalesce(parsed["k"], F.lit(10)), F.coalesce(parsed["max_per_doc"], F.lit(4))
     targets = F.coalesce(parsed["targets"], F.array().cast("array<string>"))

@@ -2,59 +2,49 @@
 
 from pyspark.sql import types as T
 
+S, L, I, D, B = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 
-def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
 
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-REFERENCES = _table(
-    "ref_type STRING, normalized_value STRING, source_kind STRING, source_ref STRING, discovered_at_unix LONG"
-)
+
+REFERENCES = _table(ref_type=S, normalized_value=S, source_kind=S, source_ref=S, discovered_at_unix=L)
 RESOLUTIONS = _table(
-    "doc_id STRING, arxiv_id STRING, arxiv_id_with_version STRING, doi STRING, pdf_url STRING,"
-    " resolution_confidence DOUBLE, source_kind STRING, resolved_at_unix LONG"
+    doc_id=S, arxiv_id=S, arxiv_id_with_version=S, doi=S, pdf_url=S, resolution_confidence=D, source_kind=S,
+    resolved_at_unix=L,
 )
 DOCUMENTS = _table(
-    "doc_id STRING, arxiv_id STRING, arxiv_id_with_version STRING, doi STRING, pdf_url STRING, status STRING,"
-    " resolution_confidence DOUBLE, provenance_kind STRING, best_source_kind STRING, created_at LONG, updated_at LONG"
-)
-DOCUMENT_SOURCES = _table(
-    "doc_id STRING, source_kind STRING, source_ref STRING, first_seen LONG, last_seen LONG"
+    doc_id=S, arxiv_id=S, arxiv_id_with_version=S, doi=S, pdf_url=S, status=S, resolution_confidence=D,
+    provenance_kind=S, best_source_kind=S, created_at=L, updated_at=L,
 )
+DOCUMENT_SOURCES = _table(doc_id=S, source_kind=S, source_ref=S, first_seen=L, last_seen=L)
 CANDIDATES = _table(
-    "doc_id STRING, status STRING, best_pdf_url STRING, priority_score DOUBLE, retry_count INT,"
-    " next_retry_unix LONG, last_error STRING, updated_at LONG"
+    doc_id=S, status=S, best_pdf_url=S, priority_score=D, retry_count=I, next_retry_unix=L, last_error=S, updated_at=L
 )
 PAPERS = _table(
-    "arxiv_id STRING, doc_id STRING, arxiv_id_with_version STRING, version STRING, title STRING, summary STRING,"
-    " published STRING, updated STRING, authors_json STRING, pdf_url STRING, abs_url STRING, pdf_path STRING,"
-    " tei_path STRING, provenance_kind STRING, content_sha256 STRING"
-)
-CHUNKS = _table(
-    "chunk_id STRING, doc_id STRING, arxiv_id STRING, title STRING, section_title STRING, chunk_index INT, text STRING"
+    arxiv_id=S, doc_id=S, arxiv_id_with_version=S, version=S, title=S, summary=S, published=S, updated=S, authors_json=S,
+    pdf_url=S, abs_url=S, pdf_path=S, tei_path=S, provenance_kind=S, content_sha256=S,
 )
+CHUNKS = _table(chunk_id=S, doc_id=S, arxiv_id=S, title=S, section_title=S, chunk_index=I, text=S)
 METRICS = _table(
-    "arxiv_id STRING, citation_count INT, year INT, venue STRING, publication_types STRING,"
-    " is_peer_reviewed INT, score DOUBLE, tier INT, updated_at LONG"
+    arxiv_id=S, citation_count=I, year=I, venue=S, publication_types=S, is_peer_reviewed=I, score=D, tier=I, updated_at=L
 )
-VECTORS = _table("chunk_id STRING, embedding ARRAY<FLOAT>")
+VECTORS = _table(chunk_id=S, embedding=T.ArrayType(T.FloatType()))
 PAPER_METADATA = _table(
-    "arxiv_id STRING, arxiv_id_with_version STRING, version STRING, doc_id STRING, title STRING, summary STRING,"
-    " published STRING, updated STRING, authors ARRAY<STRING>, pdf_url STRING, abs_url STRING"
-)
-METADATA_PAYLOAD = _table(
-    "citationCount INT, year INT, venue STRING, publicationTypes ARRAY<STRING>"
-)
-_LOCATION = "STRUCT<pdf_url: STRING, landing_page_url: STRING, license: STRING, is_oa: BOOLEAN>"
-WORK = _table(
-    f"id STRING, ids STRUCT<arxiv: STRING>, best_oa_location {_LOCATION}, primary_location {_LOCATION},"
-    f" locations ARRAY<{_LOCATION}>, _status INT"
+    arxiv_id=S, arxiv_id_with_version=S, version=S, doc_id=S, title=S, summary=S, published=S, updated=S,
+    authors=T.ArrayType(S), pdf_url=S, abs_url=S,
+)
+METADATA_PAYLOAD = _table(citationCount=I, year=I, venue=S, publicationTypes=T.ArrayType(S))
+_LOCATION = _table(pdf_url=S, landing_page_url=S, license=S, is_oa=B)
+WORK = T.StructType(
+    [
+        T.StructField("id", S), T.StructField("ids", _table(arxiv=S)), T.StructField("best_oa_location", _LOCATION),
+        T.StructField("primary_location", _LOCATION), T.StructField("locations", T.ArrayType(_LOCATION)),
+        T.StructField("_status", I),
+    ]
 )
 EVAL_CASES = _table(
-    "case_no INT, question STRING, must_include_arxiv_ids ARRAY<STRING>, must_include_tokens ARRAY<STRING>,"
-    " min_sources INT"
-)
-ROUTER_REPLY = _table(
-    "mode STRING, targets ARRAY<STRING>, k INT, max_per_doc INT, require_cross_doc BOOLEAN, notes STRING"
+    case_no=I, question=S, must_include_arxiv_ids=T.ArrayType(S), must_include_tokens=T.ArrayType(S), min_sources=I
 )
-SECTIONS = T.ArrayType(_table("title STRING, text STRING"))
+ROUTER_REPLY = _table(mode=S, targets=T.ArrayType(S), k=I, max_per_doc=I, require_cross_doc=B, notes=S)
