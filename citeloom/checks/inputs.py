@@ -16,8 +16,17 @@ from citeloom.session import materialize
 SECTION_TITLES = ("Introduction", "Method", "Experiments", "Results", "Conclusion")
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text tables of a few splits are spread over all cores, because text work is heavy per
+    byte and one row group is one task; a table with enough splits is read as it lies."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and rows.rdd.getNumPartitions() < 2 * cores:
+        return rows.repartition(2 * cores)
+    return rows
 
 
 def with_sql(**ctes: str) -> str:
