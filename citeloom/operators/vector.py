@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +111,10 @@ def _against_broadcast(head: pa.Table | None, corpus: DataFrame, k: int, schema:
     return corpus.mapInArrow(score, schema)
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _against_blocks(
     queries: DataFrame, corpus: DataFrame, k: int, room: int, vectors_per_bucket: int, schema: str
 ) -> DataFrame:
@@ -119,21 +122,23 @@ def _against_blocks(
     n_blocks = max(1, math.ceil(2 * queries.count() / room))
     n_buckets = max(1, math.ceil(corpus.count() / vectors_per_bucket))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "bucket", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).cast("long")
+        "bucket", F.explode(_numbers(n_buckets))
     )
     buckets = corpus.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(n_buckets))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")
+        "block", F.explode(_numbers(n_blocks))
     )
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "chunk_id": [], "score": []})
-        query_matrix = _unit_rows(np.stack(left["vector"].to_numpy()).astype(np.float64))
-        best, step = None, block_rows(len(left))
-        for at in range(0, len(right), step):
-            part = right.iloc[at : at + step]
-            matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            best = merge_best(best, _score_block(query_matrix, matrix, part["chunk_id"].to_numpy(dtype=object), k), k)
-        return hits_batch(left["query_id"].to_numpy(), best).to_pandas()
-
-    return blocks.groupBy("block", "bucket").cogroup(buckets.groupBy("block", "bucket")).applyInPandas(score, schema)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        query_ids = left.column("query_id").to_pandas().to_numpy()
+        best = [(np.empty(0), np.empty(0, dtype=object))] * len(query_ids)
+        if len(query_ids):
+            query_matrix, step = _unit_rows(_matrix(left.column("vector"))), block_rows(len(query_ids))
+            for at in range(0, right.num_rows, step):
+                part = right.slice(at, step)
+                ids = part.column("chunk_id").to_pandas().to_numpy(dtype=object)
+                best = merge_best(best, _score_block(query_matrix, _matrix(part.column("embedding")), ids, k), k)
+        hits = pa.schema([("query_id", left.schema.field("query_id").type), ("chunk_id", pa.string()), ("score", pa.float64())])
+        found = sum(len(ids) for _, ids in best)
+        return pa.Table.from_batches([hits_batch(query_ids, best)]).cast(hits) if found else hits.empty_table()
+
+    return blocks.groupBy("block", "bucket").cogroup(buckets.groupBy("block", "bucket")).applyInArrow(score, schema)

@@ -80,17 +80,20 @@ def candidate_lifecycle(results: DataFrame, settings: Settings = DEFAULTS, timeo
             state.remove()
             yield pd.DataFrame([(key[0], "retry_due", count, due, None)], columns=list(columns)).astype(columns)
             return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        failing = rows["status"].isin(["blocked", "failed"])
-        count += int(failing.sum())
-        last = rows.iloc[-1]
-        status, due = last["status"], None
+        last_seq, at = None, None
+        # One frame at a time: a document with many attempts never sits in memory as a whole.
+        for rows in frames:
+            count += int(rows["status"].isin(["blocked", "failed"]).sum())
+            last = rows.loc[rows["seq"].idxmax()]
+            if last_seq is None or last["seq"] > last_seq:
+                last_seq, status, at = int(last["seq"]), last["status"], int(last["at_unix"])
+        due = None
         if status in ("blocked", "failed"):
-            status, due = ("failed", None) if count >= retries else ("blocked", int(last["at_unix"]) + wait)
+            status, due = ("failed", None) if count >= retries else ("blocked", at + wait)
         state.update((count, status, due))
         if timeout_ms is not None and status == "blocked":
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame([(key[0], status, count, due, int(last["seq"]))], columns=list(columns)).astype(columns)
+        yield pd.DataFrame([(key[0], status, count, due, last_seq)], columns=list(columns)).astype(columns)
 
     columns = {"doc_id": "object", "status": "object", "retry_count": "int32", "next_retry_unix": "Int64", "last_seq": "Int64"}
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
