@@ -41,7 +41,7 @@ MENTION_CTES = {
 
 def reference_texts(spark, sf_dir):
     """Documents as READMEs of their source, with mentions in front of the text."""
-    return I.table(spark, sf_dir, "documents").select(
+    return I.text_table(spark, sf_dir, "documents").select(
         F.col("source").alias("source_repo"), F.concat(F.lit("https://github.com/"), "source").alias("source_url"),
         F.col("doc_id").cast("string").alias("found_in"), F.expr(I.REF_TEXT).alias("text"),
     )
@@ -133,7 +133,7 @@ PAGE_CTES = {
 
 
 def landed_pages(spark, sf_dir):
-    return I.table(spark, sf_dir, "pages").select(F.col("url").alias("page_url"), F.expr(PAGE_HTML).alias("html"))
+    return I.text_table(spark, sf_dir, "pages").select(F.col("url").alias("page_url"), F.expr(PAGE_HTML).alias("html"))
 
 
 @CHECKS.query(I.with_sql(**PAGE_CTES) + """select page_url, link,

@@ -93,7 +93,7 @@ def landed_fulltexts(spark, sf_dir):
     xml = F.concat(
         F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>All</head><p>'), body, F.lit("</p></div></body></text></TEI>")
     )
-    return I.table(spark, sf_dir, "documents").select(
+    return I.text_table(spark, sf_dir, "documents").select(
         stem.alias("file_stem"), F.when(n % 9 == 0, F.lit("<broken")).otherwise(xml).alias("xml")
     )
 

@@ -16,17 +16,16 @@ from citeloom.session import materialize
 SECTION_TITLES = ("Introduction", "Method", "Experiments", "Results", "Conclusion")
 
 
-TEXT_TABLES = ("documents", "pages")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables of a few splits are spread over all cores, because text work is heavy per
-    byte and one row group is one task; a table with enough splits is read as it lies."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table for work on its whole texts, which is heavy per byte. One row group is one task, so a table
+    of few splits is spread over all cores first; a table with enough splits is read as it lies."""
+    rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and rows.rdd.getNumPartitions() < 2 * cores:
-        return rows.repartition(2 * cores)
-    return rows
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
 
 
 def with_sql(**ctes: str) -> str:
@@ -64,7 +63,7 @@ def documents_as_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda line, i: F.struct(F.get(titles, i % len(SECTION_TITLES)).alias("title"), line.alias("text")),
     )
     return (
-        table(spark, sf_dir, "documents")
+        text_table(spark, sf_dir, "documents")
         .withColumn("arxiv_id", F.expr(paper_id()))
         .select(
             F.concat(F.lit("axv:"), "arxiv_id", F.lit("v1")).alias("doc_id"), "arxiv_id",
