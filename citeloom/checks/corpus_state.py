@@ -245,7 +245,7 @@ _MID = 900_000_000
 
 
 def order_candidates(spark, sf_dir):
-    at = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    at = I.epoch("o_orderdate")
     return I.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("axv:"), F.col("o_orderkey").cast("string")).alias("doc_id"), F.expr(_ORDER_STATUS).alias("status"),
         F.when(F.col("o_custkey") % 4 > 0, F.concat(F.lit("https://p.org/"), F.col("o_orderkey").cast("string"))).alias("best_pdf_url"),

@@ -5,7 +5,7 @@ Ids, section titles, tiers and source classes are derived from existing columns;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.chunking import chunk_sections
@@ -32,6 +32,11 @@ def with_sql(**ctes: str) -> str:
     return "with recursive " + ",\n".join(f"{name} as ({body})" for name, body in ctes.items()) + "\n"
 
 
+def epoch(c: str) -> Column:
+    """Seconds of a zone-less time read as UTC, whatever the time zone of the session."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+
+
 # The same text runs in both engines.
 PAPER_ID = (
     "concat(lpad(cast(2001 + cast(floor({0} / 100000) as bigint) % 300 as string), 4, '0'), '.',"

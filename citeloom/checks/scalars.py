@@ -166,7 +166,7 @@ def vector_point_ids(spark, sf_dir):
 )
 def date_and_number_forms(spark, sf_dir):
     """B19, B24."""
-    orders = I.table(spark, sf_dir, "orders").withColumn("at", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
+    orders = I.table(spark, sf_dir, "orders").withColumn("at", I.epoch("o_orderdate"))
     return orders.select(
         "o_orderkey", ids.run_id_at("at").alias("run_id"), ids.retry_at("at", 14).alias("retry_at"),
         text.to_int("o_orderpriority").alias("bad_int"), text.to_int(F.substring("o_orderpriority", 1, 1)).alias("good_int"),

@@ -189,8 +189,10 @@ def choose_pdf_url(links: ColumnLike, entry_id: ColumnLike, entry_link: ColumnLi
 
 
 def run_id_at(unix: ColumnLike) -> Column:
-    """UTC run id such as 20240131T235959Z."""
-    return F.date_format(F.timestamp_seconds(col(unix)), "yyyyMMdd'T'HHmmss'Z'")
+    """UTC run id such as 20240131T235959Z, whatever the time zone of the session."""
+    wall_clock = F.timestamp_seconds(col(unix)).cast("timestamp_ntz")
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall_clock)
+    return F.date_format(utc, "yyyyMMdd'T'HHmmss'Z'")
 
 
 def retry_at(now_unix: ColumnLike | int, retry_days: int) -> Column:

@@ -139,7 +139,10 @@ def rule_route(question: ColumnLike, summary_docs: ColumnLike, enable_decision:
 
 
 def _post_check(enable_decision: bool) -> Column:
-    """STRUCT<mode, confidence, note, preface, reason> correcting a first verdict by how hits spread; null keeps it."""
+    """STRUCT<mode, confidence, note, preface, reason> correcting a first verdict by how hits spread; null keeps it.
+
+    Thresholds, reason codes, notes and prefaces are fixed values.
+    """
     mode, confidence = F.col("mode"), F.col("confidence")
     docs, top1, top2 = F.col("num_docs"), F.col("top1_share"), F.col("top2_share")
     second = F.coalesce(F.get("doc_counts", F.lit(1)), F.lit(0))

@@ -59,3 +59,13 @@ def test_tiers(spark):
     rows = [(350, 2021, True, 1), (35, 2022, False, 1), (2, 2025, False, 0)]
     df = spark.createDataFrame(rows, "c int, y int, v boolean, p int")
     assert [r[0] for r in df.select(scoring.quality_tier("c", "y", "v", "p", 2025)).collect()] == [0, 1, 2]
+
+
+def test_run_id_ignores_session_time_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert spark.createDataFrame([(1706745599,)], "t long").select(ids.run_id_at("t")).first()[0] == "20240131T235959Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
