@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, shards, url_filter
+from citeloom.llm import bpe, chat, decontamination, shards, url_filter
 from citeloom.llm.common import read_table, text_or_empty
 from citeloom.session import shared_folder
 
@@ -31,6 +31,24 @@ EXTRA_TURNS = (
 )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from benchmark),
+ds as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+       from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
+bs as (select distinct item_id, array_to_string(w[i : i + 4], ' ') as s
+       from (select item_id, w, unnest(range(1, len(w) - 3)) as i from b)),
+n as (select item_id, count(*) as n_shingles from bs group by item_id)
+select doc_id, item_id, n_shingles, count(*) as n_shared, count(*) / n_shingles as containment
+from ds join bs using (s) join n using (item_id)
+group by doc_id, item_id, n_shingles having count(*) >= 0.8 * n_shingles
+"""
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
@@ -94,12 +112,14 @@ from escaped group by conv_id
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op4_url_filter": op4_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_chat_format": op8_chat_format,
     "op9_shards": op9_shards,
 }
 ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op4_url_filter": OP4_SQL,
     "op8_chat_format": OP8_SQL,
 }
