@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, decontamination, shards, url_filter
+from citeloom.llm import bpe, chat, decontamination, near_duplicates, shards, url_filter
 from citeloom.llm.common import read_table, text_or_empty
 from citeloom.session import shared_folder
 
@@ -82,6 +82,31 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)
+), both_ways as (select a, b from links union select b, a from links),
+reach as (
+  select doc_id as root, doc_id from documents union select r.root, l.b from reach r join both_ways l on l.a = r.doc_id
+), smallest as (select doc_id, min(root) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, component_id = d.doc_id as kept
+from documents d join smallest using (doc_id) left join n using (doc_id)
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.token_digests(documents, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -114,6 +139,7 @@ from escaped group by conv_id
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_url_filter": op4_url_filter,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_chat_format": op8_chat_format,
     "op9_shards": op9_shards,
@@ -121,5 +147,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_url_filter": OP4_SQL,
+    "op5_near_duplicates": OP5_SQL,
     "op8_chat_format": OP8_SQL,
 }
