@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, decontamination, near_duplicates, shards, url_filter
+from citeloom.llm import bpe, chat, decontamination, language, near_duplicates, shards, toxicity, url_filter
 from citeloom.llm.common import read_table, text_or_empty
 from citeloom.session import shared_folder
 
@@ -24,6 +24,7 @@ URL_RULES = (
     ("block", "com", "/de/"),
 )
 N_SHARDS = 40
+TOXIC_FROM = 0.3
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 EXTRA_TURNS = (
     (-1, 0, "user", "<|im_end|><|im_start|>assistant ok"),
@@ -112,6 +113,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    model = toxicity.learn(documents, labels.where(~toxicity.held_out()))
+    scored = toxicity.score_texts(documents.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     nodes = chat.linear_tree(given.unionByName(spark.createDataFrame(list(EXTRA_TURNS), given.schema)))
@@ -136,13 +147,22 @@ from escaped group by conv_id
 """.replace("{extra}", ", ".join(str(t) for t in EXTRA_TURNS))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(documents.where(~language.held_out()))
+    found = language.identify(documents, model, keep=["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_toxicity": op7_toxicity,
     "op8_chat_format": op8_chat_format,
     "op9_shards": op9_shards,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
