@@ -262,3 +262,18 @@ def near_duplicates(
     return out.select(
         id_col, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept")
     )
+
+
+def deduplicated(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents with one of each group; of rows that share an id one stays. Rows with a null id all stay."""
+    marked = near_duplicates(documents, id_col=id_col, **options).select(F.col(id_col).alias("__id"), "kept")
+    going = marked.where(~F.col("kept")).select("__id").distinct()
+    left = documents.join(going, documents[id_col] == going["__id"], "left_anti")
+    repeated = marked.where("__id is not null").groupBy("__id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    columns = documents.columns
+    again = left.join(repeated.select("__id"), left[id_col] == F.col("__id"), "left_semi")
+    one = again.groupBy(id_col).agg(F.min(F.struct(*[c for c in columns if c != id_col])).alias("__row"))
+    one = one.select(*[F.col(c) if c == id_col else F.col("__row")[c].alias(c) for c in columns])
+    return left.join(repeated.select("__id"), left[id_col] == F.col("__id"), "left_anti").unionByName(one)
