@@ -65,27 +65,30 @@ def chosen_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
             F.col("score").alias("total"),  # depth and total cover the nodes from node up to, but not, anc
         ), "chat-jump-0",
     )
-    levels, largest = [jump], base.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** (len(levels) - 1) <= largest and not jump.where("anc is not null").isEmpty():
-        above = jump.select(
+    # A node whose ancestor is null has reached its root; only the others go on.
+    largest = base.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    rooted, levels = jump.where("anc is null"), [jump.where("anc is not null")]
+    while 2 ** (len(levels) - 1) <= largest and not levels[-1].isEmpty():
+        above = levels[-1].unionByName(rooted).select(
             "tree", F.col("node").alias("anc"), F.col("anc").alias("__anc"), F.col("depth").alias("__depth"),
             F.col("total").alias("__total"),
         )
         jump = materialize(
-            jump.join(above, ["tree", "anc"], "left").select(
-                "tree", "node", F.col("__anc").alias("anc"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"),
+            levels[-1].join(above, ["tree", "anc"]).select(
+                "tree", "node", F.col("__anc").alias("anc"), (F.col("depth") + F.col("__depth")).alias("depth"),
+                (F.col("total") + F.col("__total")).alias("total"),
             ), f"chat-jump-{len(levels)}",
         )
-        levels.append(jump)
+        rooted = rooted.unionByName(jump.where("anc is null"))
+        levels.append(jump.where("anc is not null"))
     answered = base.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = jump.where("anc is null").join(answered, ["tree", "node"], "left_anti")
+    leaves = rooted.join(answered, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node")))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)
     path = ranked.select("tree", F.col("node").alias("leaf"), "rank", F.lit(0).cast("long").alias("up"), "node")
     for k, level in enumerate(levels[:-1]):  # after round k the paths reach 2^(k+1) messages up
-        step = level.where("anc is not null").select("tree", "node", "anc")
+        step = level.select("tree", "node", "anc")
         higher = path.join(step, ["tree", "node"]).select(
             "tree", "leaf", "rank", (F.col("up") + F.lit(2**k)).alias("up"), F.col("anc").alias("node")
         )
