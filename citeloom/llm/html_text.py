@@ -41,6 +41,7 @@ BLOCKS = frozenset(
     " form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot"
     " th thead title tr ul".split()
 )
+HOLDERS = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "canvas", "xmp", "title")
 DROPPED = frozenset("nav aside footer form dialog menu head button".split())
@@ -69,7 +70,8 @@ def _is_dropped(name: str, attributes: str, in_article: bool) -> bool:
         if key == "hidden" or key == "role" and value in DROPPED_ROLES:
             return True
         if key in ("class", "id"):
-            words = set(WORDS.findall(value))
+            # The element that holds the text is judged by whole class names, others by their parts too.
+            words = set(value.split()) if name in HOLDERS else set(WORDS.findall(value))
             if words & DROPPED_WORDS or not in_article and words & PAGE_WORDS:
                 return True
     return False
