@@ -6,7 +6,8 @@ that prefix: the one token that ends there and may follow the last token of the
 neighbours if the merges of their joint bytes give just these two). A position is open while the bytes from it on
 can still grow into a token; once the encodings of all open positions agree on a boundary, everything up to it is
 emitted. Tokens have a longest length, so the look-ahead is bounded. Transitions are worked out when first met and
-kept up to a bound, after which the table starts anew.
+kept up to a bound; beyond it the rest of a pre-token takes the same steps
+without a table.
 
 Decoding feeds tokens to a UTF-8 state machine whose state is the incomplete character; the step of a whole token
 from a state is kept too. Ill-formed bytes become U+FFFD, one for each maximal ill-formed part.
@@ -19,6 +20,7 @@ Ids that the vocabulary does not hold raise an error in decoding.
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -31,12 +33,19 @@ from pyspark.sql import types as T
 
 from citeloom.llm.common import small_batches
 
-STATES, PIECES, STEPS = 250_000, 800_000, 400_000
+STATES, PIECES, STEPS = 60_000, 700_000, 1_000_000
 NEVER = 1 << 60
 
-# A state: the last settled token, the bytes after it, for each position of these the last token and the boundaries
-# of the encoding that ends there (bits), and the positions from which a token can still grow.
-State = tuple[bytes | None, bytes, tuple[bytes, ...], tuple[int, ...], tuple[int, ...]]
+
+class State:
+    """The last settled token, the bytes after it, for each position of these the last token and the boundaries of the
+    encoding that ends there (bits), and the positions from which a token can still grow with their trie nodes."""
+
+    __slots__ = ("arcs", "before", "lasts", "marks", "open_at", "pending")
+
+    def __init__(self, before: int, pending: bytes, lasts: tuple[int, ...], marks: tuple[int, ...], open_at: tuple[tuple[int, int], ...]):
+        self.before, self.pending, self.lasts, self.marks, self.open_at = before, pending, lasts, marks, open_at
+        self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -44,30 +53,52 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line)}
 
 
+class Pieces(dict):
+    """pre-token → ids, filled when asked."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.encode(piece)
+        if len(self) < PIECES and len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Pre-token → ids. One per Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.heads = {token[:i] for token in ranks for i in range(len(token))}  # proper prefixes, the empty one too
+        self.size = 1 + max(ranks.values())
         self.split = regex.compile(pattern).findall
+        # The trie of all tokens: (node, byte) → node; for each node its token (-1: none) and whether it has children.
+        self.child: dict[int, int] = {}
+        self.token_at, self.grows = [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.grows[node] = True
+                node = self.child.setdefault(node << 8 | byte, len(self.grows))
+                if node == len(self.grows):
+                    self.token_at.append(-1)
+                    self.grows.append(False)
+            self.token_at[node] = rank
         self.spines: dict[bytes, tuple[tuple, tuple] | None] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[tuple[bytes | None, bytes], int] = {}
-        self.states: list[State] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state((None, b"", (), (1,), (0,)))
-
-    def _state(self, state: State) -> int:
-        number = self.index.setdefault(state[:2], len(self.states))
-        if number == len(self.states):
-            self.states.append(state)
-            self.arcs.append({})
-        return number
+        self.neighbours: dict[int, bool] = {}
+        self.pieces = Pieces(self.piece)
+        self.states: dict[tuple[int, bytes], State] = {}
+        self.start = self._state(-1, b"", (), (1,), ((0, 0),))
+
+    def _state(self, before, pending, lasts, marks, open_at) -> State:
+        key = (before, pending)
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = State(before, pending, lasts, marks, open_at)
+        return state
 
     def merged(self, text: bytes, least: int = 1) -> list[bytes]:
         """The merges applied in the order of their ranks until ``least`` parts are left."""
@@ -97,7 +128,16 @@ class Encoder:
             self.spines[token] = found
         return self.spines[token]
 
-    def may_follow(self, first: bytes | None, second: bytes) -> bool:
+    def may_follow(self, first: int, second: int) -> bool:
+        key = first * self.size + second
+        known = self.neighbours.get(key)
+        if known is None:
+            known = self._may_follow(self.tokens.get(first), self.tokens[second])
+            if len(self.neighbours) < STEPS:
+                self.neighbours[key] = known
+        return known
+
+    def _may_follow(self, first: bytes | None, second: bytes) -> bool:
         """Whether the merges of the joint bytes give these two tokens: no merge across the border comes before those
         that take up its two parts. Of equal ranks the left one comes first."""
         right = self._spines(second)
@@ -117,65 +157,85 @@ class Encoder:
             else:
                 j += 1
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, lasts, marks, open_at = self.states[state]
-        text = pending + bytes((byte,))
-        for start in open_at:
-            token = text[start:]
-            if token in self.ranks and self.may_follow(lasts[start - 1] if start else before, token):
-                break
-        else:
+    def _arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        text = state.pending + bytes((byte,))
+        n, lasts, still, found = len(text), state.lasts, [], -1
+        for at, node in state.open_at:
+            below = self.child.get(node << 8 | byte)
+            if below is not None:
+                token = self.token_at[below]
+                if found < 0 <= token and self.may_follow(lasts[at - 1] if at else state.before, token):
+                    found, last = at, token
+                if self.grows[below]:
+                    still.append((at, below))
+        if found < 0:
             raise ValueError("the ranks hold no token for a single byte")
-        n = len(text)
-        lasts, marks = (*lasts, token), (*marks, marks[start] | 1 << n)
-        still = [i for i in open_at if text[i:] in self.heads] + [n]
-        agreed = marks[n]
-        for i in still:
-            agreed &= marks[i]
+        still.append((n, 0))
+        agreed = state.marks[found] | 1 << n
+        lasts, marks = (*lasts, last), (*state.marks, agreed)
+        for at, _ in still:
+            agreed &= marks[at]
         cut = agreed.bit_length() - 1
-        if not cut:
-            return self._state((before, text, lasts, marks, tuple(still))), ()
-        return self._state((
-            lasts[cut - 1], text[cut:], lasts[cut:], tuple(m >> cut for m in marks[cut:]), tuple(i - cut for i in still),
-        )), self._tokens(lasts, cut)
+        if cut:
+            arc = self._state(
+                lasts[cut - 1], text[cut:], lasts[cut:], tuple([m >> cut for m in marks[cut:]]),
+                tuple([(at - cut, node) for at, node in still]),
+            ), self._tokens(lasts, cut)
+        else:
+            arc = self._state(state.before, text, lasts, marks, tuple(still)), ()
+        state.arcs[byte] = arc
+        return arc
 
-    def _tokens(self, lasts: tuple[bytes, ...], end: int) -> tuple[int, ...]:
+    def _tokens(self, lasts: Sequence[int], end: int) -> tuple[int, ...]:
         out = []
         while end:
-            out.append(self.ranks[lasts[end - 1]])
-            end -= len(lasts[end - 1])
+            last = lasts[end - 1]
+            out.append(last)
+            end -= len(self.tokens[last])
         return tuple(reversed(out))
 
+    def _rest(self, state: State, rest: bytes) -> tuple[int, ...]:
+        """What the transducer would emit for the rest of a pre-token, without keeping states."""
+        lasts, still = [state.before, *state.lasts], state.open_at
+        child, token_at, grows, neighbours, size = self.child.get, self.token_at, self.grows, self.neighbours.get, self.size
+        for end, byte in enumerate(rest, len(lasts)):
+            last, after = -1, []
+            for at, node in still:
+                below = child(node << 8 | byte)
+                if below is not None:
+                    token = token_at[below]
+                    if last < 0 <= token:
+                        follows = neighbours(lasts[at] * size + token)
+                        if follows or follows is None and self.may_follow(lasts[at], token):
+                            last = token
+                    if grows[below]:
+                        after.append((at, below))
+            if last < 0:
+                raise ValueError("the ranks hold no token for a single byte")
+            after.append((end, 0))
+            lasts.append(last)
+            still = after
+        return self._tokens(lasts[1:], len(lasts) - 1)
+
     def piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        if len(self.states) > STATES:
-            self._forget()
         state, out = self.start, []
-        for byte in data:
-            arcs = self.arcs[state]
-            step = arcs.get(byte)
-            if step is None:
-                step = arcs[byte] = self._arc(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        lasts = self.states[state][2]
-        return (*out, *self._tokens(lasts, len(lasts)))
+        for at, byte in enumerate(data):
+            arc = state.arcs.get(byte)
+            if arc is None:
+                if len(self.states) >= STATES:
+                    return (*out, *self._rest(state, data[at:]))
+                arc = self._arc(state, byte)
+            state = arc[0]
+            if arc[1]:
+                out.extend(arc[1])
+        return (*out, *self._tokens(state.lasts, len(state.lasts)))
 
     def encode(self, text: str) -> np.ndarray:
-        known, found = self.pieces, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.piece(piece)
-                if len(known) > PIECES:
-                    known.clear()
-                if len(piece) < 64:
-                    known[piece] = ids
-            found.append(ids)
+        found = map(self.pieces.__getitem__, self.split(text))
         return np.fromiter(itertools.chain.from_iterable(found), np.int32)
 
 
@@ -198,30 +258,47 @@ def utf8_step(state: bytes, byte: int) -> tuple[bytes, str]:
     return (b"", seen.decode()) if len(seen) == needed else (seen, "")
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(raw: bytes, pattern: str) -> Encoder:
+    """One per Python worker, so that its tables serve all tasks of the worker."""
+    return Encoder(parse_ranks(raw), pattern)
+
+
+@functools.lru_cache(maxsize=2)
+def decoder_of(raw: bytes) -> Decoder:
+    return Decoder({rank: token for token, rank in parse_ranks(raw).items()})
+
+
 class Decoder:
     """ids → text, one token at a time."""
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
-        self.steps: dict[bytes, dict[int, tuple[bytes, str]]] = {b"": {}}
-
-    def _step(self, state: bytes, token: int) -> tuple[bytes, str]:
-        end, out = state, []
-        for byte in self.tokens[token]:
-            end, text = utf8_step(end, byte)
-            out.append(text)
-        if sum(map(len, self.steps.values())) > STEPS:
-            self.steps = {b"": {}}
-        self.steps.setdefault(end, {})
-        step = self.steps.setdefault(state, {})[token] = (end, "".join(out))
-        return step
+        self.steps: dict[tuple[bytes, int], tuple[bytes, str]] = {}
+        self.complete: dict[int, str] = {}  # tokens that begin and end between characters
+
+    def step(self, state: bytes, token: int) -> tuple[bytes, str]:
+        known = self.steps.get((state, token))
+        if known is None:
+            end, out = state, []
+            for byte in self.tokens[token]:
+                end, text = utf8_step(end, byte)
+                out.append(text)
+            known = end, "".join(out)
+            if len(self.steps) < STEPS:
+                self.steps[state, token] = known
+            if not state and not end:
+                self.complete[token] = known[1]
+        return known
 
     def decode(self, ids: Sequence[int]) -> str:
-        state, out = b"", []
-        for token in ids:
-            step = self.steps.get(state, {}).get(token) or self._step(state, token)
-            state = step[0]
-            out.append(step[1])
+        out = list(map(self.complete.get, ids))
+        if None not in out:
+            return "".join(out)
+        state = b""
+        for at, text in enumerate(out):
+            if state or text is None:
+                state, out[at] = self.step(state, ids[at])
         return "".join(out) + ("�" if state else "")
 
 
@@ -232,7 +309,7 @@ def encode_texts(df: DataFrame, vocabulary: str, pattern: str, text: str = "text
     kept = [c for c in df.columns if c not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(parse_ranks(raw.value), pattern)
+        encoder = encoder_of(raw.value, pattern)
         for batch in batches:
             ids = [encoder.encode(value or "") for value in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -252,10 +329,13 @@ def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
     kept = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder({rank: token for token, rank in parse_ranks(raw.value).items()})
+        decoder = decoder_of(raw.value)
         for batch in batches:
-            column = batch.column(ids)
-            texts = pa.array([decoder.decode(column[i].values.to_pylist() if column[i].is_valid else ()) for i in range(len(column))], pa.string())
+            lists = batch.column(ids)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            valid = lists.is_valid().to_pylist()
+            spans = zip(ends[:-1].tolist(), ends[1:].tolist(), valid, strict=True)
+            texts = pa.array([decoder.decode(flat[a:b].tolist() if v else ()) for a, b, v in spans], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], [*kept, out])
 
     small_batches(df.sparkSession)
