@@ -276,15 +276,15 @@ def ready_counts(spark, sf_dir):
     return rows.groupBy("status", "is_ready").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DOCS = """select 'axv:' || o_orderkey as doc_id, case o_custkey % 5 when 0 then null when 1 then ' ' else 'id' || o_orderkey || 'v2' end as versioned,
+_DOCS = """select case o_orderstatus when 'P' then 'other:' else 'axv:' end || o_orderkey as doc_id, case o_custkey % 5 when 0 then null when 1 then ' ' else 'id' || o_orderkey || 'v2' end as versioned,
     case o_custkey % 7 when 0 then null else 'id' || o_orderkey end as arxiv_id, case o_custkey % 2 when 0 then '10.1/' || o_orderkey end as doi,
-    case o_custkey % 8 when 0 then null when 4 then ' https://d.org/x ' else 'https://d.org/y' end as pdf_url from orders where o_orderstatus <> 'P'"""
+    case o_custkey % 8 when 0 then null when 4 then ' https://d.org/x ' else 'https://d.org/y' end as pdf_url from orders"""
 
 
 def order_documents(spark, sf_dir):
     key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey")
-    return I.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(
-        F.concat(F.lit("axv:"), key).alias("doc_id"),
+    return I.table(spark, sf_dir, "orders").select(
+        F.concat(F.when(F.col("o_orderstatus") == "P", "other:").otherwise("axv:"), key).alias("doc_id"),
         F.when(cust % 5 == 1, " ").when(cust % 5 > 1, F.concat(F.lit("id"), key, F.lit("v2"))).alias("arxiv_id_with_version"),
         F.when(cust % 7 > 0, F.concat(F.lit("id"), key)).alias("arxiv_id"),
         F.when(cust % 2 == 0, F.concat(F.lit("10.1/"), key)).alias("doi"),
@@ -301,12 +301,13 @@ GATED_SQL = """select *, case when contains(arxiv_id, ':') then pdf_url else 'ht
     then 'cache_only_missing_pdf' end as blocked_reason from papers"""
 
 
-@CHECKS.query(I.with_sql(q=_ORDER_QUEUE, d=_DOCS, files="select distinct 'id' || l_orderkey || 'v2' as stem from lineitem where l_linenumber > 2",
+@CHECKS.query(I.with_sql(q=_ORDER_QUEUE, d=_DOCS, files="select distinct 'id' || l_orderkey || case when l_linenumber > 2 then 'v2' else 'v1' end as stem from lineitem",
                          papers=PAPERS_SQL) + GATED_SQL)
 def gated_papers(spark, sf_dir):
     """Candidates as papers, with the reason where full text is missing."""
-    files_on_disk = I.table(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(
-        F.concat(F.lit("id"), F.col("l_orderkey").cast("string"), F.lit("v2")).alias("file_stem")
+    version = F.when(F.col("l_linenumber") > 2, "v2").otherwise("v1")
+    files_on_disk = I.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("id"), F.col("l_orderkey").cast("string"), version).alias("file_stem")
     )
     papers = queue.to_papers(order_candidates(spark, sf_dir), order_documents(spark, sf_dir))
     return queue.require_cached(papers, files_on_disk).select(
@@ -347,9 +348,9 @@ def attempt_results(spark, sf_dir):
     return queue.apply_results(order_candidates(spark, sf_dir), event_attempts(spark, sf_dir), NOW, _LIMITS)
 
 
-@CHECKS.query(I.with_sql(**ATTEMPT_SQL, d=_DOCS) + f"""select d.doc_id, case when e.doc_id is not null then r.status else 'ready' end as status,
+@CHECKS.query(I.with_sql(**ATTEMPT_SQL, d=_DOCS) + f"""select d.doc_id, case when e.doc_id is not null then coalesce(r.status, 'ready') else 'ready' end as status,
     case when e.doc_id is not null then {NOW} else 1 end::bigint as updated_at
-    from d join ended r using (doc_id) left join (select distinct doc_id from e) e using (doc_id)""")
+    from d left join ended r using (doc_id) left join (select distinct doc_id from e) e using (doc_id)""")
 def attempt_documents(spark, sf_dir):
     """Documents take the status of their candidate."""
     results = event_attempts(spark, sf_dir)
@@ -370,9 +371,10 @@ def ingest_counts(spark, sf_dir):
 
 @CHECKS.query("""with e as (select 'u' || user_id as arxiv_id, event_id, case when event_id % 3 > 0 then 'h' || event_id end as sha, event_type, ts from events),
     p as (select * from (select arxiv_id, event_type, event_id, row_number() over (partition by arxiv_id order by event_id desc) as r from e) x where r = 1)
-    select c.c_custkey as custkey, coalesce(p.event_type, c.c_name) as title, coalesce(p.event_id::varchar, '') as version,
-      coalesce(h.sha, 'old') as content_sha256 from customer c left join p on p.arxiv_id = 'u' || c.c_custkey
-      left join (select arxiv_id, arg_max(sha, event_id) as sha from e where sha is not null group by 1) h on h.arxiv_id = 'u' || c.c_custkey""")
+    select coalesce(c.c_custkey, substr(p.arxiv_id, 2)::bigint) as custkey, coalesce(p.event_type, c.c_name) as title,
+      coalesce(p.event_id::varchar, '') as version, coalesce(h.sha, case when c.c_custkey is not null then 'old' end) as content_sha256
+      from customer c full join p on p.arxiv_id = 'u' || c.c_custkey
+      left join (select arxiv_id, arg_max(sha, event_id) as sha from e where sha is not null group by 1) h using (arxiv_id)""")
 def upserted_papers(spark, sf_dir):
     """Latest paper row per id; the content hash survives batches without one."""
     null = F.lit(None).cast("string")
@@ -387,9 +389,7 @@ def upserted_papers(spark, sf_dir):
         F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("h"), F.col("event_id").cast("string"))).alias("content_sha256"),
         F.col("event_id").alias("seq"), *rest,
     )
-    stored_ids = stored.select("arxiv_id")
-    merged = upsert.upsert_papers(stored, batch).join(stored_ids, "arxiv_id", "left_semi")
-    return merged.select(
+    return upsert.upsert_papers(stored, batch).select(
         F.substring("arxiv_id", 2, 20).cast("long").alias("custkey"), "title", "version", "content_sha256"
     )
 

@@ -20,8 +20,10 @@ _TYPES = "case when p_type like 'STANDARD%' then 'JournalArticle' when p_type li
 FACTS_SQL = f"""select p_partkey as n, {_ID} as arxiv_id, count(*)::int as citation_count,
     case when p_partkey % 8 > 0 then min(year(l_shipdate))::int end as year, max(p_brand) as venue, max({_TYPES}) as types
   from part join lineitem on p_partkey = l_partkey group by 1, 2"""
-VENUES_SQL = "select distinct p_brand as venue from part where p_size = 1"
-STORED_SQL = f"select {_ID} as arxiv_id, case when p_size % 3 = 0 then {NOW} - p_size * 86400 end as updated_at, p_size % 3 as keep from part where p_size % 2 = 0"
+_VENUE = "case when p_brand like '%5' then concat('not ', p_brand) else p_brand end"
+VENUES_SQL = f"select distinct {_VENUE} as venue from part"
+_STORED_ID = f"case when p_size % 2 = 1 then concat('old-', cast(p_partkey as string)) else {_ID} end"
+STORED_SQL = f"select {_STORED_ID} as arxiv_id, case when p_size % 3 = 0 then {NOW} - p_size * 86400 end as updated_at, p_size % 3 as keep from part"
 CTES = {
     "facts": FACTS_SQL, "venues": VENUES_SQL, "stored": STORED_SQL,
     "ids": f"""select {_ID} as arxiv_id, p_partkey as n from part""",
@@ -46,8 +48,8 @@ def papers(spark, sf_dir):
 
 def stored_metrics(spark, sf_dir):
     size = F.col("p_size")
-    return I.table(spark, sf_dir, "part").filter(size % 2 == 0).select(
-        F.expr(_ID).alias("arxiv_id"), F.lit(0).alias("citation_count"), F.lit(None).cast("int").alias("year"), F.lit("").alias("venue"),
+    return I.table(spark, sf_dir, "part").select(
+        F.expr(_STORED_ID).alias("arxiv_id"), F.lit(0).alias("citation_count"), F.lit(None).cast("int").alias("year"), F.lit("").alias("venue"),
         F.lit("[]").alias("publication_types"), F.lit(0).alias("is_peer_reviewed"), F.lit(0.0).alias("score"), F.lit(2).alias("tier"),
         F.when(size % 3 == 0, F.lit(NOW) - size * 86400).cast("long").alias("updated_at"),
     )
@@ -65,18 +67,19 @@ def metadata(spark, sf_dir):
     n, key = F.col("p_partkey"), F.expr(_ID)
     is_doi = n % 9 == 0
     form = (
-        F.when(n % 3 == 0, F.concat(F.when(is_doi, "DOI:").otherwise("ARXIV:"), key))
+        F.when(n % 10 == 0, F.concat(F.lit("UNKNOWN:"), key))
+        .when(n % 3 == 0, F.concat(F.when(is_doi, "DOI:").otherwise("ARXIV:"), key))
         .when(n % 3 == 1, key)
         .otherwise(F.concat(F.when(is_doi, "https://doi.org/").otherwise("https://arxiv.org/abs/"), key))
     )
-    return facts.filter(n % 10 > 0).select(
+    return facts.select(
         form.alias("paper_key"), "citationCount", F.when(n % 8 > 0, F.col("y")).alias("year"), "venue",
         F.array("types").alias("publicationTypes"),
     )
 
 
 def venues(spark, sf_dir):
-    return I.table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_brand").alias("venue"))
+    return I.table(spark, sf_dir, "part").select(F.expr(_VENUE).alias("venue"))
 
 
 def curated(spark, sf_dir):

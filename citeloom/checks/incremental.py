@@ -11,6 +11,7 @@ from citeloom.checks import Registry, inputs as I
 from citeloom.checks.corpus_state import _ATTEMPT, references, resolutions
 from citeloom.checks.discovery import MENTION_CTES
 from citeloom.config import Settings
+from citeloom.operators import lexical
 from citeloom.operators.graph import GraphState
 from citeloom.plans import corpus_jobs
 from citeloom.session import materialize, shared_folder
@@ -49,15 +50,20 @@ def event_stream(spark, sf_dir):
     select user_id as doc_id, n::int as retry_count, case when last in ('failed', 'blocked') then case when n >= 40 then 'failed' else 'blocked' end
       else last end as status from t""")
 def streamed_lifecycle(spark, sf_dir):
-    """Attempts per document with state kept between batches; equal to the batch fold."""
-    attempts = event_stream(spark, sf_dir).select(
+    """Attempts per document with state kept between five batches, in which older attempts come after newer ones;
+    equal to the batch fold."""
+    events = I.table(spark, sf_dir, "events")
+    landed = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events.repartition(5, F.xxhash64("event_id")).write.parquet(landed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    attempts = stream.withColumn("ts", F.col("ts").cast("timestamp")).select(
         F.col("user_id").alias("doc_id"), F.expr(_ATTEMPT).alias("status"), F.col("event_id").alias("seq"),
         F.unix_timestamp("ts").alias("at_unix"),
     )
     states = jobs.candidate_lifecycle(attempts, Settings(candidate_max_retries=40))
     rows = jobs.run_to_table(states, spark, "lifecycle", "update")
     return rows.groupBy("doc_id").agg(
-        F.max_by("retry_count", "last_seq").alias("retry_count"), F.max_by("status", "last_seq").alias("status")
+        F.max_by("retry_count", "batch").alias("retry_count"), F.max_by("status", "batch").alias("status")
     )
 
 
@@ -101,7 +107,8 @@ def landed_fulltexts(spark, sf_dir):
 def empty_library(spark):
     chunks, vectors = spark.createDataFrame([], schemas.CHUNKS), spark.createDataFrame([], schemas.VECTORS)
     return corpus_jobs.Library(
-        GraphState.empty(spark), spark.createDataFrame([], schemas.PAPERS), chunks, vectors, spark.createDataFrame([], schemas.METRICS)
+        GraphState.empty(spark), spark.createDataFrame([], schemas.PAPERS), chunks, vectors, spark.createDataFrame([], schemas.METRICS),
+        lexical.forward_index(chunks),
     )
 
 
@@ -112,12 +119,10 @@ def rebuilt(spark, sf_dir):
         (F.col("doc_id") % 300).cast("int").alias("citationCount"), F.lit(2020).alias("year"), F.col("source").alias("venue"),
         F.array(F.lit("Conference")).alias("publicationTypes"),
     )
-    venues = I.table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("source").alias("venue"))
-    # One round takes the whole queue of a table of this size.
-    settings = Settings(queue_batch_size=1_000_000)
+    venues = I.table(spark, sf_dir, "documents").select(F.col("source").alias("venue"))
     return corpus_jobs.rebuild(
         spark, [references(spark, sf_dir)], [resolutions(spark, sf_dir)], empty_library(spark), landed_fulltexts(spark, sf_dir),
-        catalogue, venues, NOW, 2024, settings=settings,
+        catalogue, venues, NOW, 2024,
     )
 
 
@@ -133,8 +138,33 @@ def rebuilt_papers(spark, sf_dir):
     return library.papers.select("doc_id", "arxiv_id", "pdf_url")
 
 
-@CHECKS.query()
+REBUILT_CTES = {
+    **I.CHUNK_CTES, "lines": "select doc_id, source, 1 as section_no, text as line from documents where doc_id % 9 > 0",
+    "ingested": f"select {I.paper_id()} as arxiv_id, {_VERSIONED} as v from documents",
+    "stored": """select concat('axv:', v, ':', chunk_index) as chunk_id, arxiv_id, concat('axv:', v) as title, 'All' as section_title,
+      text from chunks join ingested using (arxiv_id)""",
+}
+
+
+@CHECKS.query(I.with_sql(**REBUILT_CTES) + "select chunk_id, text from stored")
+def rebuilt_chunks(spark, sf_dir):
+    """Chunks of every paper whose full text could be read."""
+    library, _ = rebuilt(spark, sf_dir)
+    return library.chunks.select("chunk_id", "text")
+
+
+@CHECKS.query(I.with_sql(**REBUILT_CTES) + r"""select chunk_id, len(regexp_extract_all(strip_accents(lower(
+    concat_ws(' ', arxiv_id, title, section_title, text))), '[\p{L}\p{N}]+')) as n_tokens from stored""")
+def index_after_ingest(spark, sf_dir):
+    """The keyword index that ingestion refreshed together with the chunks."""
+    library, _ = rebuilt(spark, sf_dir)
+    return library.index.select("chunk_id", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+@CHECKS.query("""select step, 'ok' as status, case step when 'curate' then (select count(*) from documents where doc_id % 9 > 0 and trim(text) <> '')
+    end as n_papers from (values ('restore'), ('ingest'), ('curate')) t(step)""")
 def rebuild_report(spark, sf_dir):
-    """Steps of a rebuild."""
-    _, report = rebuilt(spark, sf_dir)
-    return report.select("step", "status", "details")
+    """Steps of a rebuild, read from the written report, with the papers that the last step found."""
+    library, report = rebuilt(spark, sf_dir)
+    papers = library.papers.select(F.count(F.lit(1)).alias("n")).scalar()
+    return report.select("step", "status", F.when(F.col("step") == "curate", papers).alias("n_papers"))

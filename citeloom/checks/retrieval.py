@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.checks import Registry, inputs as I
-from citeloom.operators import hybrid, lexical, vector
+from citeloom.operators import hybrid, lexical, relevance, vector
 from citeloom.session import materialize
 from citeloom.operators.relevance import entity_tokens, rare_terms
 
@@ -132,10 +132,7 @@ def rank_fusion(spark, sf_dir):
     return fused.select("query_id", "chunk_id", "vector_rank", "keyword_rank", F.round(rrf, 9).alias("rrf"))
 
 
-_COMMON = "['" + "', '".join(
-    "about against between compare difference differences does each explain fails from idea into key method objective paper"
-    " show shows summarize their them these this training when with".split()
-) + "']"
+_COMMON = str(list(relevance.COMMON_QUERY_TERMS))
 RARE_SQL = (
     "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: not list_contains(" + _COMMON + ", x)"
     " and (length(x) >= 5 or regexp_matches(x, '[0-9]')))"

@@ -211,10 +211,10 @@ def work_cache(spark, sf_dir):
         F.array(place("shut", F.lit(True), F.lit(False)), place("open", n % 5 == 1, F.lit(True)), place("last", F.lit(True), F.lit(True))).alias("locations"),
     )
     value = (
-        F.when(n % 10 == 3, F.lit('{"_status": 404}')).when(n % 10 == 7, F.lit("{broken")).when(n % 10 == 9, F.lit("[1, 2]"))
+        F.when((n % 10 == 7) | (n % 5 == 0), F.lit("{broken")).when(n % 10 == 3, F.lit('{"_status": 404}')).when(n % 10 == 9, F.lit("[1, 2]"))
         .otherwise(F.to_json(work))
     )
-    rows = I.table(spark, sf_dir, "part").filter(n % 5 != 0).select(F.sha2(doi, 256).alias("cache_key"), value.alias("value"))
+    rows = I.table(spark, sf_dir, "part").select(F.sha2(doi, 256).alias("cache_key"), value.alias("value"))
     return files.parse_work_cache(rows)
 
 
@@ -279,15 +279,15 @@ def resolved_pdf_urls(spark, sf_dir):
 def paper_chunks(spark, sf_dir):
     n = F.col("l_partkey")
     base = F.when(n % 7 == 0, F.concat(F.lit("doi:10.1/"), n.cast("string"))).otherwise(F.concat(F.lit("p"), n.cast("string")))
-    return I.table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(
+    return I.table(spark, sf_dir, "lineitem").select(
         base.alias("arxiv_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_index"), F.col("l_returnflag").alias("text")
     )
 
 
 def paper_metrics(spark, sf_dir):
     n = F.col("p_partkey")
-    return I.table(spark, sf_dir, "part").filter(n % 2 == 1).select(
-        F.when(n % 7 == 0, F.concat(F.lit("doi:10.1/"), n.cast("string"))).otherwise(F.concat(F.lit("p"), n.cast("string"))).alias("arxiv_id"),
+    return I.table(spark, sf_dir, "part").select(
+        F.when(n % 2 == 0, F.concat(F.lit("other-"), n.cast("string"))).when(n % 7 == 0, F.concat(F.lit("doi:10.1/"), n.cast("string"))).otherwise(F.concat(F.lit("p"), n.cast("string"))).alias("arxiv_id"),
         F.when(n % 11 > 0, (n % 3).cast("int")).alias("tier"), F.col("p_size").alias("citation_count"),
         F.when(n % 13 == 0, " ").otherwise(F.col("p_brand")).alias("venue"),
     )
@@ -295,10 +295,10 @@ def paper_metrics(spark, sf_dir):
 
 CATALOGUE_CTES = {
     "stored": STORED_SQL,
-    "chunk": "select case when l_partkey % 7 = 0 then 'doi:10.1/' || l_partkey else 'p' || l_partkey end as arxiv_id, l_orderkey * 10 + l_linenumber as chunk_index from lineitem where l_quantity > 10",
-    "metrics": """select case when p_partkey % 7 = 0 then 'doi:10.1/' || p_partkey else 'p' || p_partkey end as arxiv_id,
+    "chunk": "select case when l_partkey % 7 = 0 then 'doi:10.1/' || l_partkey else 'p' || l_partkey end as arxiv_id, l_orderkey * 10 + l_linenumber as chunk_index from lineitem",
+    "metrics": """select case when p_partkey % 2 = 0 then 'other-' || p_partkey when p_partkey % 7 = 0 then 'doi:10.1/' || p_partkey else 'p' || p_partkey end as arxiv_id,
       case when p_partkey % 11 > 0 then (p_partkey % 3)::int end as tier, p_size as citation_count,
-      case when p_partkey % 13 = 0 then ' ' else p_brand end as venue from part where p_partkey % 2 = 1""",
+      case when p_partkey % 13 = 0 then ' ' else p_brand end as venue from part""",
     "full_list": """select s.arxiv_id, s.doc_id, case when s.arxiv_id like 'doi:%' then s.arxiv_id else s.arxiv_id end as shown, title, published,
       p_brand || '|' || p_type as authors, coalesce(n_chunks, 0) as chunk_count, tier, citation_count, venue from stored s
       left join (select arxiv_id, count(*) as n_chunks from chunk group by 1) c on c.arxiv_id = s.arxiv_id

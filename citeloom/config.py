@@ -20,15 +20,15 @@ class Settings:
     bm25_b: float = 0.75
     candidate_retry_days: int = 14
     candidate_max_retries: int = 5
-    queue_batch_size: int = 10
-    queue_max_loops: int = 500
     embed_batch_size: int = 16
     metadata_batch_size: int = 500
+    embedding_dimension: int | None = None  # vectors of another length stop ingestion
     router_min_confidence: float = 0.55
     enable_decision_mode: bool = True
     eval_min_sources: int = 6
 
     # Execution knobs: they change the plan, never the rows.
+    queue_batch_size: int | None = None  # ready candidates per pass; None takes all at once
     salts: int = 8
     max_broadcast_bytes: int = 64 * 1024 * 1024
     vectors_per_bucket: int = 200_000

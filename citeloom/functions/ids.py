@@ -164,7 +164,7 @@ def citation_label(arxiv_id: ColumnLike, section_title: ColumnLike) -> Column:
 
 
 def vector_point_id(chunk_id: ColumnLike) -> Column:
-    """Name-based UUID (version 5, URL namespace) of a chunk id; ids that are UUIDs already stay."""
+    """Name-based UUID (version 5, URL namespace) of a chunk id; UUIDs and unsigned integers are point ids already."""
     text = col(chunk_id).cast("string")
     digest = F.sha1(F.concat(F.lit(uuid.NAMESPACE_URL.bytes), F.encode(text, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
@@ -173,7 +173,7 @@ def vector_point_id(chunk_id: ColumnLike) -> Column:
         F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12),
     )
     bare = F.regexp_replace(text, r"^urn:uuid:|[{}-]", "")
-    return F.when(bare.rlike("(?i)^[0-9a-f]{32}$"), text).otherwise(named)
+    return F.when(bare.rlike("(?i)^[0-9a-f]{32}$") | text.rlike("^[0-9]{1,20}$"), text).otherwise(named)
 
 
 def choose_pdf_url(links: ColumnLike, entry_id: ColumnLike, entry_link: ColumnLike) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
 
@@ -97,28 +98,71 @@ def _section_windows(size: int, overlap: int):
     return cut
 
 
-def _node_text(node: ElementTree.Element | None) -> str:
-    return "" if node is None else " ".join("".join(node.itertext()).split())
+class _Sections:
+    """Target of an XML parser: gathers headings and paragraphs of a TEI document in one pass over its events.
 
+    Rules: the paragraphs of every abstract right below a profileDesc make one leading section. Each division right in
+    the body is a section, named by its own first head or by its number, with its paragraphs or, if they are blank, all
+    its text. If no section has text, the paragraphs of the body are one.
+    """
 
-def _paragraphs(node: ElementTree.Element) -> str:
-    return "\n\n".join(filter(None, map(_node_text, node.iter(TEI + "p"))))
+    def __init__(self) -> None:
+        self.path: list[str] = []
+        self.open: list[tuple[int, list[str]]] = []  # depth and pieces of the texts being gathered
+        self.abstract: list[list[str]] = []
+        self.in_body: list[list[str]] = []
+        self.divisions: list[tuple[list[list[str]], list[list[str]], list[list[str]]]] = []  # heads, paragraphs, all
+        self.body_depth = 0
+        self.body_ended = False
+
+    def _gather(self, *lists: list[list[str]]) -> None:
+        pieces: list[str] = []
+        for each in lists:
+            each.append(pieces)
+        self.open.append((len(self.path), pieces))
+
+    def start(self, tag: str, attributes: dict) -> None:
+        self.path.append(tag)
+        depth, body = len(self.path), 0 if self.body_ended else self.body_depth
+        if not self.body_depth and self.path[-2:] == [TEI + "text", TEI + "body"]:
+            self.body_depth = depth
+        elif body and depth == body + 1 and tag == TEI + "div":
+            self.divisions.append(([], [], []))
+            self._gather(self.divisions[-1][2])
+        in_division = body and depth > body + 1 and self.path[body] == TEI + "div"
+        if in_division and depth == body + 2 and tag == TEI + "head" and not self.divisions[-1][0]:
+            self._gather(self.divisions[-1][0])
+        if tag == TEI + "p":
+            in_abstract = (TEI + "profileDesc", TEI + "abstract") in itertools.pairwise(self.path)
+            lists = ([self.abstract] if in_abstract else []) + ([self.in_body] if body else [])
+            self._gather(*lists, *([self.divisions[-1][1]] if in_division else []))
+
+    def data(self, text: str) -> None:
+        for _, pieces in self.open:
+            pieces.append(text)
+
+    def end(self, tag: str) -> None:
+        while self.open and self.open[-1][0] == len(self.path):
+            self.open.pop()
+        self.body_ended = self.body_ended or len(self.path) == self.body_depth
+        self.path.pop()
+
+    def close(self) -> list[dict]:
+        def joined(texts: list[list[str]]) -> str:
+            return "\n\n".join(filter(None, (" ".join("".join(pieces).split()) for pieces in texts)))
+
+        found = [("Abstract", joined(self.abstract))]
+        for number, (heads, paragraphs, whole) in enumerate(self.divisions, start=1):
+            found.append((joined(heads) or f"Section {number}", joined(paragraphs) or joined(whole)))
+        if not any(text for _, text in found):
+            found.append(("Body", joined(self.in_body)))
+        return [{"title": title, "text": text} for title, text in found if text]
 
 
 def _tei_sections(xml: str) -> list[dict]:
-    root = ElementTree.fromstring(xml)
-    found = []
-    # Every abstract below every profileDesc contributes to one leading section.
-    abstracts = [_paragraphs(a) for d in root.iter(TEI + "profileDesc") for a in d.findall(TEI + "abstract")]
-    found.append(("Abstract", "\n\n".join(filter(None, abstracts))))
-    body = next((b for t in root.iter(TEI + "text") for b in t.findall(TEI + "body")), None)
-    if body is not None:
-        for number, div in enumerate(body.findall(TEI + "div"), start=1):
-            heading = _node_text(div.find(TEI + "head")) or f"Section {number}"
-            found.append((heading, _paragraphs(div) or _node_text(div)))
-        if not any(text for _, text in found):
-            found.append(("Body", _paragraphs(body)))
-    return [{"title": title, "text": text} for title, text in found if text]
+    parser = ElementTree.XMLParser(target=_Sections())
+    parser.feed(xml)
+    return parser.close()
 
 
 def extract_sections(xml: Column | str) -> Column:

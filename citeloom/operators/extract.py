@@ -12,13 +12,14 @@ from citeloom.functions.ids import (
 from citeloom.functions.text import ColumnLike, col, strip
 from citeloom.operators.ordered import first_per_key
 
-# Patterns: every mention form of a paper or DOI in one leftmost alternation.
+# The grammar of every mention form of a paper or DOI in one leftmost alternation.
 PAPER_MENTION = (
     rf"(?iU)https?://arxiv\.org/abs/{PAPER_BASE}(?:v\d+)?\b|https?://arxiv\.org/pdf/{PAPER_BASE}(?:v\d+)?\.pdf\b"
     rf"|\barxiv(?:\s*:\s*|\s+){PAPER_BASE}(?:v\d+)?\b"
 )
 PAPER_PARTS = rf"(?iU)^(?:https?://arxiv\.org/(?:abs|pdf)/|arxiv(?:\s*:\s*|\s+))({PAPER_BASE})(v\d+)?(?:\.pdf)?$"
 DOI_MENTION = rf"(?iU)(?:https?://(?:dx\.)?doi\.org/|\bdoi\s*:\s*|(?<![A-Za-z0-9]))({DOI_CORE})"
+DOI_LEAD = r"(?iU)^(?:https?://(?:dx\.)?doi\.org/|doi\s*:\s*)"
 HTML_NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 ANCHOR = r"""(?i)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -41,14 +42,11 @@ def paper_mentions(text: ColumnLike) -> Column:
 
 def doi_mentions(text: ColumnLike) -> Column:
     """ARRAY<STRUCT<doi, raw_match>> in text order, trailing punctuation removed."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(col(text), F.lit(DOI_MENTION), F.lit(1)).alias("core"),
-        F.regexp_extract_all(col(text), F.lit(DOI_MENTION), F.lit(0)).alias("raw"),
-    )
     cleaned = F.transform(
-        pairs,
-        lambda p: F.struct(
-            normalize_doi(p["core"]).alias("doi"), F.regexp_replace(p["raw"], DOI_TRAILING, "").alias("raw_match")
+        F.regexp_extract_all(col(text), F.lit(DOI_MENTION), F.lit(0)),
+        lambda raw: F.struct(
+            normalize_doi(F.regexp_replace(raw, DOI_LEAD, "")).alias("doi"),
+            F.regexp_replace(raw, DOI_TRAILING, "").alias("raw_match"),
         ),
     )
     return F.filter(cleaned, lambda m: (m["doi"] != "") & (m["raw_match"] != ""))

@@ -85,11 +85,12 @@ def candidates(corpus: Corpus, queries: DataFrame, vector_k: int, keyword_k: int
 def _attach(
     hits: DataFrame, table: DataFrame | None, key: str, value: str, value_type: str, bound: int, settings: Settings
 ) -> DataFrame:
-    """Left lookup in a table that may be far larger than the hits: the hit keys select its rows first."""
+    """Left lookup in a table that may be far larger than the hits: the hit keys select its rows first. A key with
+    several rows gives its least value, so hits never multiply and the looked-up side has at most one row per hit."""
     if table is None:
         return hits.withColumn(value, F.lit(None).cast(value_type))
     keys = bounded_broadcast(hits.select(key).distinct(), bound, HIT_BYTES, settings.max_broadcast_bytes)
-    needed = table.select(key, value).join(keys, key, "left_semi")
+    needed = table.select(key, value).join(keys, key, "left_semi").groupBy(key).agg(F.min(value).alias(value))
     return hits.join(bounded_broadcast(needed, bound, HIT_BYTES, settings.max_broadcast_bytes), key, "left")
 
 

@@ -17,13 +17,13 @@ def is_ready(now_unix: int) -> Column:
     return (F.col("status") == "ready") & (F.col("next_retry_unix").isNull() | (F.col("next_retry_unix") <= now_unix))
 
 
-def ready_candidates(candidates: DataFrame, limit: int, now_unix: int) -> DataFrame:
-    """Best ready candidates: highest priority, then longest untouched, then doc id."""
-    return (
-        candidates.filter(is_ready(now_unix))
-        .orderBy(F.desc("priority_score"), F.asc("updated_at"), F.asc("doc_id"))
-        .limit(limit)
-    )
+def ready_candidates(candidates: DataFrame, limit: int | None, now_unix: int) -> DataFrame:
+    """Best ready candidates: highest priority, then longest untouched, then doc id. Without a limit all of them, in no
+    order, so nothing is sorted."""
+    ready = candidates.filter(is_ready(now_unix))
+    if limit is None:
+        return ready
+    return ready.orderBy(F.desc("priority_score"), F.asc("updated_at"), F.asc("doc_id")).limit(limit)
 
 
 def to_papers(selected: DataFrame, documents: DataFrame) -> DataFrame:

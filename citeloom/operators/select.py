@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import (
@@ -19,24 +20,32 @@ def requested_ids(raw: DataFrame) -> DataFrame:
 
 
 def select_from_feed(feed: DataFrame, known: DataFrame, limit: int, scan_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Newest papers of a feed (arxiv_id_with_version, seq = 0, 1, ...) that are not known yet.
+    """Newest papers of a feed (arxiv_id_with_version, seq) that are not known yet.
 
-    The feed is read in order until ``limit`` papers are kept or ``scan_cap`` entries are read. Returns the
-    kept papers and one row (requested, selected, scanned, skipped). Blank versions are always kept.
+    The feed is read in the order of ``seq``, which may be of any orderable type and have gaps, until ``limit`` papers
+    are kept or ``scan_cap`` entries are read. Returns the kept papers and one row (requested, selected, scanned,
+    skipped). Blank versions are always kept.
     """
     cap = max(limit * 10 if scan_cap is None else scan_cap, limit)
-    scanned = feed.filter(F.col("seq") < cap).withColumn("__versioned", blank_to_null("arxiv_id_with_version"))
-    firsts = scanned.groupBy("__versioned").agg(F.min("seq").alias("__first"))
-    known_ids = known.select(blank_to_null("arxiv_id_with_version").alias("__versioned")).distinct().withColumn("__known", F.lit(True))
+    # The cap counts entries, not values of seq; it also bounds what the steps below hold.
+    head = feed.orderBy("seq").limit(cap).select(F.struct(*feed.columns).alias("__entry"))
+    numbered = head.withColumn("__at", F.row_number().over(W.orderBy("__entry.seq")) - 1)
+    scanned = numbered.select("__entry.*", F.col("__at").cast("long").alias("__at")).withColumn(
+        # Blank versions get keys of their own that match nothing.
+        "__versioned", F.coalesce(blank_to_null("arxiv_id_with_version"), F.concat(F.lit("none:"), F.col("__at").cast("string")))
+    )
+    firsts = scanned.groupBy("__versioned").agg(F.min("__at").alias("__first"))
+    known_ids = known.select(blank_to_null("arxiv_id_with_version").alias("__versioned")).where("__versioned is not null")
+    known_ids = known_ids.join(scanned.select("__versioned"), "__versioned", "left_semi").distinct().withColumn("__known", F.lit(True))
     flagged = (
         scanned.join(firsts, "__versioned", "left")
         .join(known_ids, "__versioned", "left")
-        .withColumn("__fresh", F.col("__versioned").isNull() | (F.col("seq") == F.col("__first")))
+        .withColumn("__fresh", F.col("__at") == F.col("__first"))
     )
     keep = F.col("__fresh") & F.col("__known").isNull()
     counted = running_totals(
         flagged.withColumns({"__keep": keep, "__skip": F.col("__fresh") & F.col("__known").isNotNull()}),
-        "seq", {"__kept": F.col("__keep")},
+        "__at", {"__kept": F.col("__keep")},
     )
     # Reading stops behind the entry that fills the limit.
     read = counted.filter(F.col("__kept") - F.col("__keep").cast("long") < limit)

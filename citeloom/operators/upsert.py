@@ -51,7 +51,12 @@ def upsert_chunks(chunks: DataFrame, batch: DataFrame, seq: str = "seq", replace
     return upsert(chunks, rows, ["chunk_id"], seq)
 
 
-def upsert_vectors(vectors: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
+def upsert_vectors(vectors: DataFrame, batch: DataFrame, seq: str = "seq", dimension: int | None = None) -> DataFrame:
+    """New vectors win. With ``dimension`` a vector of another length stops the job instead of a later search."""
+    if dimension is not None:
+        wrong = F.concat(F.lit(f"vector of another dimension than {dimension}: "), F.col("chunk_id").cast("string"))
+        fits = F.size("embedding") == dimension
+        batch = batch.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(F.raise_error(wrong)))
     return upsert(vectors, batch, ["chunk_id"], seq)
 
 

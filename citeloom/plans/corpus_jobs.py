@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.config import DEFAULTS, Settings
 from citeloom.functions.scoring import TierThresholds
-from citeloom.operators import catalog, curate, extract, queue, resolve, select, upsert
+from citeloom.operators import catalog, curate, extract, lexical, queue, resolve, select, upsert
 from citeloom.operators.chunking import chunk_sections, extract_sections
 from citeloom.operators.graph import GraphState, fold_batch
 from citeloom.operators.models import Embedder, embed
@@ -92,13 +92,14 @@ def select_by_ids(raw_ids: DataFrame, fetched: DataFrame, papers: DataFrame, ski
 
 @dataclass(frozen=True)
 class Library:
-    """Everything ingestion reads and writes, as one snapshot."""
+    """Everything ingestion reads and writes, as one snapshot. ``index`` is the forward index of the chunks."""
 
     graph: GraphState
     papers: DataFrame
     chunks: DataFrame
     vectors: DataFrame
     metrics: DataFrame
+    index: DataFrame
 
 
 def chunk_papers(papers: DataFrame, fulltexts: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -158,8 +159,9 @@ def ingest_batch(
             GraphState(documents, library.graph.sources, candidates),
             upsert.upsert_papers(library.papers, rows).select(*PAPERS.fieldNames()),
             upsert.upsert_chunks(library.chunks, chunk_rows),
-            upsert.upsert_vectors(library.vectors, chunks.select("chunk_id", "embedding", "seq")),
+            upsert.upsert_vectors(library.vectors, chunks.select("chunk_id", "embedding", "seq"), dimension=settings.embedding_dimension),
             library.metrics,
+            lexical.refresh_index(library.index, chunk_rows),
         ),
         outcomes,
     )
@@ -175,7 +177,7 @@ def checkpointed(library: Library, name: str) -> Library:
     return Library(
         GraphState(cut(graph.documents, "documents"), cut(graph.sources, "sources"), cut(graph.candidates, "candidates")),
         cut(library.papers, "papers"), cut(library.chunks, "paper-chunks"), cut(library.vectors, "vectors"),
-        cut(library.metrics, "metrics"),
+        cut(library.metrics, "metrics"), cut(library.index, "index"),
     )
 
 
@@ -183,7 +185,11 @@ def drain_queue(
     library: Library, fulltexts: DataFrame, now_unix: int, embedder: Embedder | None = None, cache_only: bool = False,
     settings: Settings = DEFAULTS,
 ) -> tuple[Library, list[dict]]:
-    """Ingest until no candidate is ready: (library, totals per round). Rounds are bounded."""
+    """Ingest until no candidate is ready: (library, totals per pass).
+
+    Every attempt takes its candidate off the ready list, so the loop ends; by default one pass takes the whole list.
+    ``settings.queue_batch_size`` cuts it into passes, each of which writes the library anew.
+    """
     rounds: list[dict] = []
     while True:
         batch = materialize(
@@ -191,8 +197,6 @@ def drain_queue(
         )
         if batch.isEmpty():
             return library, rounds
-        if len(rounds) >= settings.queue_max_loops:
-            raise RuntimeError(f"queue did not drain within {settings.queue_max_loops} rounds")
         library, outcomes = ingest_batch(library, batch, fulltexts, now_unix, embedder, cache_only, settings)
         library = checkpointed(library, "library")
         rounds.append(queue.ingest_totals(outcomes).first().asDict())
@@ -289,4 +293,5 @@ def rebuild(
         return replace(library, metrics=table), f"metrics={table.count()}"
 
     library = step("curate", metrics)
-    return library, spark.createDataFrame(report, "step string, status string, seconds double, details string")
+    steps = spark.createDataFrame(report, "step string, status string, seconds double, details string")
+    return library, materialize(steps, "rebuild-report")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "20g") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "10g") -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")

@@ -62,25 +62,28 @@ def reference_stream(spark: SparkSession, runs: str) -> DataFrame:
     )
 
 
-ATTEMPT_STATE = "retry_count int, status string, next_retry_unix long"
+ATTEMPT_STATE = "retry_count int, status string, at_unix long, last_seq long"
 ATTEMPT_ROWS = "doc_id {id_type}, status string, retry_count int, next_retry_unix long, last_seq long"
 
 
 def candidate_lifecycle(results: DataFrame, settings: Settings = DEFAULTS, timeout_ms: int | None = None) -> DataFrame:
     """Running candidate state per document from a stream of attempts (doc_id, status, seq, at_unix).
 
+    The attempt with the largest ``seq`` decides the status, also if older ones arrive in later batches; late ones
+    still count as retries.
+
     With ``timeout_ms`` a blocked candidate whose document stays silent is reported as 'retry_due'.
     """
     retries, wait = max(settings.candidate_max_retries, 1), max(settings.candidate_retry_days, 1) * 86400
     id_type = results.schema["doc_id"].dataType.simpleString()
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, status, due = state.get if state.exists else (0, "discovered", None)
+        count, status, at, last_seq = state.get if state.exists else (0, "discovered", None, None)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], "retry_due", count, due, None)], columns=list(columns)).astype(columns)
+            due = None if at is None else at + wait
+            yield pd.DataFrame([(key[0], "retry_due", count, due, last_seq)], columns=list(columns)).astype(columns)
             return
-        last_seq, at = None, None
         # One frame at a time: a document with many attempts never sits in memory as a whole.
         for rows in frames:
             count += int(rows["status"].isin(["blocked", "failed"]).sum())
@@ -90,7 +93,7 @@ def candidate_lifecycle(results: DataFrame, settings: Settings = DEFAULTS, timeo
         due = None
         if status in ("blocked", "failed"):
             status, due = ("failed", None) if count >= retries else ("blocked", at + wait)
-        state.update((count, status, due))
+        state.update((count, status, at, last_seq))
         if timeout_ms is not None and status == "blocked":
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], status, count, due, last_seq)], columns=list(columns)).astype(columns)
