@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from citeloom.checks import Registry, inputs as I
 from citeloom.operators import hybrid, lexical, relevance, vector
-from citeloom.session import materialize
 from citeloom.operators.relevance import entity_tokens, rare_terms
 
 CHECKS = Registry()
@@ -26,8 +25,8 @@ def chunk_documents(spark, sf_dir):
     + "select term, count(*) as df, cast(sum(tf) as bigint) as cf from postings group by term"
 )
 def index_statistics(spark, sf_dir):
-    """Inverted index with term and document frequencies."""
-    return lexical.document_frequencies(lexical.postings(lexical.forward_index(I.chunk_table(spark, sf_dir))))
+    """Index with term and document frequencies."""
+    return lexical.term_statistics(lexical.forward_index(I.chunk_table(spark, sf_dir)))
 
 
 @CHECKS.query(I.with_sql(**I.CHUNK_CTES, tokens=I.TOKENS_SQL, stats=I.STATS_SQL) + "select * from stats")
@@ -59,7 +58,7 @@ def keyword_search(spark, sf_dir):
 def keyword_search_inverted(spark, sf_dir):
     """The same search by joins with the inverted index, the way for query batches too large to broadcast."""
     corpus = I.corpus(spark, sf_dir)
-    inverted = materialize(lexical.postings(corpus.index), "postings")
+    inverted = lexical.stored_postings(corpus.index)
     hits = lexical.search_inverted(inverted, corpus.statistics, I.benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 

@@ -74,3 +74,20 @@ def test_sections_of_odd_documents(spark):
     for xml, expected in cases.items():
         row = spark.createDataFrame([(xml,)], "xml string").select(extract_sections("xml").alias("s")).first().s
         assert row.error is None and [(s.title, s.text) for s in row.sections] == expected
+
+
+def test_stored_postings_are_pruned_by_term(spark):
+    from citeloom.operators import lexical
+
+    rows = [(f"c{i}", "a", "t", "s", f"{w}{i % 7} common zebra") for i, w in enumerate(["alpha", "beta", "gamma", "delta", "epsilon"] * 40)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, arxiv_id string, title string, section_title string, text string")
+    index = lexical.forward_index(chunks)
+    stored, statistics = lexical.stored_postings(index), lexical.corpus_statistics(index)
+    queries = spark.createDataFrame([("q", "gam alpha1 al"), ("r", "zeb zebra")], "query_id string, query string")
+    near = lexical.prune_terms(stored, lexical.query_terms(queries))
+    assert {r.term for r in near.select("term").distinct().collect()} == {f"{w}{i}" for w in ("alpha", "gamma") for i in range(7)} | {"zebra"}
+    assert "PushedFilters: [Or(" in near._jdf.queryExecution().toString()
+    as_rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.collect())
+    assert as_rows(lexical.search_inverted(stored, statistics, queries, 9)) == as_rows(lexical.keyword_search(index, statistics, queries, 9))
+    totals = {r.term: (r.df, r.cf) for r in lexical.term_statistics(index).collect()}
+    assert totals["zebra"] == (200, 200) and totals["t"] == (200, 200) and totals["alpha0"][0] == 6
