@@ -45,9 +45,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once, read many: a Parquet table in the shared folder.
 
     Used where several branches of one job read the same expensive intermediate. Unlike a cache it
-    survives lost executors and later branches read only the columns they need.
+    survives lost executors and later branches read only the columns they need. Zstandard, because digests and
+    hashes written as text hardly shrink without entropy coding.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
