@@ -10,6 +10,7 @@ from citeloom import schemas
 from citeloom.checks import Registry, inputs as I
 from citeloom.checks.corpus_state import _ATTEMPT, references, resolutions
 from citeloom.checks.discovery import MENTION_CTES
+from citeloom.checks.selection import RESOLVE_CTES, dois, work_cache
 from citeloom.config import Settings
 from citeloom.operators import lexical
 from citeloom.operators.graph import GraphState
@@ -38,6 +39,47 @@ def streamed_references(spark, sf_dir):
     return jobs.read_snapshot(spark, f"{root}/state", last).documents.select("doc_id", "status", "resolution_confidence")
 
 
+def recorded(spark, sf_dir):
+    """Mentions and looked-up DOIs recorded as two runs: (state, root of the artifacts)."""
+    root = f"{shared_folder(spark)}/recorded-{uuid.uuid4().hex}"
+    state = corpus_jobs.record_run(
+        spark, references(spark, sf_dir), "references", GraphState.empty(spark), root, "20240101T000000Z-awesome", NOW)
+    done = corpus_jobs.resolve_from_cache(dois(spark, sf_dir), work_cache(spark, sf_dir), NOW).resolutions
+    resolved = corpus_jobs.record_run(
+        spark, done.withColumn("seq", F.xxhash64("doc_id", "doi")), "resolutions", GraphState.empty(spark), root, "20240102T000000Z-openalex", NOW)
+    return state, resolved, root
+
+
+@CHECKS.query(I.with_sql(**MENTION_CTES) + r"""select case kind when 'arxiv' then 'axv:' || value else 'doi:' || value end as doc_id,
+    case when bool_or(kind = 'arxiv' and regexp_matches(value, 'v\d+$')) then 'ready' else 'discovered' end as status,
+    case when bool_or(kind = 'arxiv' and regexp_matches(value, 'v\d+$')) then 0.9::double else 0::double end as resolution_confidence
+    from mentions group by 1""")
+def discovered_state(spark, sf_dir):
+    """Texts mined, written as a run artifact, folded from it."""
+    return recorded(spark, sf_dir)[0].documents.select("doc_id", "status", "resolution_confidence")
+
+
+@CHECKS.query(I.with_sql(**RESOLVE_CTES, sure="""select *, case when arxiv_id is not null then 0.95::double when pdf_url is not null then 0.75::double
+      else 0.3::double end as c from resolved where cache_state = 'resolved'""")
+    + """select doc_id, max(c) as resolution_confidence from (select 'doi:' || doi as doc_id, c from sure
+      union all select 'axv:' || arxiv_id, c from sure where arxiv_id is not null) x group by doc_id""")
+def resolved_state(spark, sf_dir):
+    """DOIs resolved from the cache, written as a run artifact, folded from it; a DOI that resolves to a paper
+    gives both documents."""
+    return recorded(spark, sf_dir)[1].documents.select("doc_id", "resolution_confidence")
+
+
+@CHECKS.query(I.with_sql(**MENTION_CTES, **RESOLVE_CTES) + """select '20240101T000000Z-awesome' as run_id, count(*) as n, count(distinct value) as n_keys from mentions
+    union all select '20240102T000000Z-openalex', count(*), count(distinct doi) from resolved where cache_state = 'resolved'""")
+def event_log_rows(spark, sf_dir):
+    """The event logs of both runs, read back."""
+    root = recorded(spark, sf_dir)[2]
+    n = F.count(F.lit(1)).alias("n")
+    seen = spark.read.json(f"{root}/events/references").groupBy("run_id").agg(n, F.count_distinct("normalized_value").alias("n_keys"))
+    done = spark.read.json(f"{root}/events/resolutions").groupBy("run_id").agg(n, F.count_distinct("doi").alias("n_keys"))
+    return seen.unionByName(done)
+
+
 def event_stream(spark, sf_dir):
     schema = I.table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn(

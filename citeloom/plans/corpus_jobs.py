@@ -12,11 +12,11 @@ from citeloom.config import DEFAULTS, Settings
 from citeloom.functions.scoring import TierThresholds
 from citeloom.operators import catalog, curate, extract, lexical, queue, resolve, select, upsert
 from citeloom.operators.chunking import chunk_sections, extract_sections
-from citeloom.operators.graph import GraphState, fold_batch
+from citeloom.operators.graph import GraphState, fold_batch, reference_events, resolution_events
 from citeloom.operators.models import Embedder, embed
 from citeloom.schemas import PAPERS
 from citeloom.session import materialize
-from citeloom.sources.files import require_rows
+from citeloom.sources.files import numbered, read_references, read_resolutions, require_rows, write_run
 
 
 # --- discover and resolve ------------------------------------------------------------------------------------
@@ -55,6 +55,29 @@ def resolve_from_cache(dois: DataFrame, cache: DataFrame, resolved_at: int) -> R
     )
 
 
+def record_run(
+    spark, rows: DataFrame, kind: str, state: GraphState, root: str, run_id: str, now_unix: int, settings: Settings = DEFAULTS
+) -> GraphState:
+    """State after one run of discovered ``references`` or of ``resolutions`` (``kind``).
+
+    The rows are written in the order of ``seq`` as the run's artifact, which is immutable; the fold and the event log
+    read the artifact, so a state can be rebuilt from artifacts alone. A run id that exists is refused before anything
+    else is written.
+    """
+    write_run(rows.orderBy("seq").drop("seq"), f"{root}/{kind}", run_id)
+    path = f"{root}/{kind}/run_id={run_id}"
+    if kind == "references":
+        landed = materialize(numbered(read_references(spark, path).drop("run_id")), "run")
+        events, inputs = reference_events(landed, run_id), (landed, None)
+    elif kind == "resolutions":
+        landed = materialize(numbered(read_resolutions(spark, path)), "run")
+        events, inputs = resolution_events(landed, run_id, now_unix), (None, landed)
+    else:
+        raise ValueError(f"unknown kind of run: {kind}")
+    write_run(events, f"{root}/events/{kind}", run_id)
+    return fold_batch(state, *inputs, now_unix, settings)
+
+
 # --- selection -----------------------------------------------------------------------------------------------
 
 
