@@ -234,6 +234,14 @@ def parse_model_verdict(reply: ColumnLike) -> Column:
     return F.when(known & k.between(8, 16) & quota.between(2, 8), verdict)
 
 
+def unsure_questions(questions: DataFrame, hits: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Ids of the questions on which the rules alone are less sure than the router's threshold."""
+    features = distribution_features(questions, hits).select("query_id", "num_docs")
+    verdict = rule_route("query", F.least("num_docs", F.lit(6)), settings.enable_decision_mode)
+    asked = questions.select("query_id", "query").join(features, "query_id")
+    return asked.filter(verdict["confidence"] < settings.router_min_confidence).select("query_id")
+
+
 def route_questions(
     questions: DataFrame,
     hits: DataFrame,

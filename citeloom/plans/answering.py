@@ -10,7 +10,9 @@ from citeloom.operators import evaluation, ground, prompts
 from citeloom.operators.hybrid import Corpus, answer_candidates, retrieve_for_answer
 from citeloom.operators.models import Generator, generate
 from citeloom.operators.relevance import irrelevance
-from citeloom.operators.route import effective_parameters, manual_route, mode_name, route_questions
+from citeloom.operators.route import (
+    effective_parameters, manual_route, mode_name, parse_model_verdict, route_questions, summarize_sources, unsure_questions,
+)
 from citeloom.session import materialize
 
 NOT_FOUND = "Not found in indexed corpus."
@@ -19,15 +21,31 @@ WEAK_COMPARISON = "Refusing to answer comparison: need at least 2 sources from e
 REPAIRING = "Draft failed citation check; attempting repair"
 
 
+def ask_router(questions: DataFrame, prelim: DataFrame, router: Generator, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, reply) of a model that chooses modes from the preliminary hits. A reply that breaks the contract, or
+    none, is asked for once more with the strict prompt; what is then still broken falls to the rules."""
+    summary = materialize(summarize_sources(prelim), "router-summary")
+
+    def asked(rows: DataFrame, strict: bool) -> DataFrame:
+        prompt = prompts.router_prompts(rows, summary, settings.enable_decision_mode, strict)
+        replies = materialize(generate(prompt, router), "router-strict" if strict else "router")
+        return replies.select("query_id", "reply", parse_model_verdict("reply").isNotNull().alias("usable"))
+
+    first = asked(questions.select("query_id", "query"), False)
+    broken = first.filter(~F.col("usable")).select("query_id")
+    second = asked(questions.select("query_id", "query").join(broken, "query_id", "left_semi"), True)
+    return first.filter("usable").unionByName(second).select("query_id", "reply")
+
+
 def prepare_answers(
     corpus: Corpus, requests: DataFrame, strategy: str = "hybrid", model_replies: DataFrame | None = None,
-    router_top_k: int = 12, settings: Settings = DEFAULTS,
+    router_top_k: int = 12, settings: Settings = DEFAULTS, router: Generator | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(prepared, sources, maybe_relevant) for requests.
 
     ``requests`` holds query_id, query, vector, mode ('auto' or a mode), k, max_per_doc (null = from the
     route) and section_boost. ``prepared`` has one row per request with route, warnings and an error where
-    the request cannot be answered. One candidate table serves the routing pass and the final pass.
+    the request cannot be answered. ``router`` is a model that may choose modes. One candidate table serves the routing pass and the final pass.
     """
     prelim_request = requests.withColumns({"k": F.lit(router_top_k), "max_per_doc": F.lit(2)})
     widest = requests.withColumn("k", F.greatest(F.coalesce("k", F.lit(12)), F.lit(max(router_top_k, 12))))
@@ -35,6 +53,11 @@ def prepare_answers(
     prelim, maybe_relevant = retrieve_for_answer(corpus, prelim_request, settings, found)
     verdicts = irrelevance(requests, prelim, settings.relevance_threshold)
     automatic = requests.filter(F.lower("mode") == "auto")
+    if router is not None and model_replies is None and strategy != "rules":
+        unsure = automatic
+        if strategy == "hybrid":  # the model is asked only where the rules are unsure
+            unsure = automatic.join(unsure_questions(automatic, prelim, settings), "query_id", "left_semi")
+        model_replies = ask_router(unsure, prelim, router, settings)
     routes = route_questions(automatic, prelim, strategy, model_replies, settings).unionByName(
         manual_route(requests.filter(F.lower("mode") != "auto"), "mode")
     )
@@ -87,13 +110,13 @@ def answer_questions(
         "query_id", "source_count", prompts.repair_prompt("prompt", "reply").alias("prompt")
     )
     repaired = materialize(generate(failed, generator), "repairs").select(
-        "query_id", F.col("reply").alias("second"), ground.citation_check(F.coalesce("reply", F.lit("")), "source_count").alias("recheck")
+        "query_id", F.col("reply").alias("second"), F.col("error").alias("repair_error"), ground.citation_check(F.coalesce("reply", F.lit("")), "source_count").alias("recheck")
     )
     both = drafts.join(repaired, "query_id", "left")
     was_repaired = F.col("recheck").isNotNull()
     final = F.coalesce("recheck", "check")
     told = both.select(
-        "query_id", F.col("error").alias("model_error"), was_repaired.alias("repaired"), final.alias("final"),
+        "query_id", F.coalesce("error", "repair_error").alias("model_error"), was_repaired.alias("repaired"), final.alias("final"),
         F.when(was_repaired & F.col("recheck.valid"), F.col("second")).otherwise(F.col("reply")).alias("answer"),
     )
     status = (
