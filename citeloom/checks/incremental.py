@@ -128,7 +128,7 @@ def streamed_chunks(spark, sf_dir):
         F.concat(F.lit("axv:"), "arxiv_id", F.lit("v1")).alias("doc_id"), "arxiv_id", F.lit("t").alias("title"), sections.alias("sections")
     )
     jobs.enrich_documents_stream(prepared, root).awaitTermination()
-    return spark.read.parquet(f"{root}/chunks").select("chunk_id", "text", "char_start")
+    return jobs.enriched_chunks(spark, root).select("chunk_id", "text", "char_start")
 
 
 def landed_fulltexts(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,13 +29,23 @@ def read_snapshot(spark: SparkSession, root: str, version: int) -> GraphState:
     return GraphState(*[spark.read.schema(s).parquet(f"{root}/batch={version}/{p}") for p, s in PARTS.items()])
 
 
+def batch_time(spark: SparkSession, root: str, batch_id: int, now_unix: Callable[[], int]) -> int:
+    """The time of a batch, written when the batch is first tried and read when it is tried again."""
+    path = f"{root}/times/batch={batch_id}"
+    try:
+        return spark.read.schema("now_unix long").json(path).first()["now_unix"]
+    except AnalysisException:  # the batch has not been tried yet
+        spark.createDataFrame([(now_unix(),)], "now_unix long").coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema("now_unix long").json(path).first()["now_unix"]
+
+
 def fold_references_stream(
     spark: SparkSession, source: DataFrame, root: str, now_unix: Callable[[], int], settings: Settings = DEFAULTS
 ) -> StreamingQuery:
     """Fold new reference artifacts into the canonical state, each batch once.
 
-    Batch n reads snapshot n - 1 and overwrites snapshot n, so a batch that is repeated after a failure gives
-    the same snapshot again. ``source`` is REFERENCES with ``seq``, or comes from ``reference_stream``.
+    Batch n reads snapshot n - 1 and overwrites snapshot n at the time of its first try, so a batch that is repeated
+    after a failure gives the same snapshot again. ``source`` is REFERENCES with ``seq``, or comes from ``reference_stream``.
     """
     root = root.rstrip("/")
 
@@ -42,7 +53,7 @@ def fold_references_stream(
         if "seq" not in batch.columns:
             at = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
             batch = numbered(batch.withColumn("seq", at))
-        state = fold_batch(read_snapshot(spark, root, batch_id - 1), batch, None, now_unix(), settings)
+        state = fold_batch(read_snapshot(spark, root, batch_id - 1), batch, None, batch_time(spark, root, batch_id, now_unix), settings)
         for part in PARTS:
             getattr(state, part).write.mode("overwrite").parquet(f"{root}/batch={batch_id}/{part}")
 
@@ -113,7 +124,8 @@ def first_mentions(references: DataFrame, event_time: str, watermark: str, keys:
 def enrich_documents_stream(
     documents: DataFrame, root: str, embedder: Embedder | None = None, settings: Settings = DEFAULTS
 ) -> StreamingQuery:
-    """New documents (doc_id, arxiv_id, title, sections) to embedded chunks, written once per batch."""
+    """New documents (doc_id, arxiv_id, title, sections) to embedded chunks, written once per batch. A document that
+    comes again replaces its chunks: ``enriched_chunks`` reads the latest ones."""
     root = root.rstrip("/")
     chunks = chunk_sections(documents, settings.chunk_max_chars, settings.chunk_overlap_chars)
     embedded = embed(chunks, "text", "embedding", embedder, settings.embed_batch_size)
@@ -129,6 +141,13 @@ def enrich_documents_stream(
     )
 
 
+def enriched_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks of every streamed document as of its latest batch, so a shorter new text leaves no stale chunks."""
+    rows = spark.read.parquet(f"{root.rstrip('/')}/chunks")
+    latest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["doc_id", "batch"], "left_semi").drop("batch")
+
+
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
     """Drain a bounded stream and read what it wrote."""
     import uuid

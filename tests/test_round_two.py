@@ -91,3 +91,20 @@ def test_stored_postings_are_pruned_by_term(spark):
     assert as_rows(lexical.search_inverted(stored, statistics, queries, 9)) == as_rows(lexical.keyword_search(index, statistics, queries, 9))
     totals = {r.term: (r.df, r.cf) for r in lexical.term_statistics(index).collect()}
     assert totals["zebra"] == (200, 200) and totals["t"] == (200, 200) and totals["alpha0"][0] == 6
+
+
+def test_a_document_that_comes_again_replaces_its_chunks(spark, tmp_path):
+    schema = "doc_id string, arxiv_id string, title string, sections array<struct<title: string, text: string>>"
+    long, short = [("S", "word " * 600)], [("S", "new words")]
+    for docs in ([("d", "a", "t", long), ("e", "b", "t", short)], [("d", "a", "t", short)]):
+        spark.createDataFrame(docs, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        jobs.enrich_documents_stream(stream, str(tmp_path / "out")).awaitTermination()
+    rows = {(r.doc_id, r.text) for r in jobs.enriched_chunks(spark, str(tmp_path / "out")).collect()}
+    assert rows == {("d", "new words"), ("e", "new words")}
+
+
+def test_a_repeated_batch_keeps_its_time(spark, tmp_path):
+    ticks = iter(range(100, 200))
+    first = jobs.batch_time(spark, str(tmp_path), 0, lambda: next(ticks))
+    assert first == jobs.batch_time(spark, str(tmp_path), 0, lambda: next(ticks)) != jobs.batch_time(spark, str(tmp_path), 1, lambda: next(ticks))
