@@ -6,10 +6,9 @@ keys; at a similarity of 0.8 a pair shares none of 32 bands with a chance of 5 i
 
 Texts with equal shingle sets collapse to one representative first. Buckets then need components, not pairs: in each
 of a few rounds every bucket whose members lie in more than one component compares them with one hub, and verified
-links join components. What is left are buckets of texts that collide without being similar. Small ones compare
-across components; members of larger ones go through a prefix filter: sets with similarity t share one of their
-``floor((1 - t) n) + 1`` rarest shingles, so shared passages, which are frequent there, make no pairs. Every check
-compares full sets.
+links join components. What is left are buckets of texts that collide without being similar, such as those that share
+a passage. Small ones pair their members across components; members of larger ones meet in blocks, in which one task
+compares all sets of two blocks at once and returns links only. Every check compares full sets.
 
 Edge cases: a null text, or one without words, has an empty set and is linked with nothing. A text shorter than a
 shingle has its word sequence as its only shingle. Repeated rows of one id are one document; each gives a row. A row
@@ -22,17 +21,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import small_batches
 from citeloom.session import materialize
 
 BANDS, ROWS = 32, 4
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 SMALL_BUCKET = 24
+BLOCK = 512  # sets
+SLICE = 8192  # shingles that are compared at once
 WORDS = 500_000  # word hashes that a worker keeps
 U32, U64 = np.uint32, np.uint64
 
@@ -196,18 +197,55 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return met.where(_alike(F.col("n"), F.col("n_b"), percent)).select(F.col("doc").alias("a"), "b").distinct()
 
 
-def _prefix_members(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, doc, n, comp) with the rarest shingles of each set as keys, as many as similar sets must share."""
-    opened = docs.join(sets, "doc").select("doc", "n", "comp", F.explode("shingles").alias("key"))
-    seen = opened.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    rarest = W.partitionBy("doc").orderBy("df", "key")
-    kept = opened.join(seen, "key").withColumn("at", F.row_number().over(rarest))
-    return kept.where((F.col("at") - 1) * 100 <= F.col("n") * (100 - percent)).where("df > 1").select("key", "doc", "n", "comp")
+def similar_in_block(shingles: list[np.ndarray], comps: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Index pairs, one of ``left`` and one of ``right``, of similar sets in different components."""
+    sizes = np.array([len(s) for s in shingles])
+    owner = np.repeat(np.arange(len(shingles)), sizes)
+    _, number, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    shared = times > 1  # others add nothing to an intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[number]
+    owner, number = owner[keep], place[number[keep]]
+    rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    for first in range(0, int(shared.sum()), SLICE):
+        a, b = np.searchsorted(number, (first, first + SLICE))
+        held = np.zeros((len(shingles), SLICE), np.float32)
+        held[owner[a:b], number[a:b] - first] = 1
+        both += held[rows] @ held[columns].T
+    both = both.astype(np.int64)
+    union = sizes[rows][:, None] + sizes[columns][None, :] - both
+    fits = (100 * both >= percent * union) & (comps[rows][:, None] != comps[columns][None, :])
+    return [(int(rows[i]), int(columns[j])) for i, j in zip(*np.nonzero(fits), strict=True)]
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Similar pairs (a, b) across the components of each key. A key is cut into blocks by a hash of the id, and a task
+    compares two blocks, so it holds two blocks of sets and a row goes to as many tasks as its key has blocks."""
+    kind = members.schema["doc"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        docs, own = frame["doc"].to_numpy(), frame["own"].to_numpy()
+        comps = frame["comp"].to_numpy()
+        found = []
+        if (comps != comps[0]).any():
+            i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+            found = similar_in_block([np.asarray(s) for s in frame["shingles"]], comps, own == i, own == j, percent)
+        return pd.DataFrame({"a": [docs[x] for x, _ in found], "b": [docs[y] for _, y in found]})
+
+    blocks = F.ceil(F.col("size") / block)
+    own = F.pmod(F.xxhash64("doc", F.lit(1)), blocks)
+    dealt = members.withColumns({"blocks": blocks, "own": own}).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    ).select("key", "doc", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(sets, "doc").groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(
     documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text",
-    star_rounds: int = STAR_ROUNDS, small_bucket: int = SMALL_BUCKET,
+    star_rounds: int = STAR_ROUNDS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; ``percent`` is the least similarity in hundredths."""
     rows = documents.select(id_col, text)
@@ -248,11 +286,12 @@ def near_duplicates(
     left = materialize(_open(placed).select("key", "size"), "near-open")
     small = placed.join(left.where(F.col("size") <= small_bucket), "key", "left_semi")
     join_links(_across(small, percent), "small")
-    large = placed.join(left.where(F.col("size") > small_bucket), "key", "left_semi").select("doc", "n").distinct()
+    large = members.join(left.where(F.col("size") > small_bucket), "key")
     if not large.isEmpty():
-        spread = materialize(_prefix_members(_with_components(large, found), sets, percent), "near-prefixes")
-        across = spread.join(_open(spread).select("key"), "key", "left_semi")
-        join_links(_across(across, percent), "large")
+        large = materialize(_with_components(large, found), "near-large")
+        fresh = materialize(_links_in_blocks(large, sets, percent, block), "near-links-large")
+        links = links.unionByName(fresh)
+        found = components(links, "near-large")
 
     named = classes if found is None else classes.join(found, "doc", "left").select(
         "set_key", F.coalesce("comp", "doc").alias("doc"))

@@ -50,7 +50,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"small_bucket": 1, "star_rounds": 1}])
+@pytest.mark.parametrize("options", [{}, {"small_bucket": 1, "star_rounds": 1, "block": 7}])
 def test_near_duplicates(spark, options):
     rows = corpus(11)
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, comp string, key int")
