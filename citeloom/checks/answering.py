@@ -314,7 +314,8 @@ def answered_questions(spark, sf_dir):
     )
 
 
-@CHECKS.query()
+@CHECKS.query(I.with_sql(**I.CHUNK_CTES) + r"""select chunk_id, 64 as dimension,
+    case when regexp_matches(strip_accents(lower(text)), '[\p{L}\p{N}]') then 1.0::double else 0.0::double end as norm from chunks""")
 def embedded_chunks(spark, sf_dir):
     """M1: hashed embeddings of every chunk; squared lengths are one."""
     from citeloom.operators.models import embed
