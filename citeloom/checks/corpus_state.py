@@ -33,7 +33,7 @@ _STATUS = (
 )
 _STORED_ID = (
     "case doc_id % 3 when 0 then concat('doi:10.', cast(1000 + doc_id % 9000 as string), '/ab', cast(doc_id as string))"
-    " when 1 then concat('axv:', lpad(cast(2001 + doc_id % 300 as string), 4, '0'), '.', lpad(cast(doc_id % 100000 as string), 5, '0'),"
+    " when 1 then concat('axv:', lpad(cast(2001 + cast(floor(doc_id / 100000) as bigint) % 7999 as string), 4, '0'), '.', lpad(cast(doc_id % 100000 as string), 5, '0'),"
     " 'v', cast(1 + doc_id % 3 as string)) else concat('doi:10.5555/y', cast(doc_id as string)) end"
 )
 

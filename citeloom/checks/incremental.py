@@ -135,7 +135,7 @@ def landed_fulltexts(spark, sf_dir):
     """A full text for the versioned paper that each document mentions; every ninth one is broken."""
     n = F.col("doc_id")
     stem = F.concat(
-        F.lpad((2001 + n % 300).cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"), F.lit("v"), (1 + n % 3).cast("string")
+        F.lpad((2001 + F.floor(n / 100000) % 7999).cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"), F.lit("v"), (1 + n % 3).cast("string")
     )
     body = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     xml = F.concat(
@@ -156,7 +156,7 @@ def empty_library(spark):
 
 def rebuilt(spark, sf_dir):
     catalogue = I.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("ARXIV:"), F.lpad((2001 + F.col("doc_id") % 300).cast("string"), 4, "0"), F.lit("."),
+        F.concat(F.lit("ARXIV:"), F.lpad((2001 + F.floor(F.col("doc_id") / 100000) % 7999).cast("string"), 4, "0"), F.lit("."),
                  F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0")).alias("paper_key"),
         (F.col("doc_id") % 300).cast("int").alias("citationCount"), F.lit(2020).alias("year"), F.col("source").alias("venue"),
         F.array(F.lit("Conference")).alias("publicationTypes"),
@@ -168,14 +168,15 @@ def rebuilt(spark, sf_dir):
     )
 
 
-_VERSIONED = "concat(lpad((2001 + doc_id % 300)::varchar, 4, '0'), '.', lpad((doc_id % 100000)::varchar, 5, '0'), 'v', 1 + doc_id % 3)"
+_VERSIONED = "concat(lpad((2001 + cast(floor(doc_id / 100000) as bigint) % 7999)::varchar, 4, '0'), '.', lpad((doc_id % 100000)::varchar, 5, '0'), 'v', 1 + doc_id % 3)"
 _INGESTED = f"""select doc_id as n, {_VERSIONED} as v, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents where doc_id % 9 > 0"""
 
 
 @CHECKS.query(f"""with i as ({_INGESTED}) select 'axv:' || v as doc_id, regexp_replace(v, 'v\\d+$', '') as arxiv_id,
-    'https://arxiv.org/pdf/' || v || '.pdf' as pdf_url from i where t <> ''""")
+    case when n % 4 = 0 and n % 3 = 1 and n % 5 < 2 then 'https://oa.org/' || n % 50 || '.pdf' else 'https://arxiv.org/pdf/' || v || '.pdf' end as pdf_url
+    from i where t <> ''""")
 def rebuilt_papers(spark, sf_dir):
-    """Restore, drain the queue, curate; the papers that got full text."""
+    """Restore, drain the queue, curate; the papers that got full text, with the PDF of a resolution if it has one."""
     library, _ = rebuilt(spark, sf_dir)
     return library.papers.select("doc_id", "arxiv_id", "pdf_url")
 

@@ -37,9 +37,9 @@ def epoch(c: str) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
 
 
-# The same text runs in both engines.
+# The same text runs in both engines. The id grammar has room for 799,900,000 papers; larger tables repeat ids.
 PAPER_ID = (
-    "concat(lpad(cast(2001 + cast(floor({0} / 100000) as bigint) % 300 as string), 4, '0'), '.',"
+    "concat(lpad(cast(2001 + cast(floor({0} / 100000) as bigint) % 7999 as string), 4, '0'), '.',"
     " lpad(cast({0} % 100000 as string), 5, '0'))"
 )
 TIER = "case when quality = 1 then 0 when toxic = 1 then 2 else 1 end"
@@ -214,7 +214,7 @@ def hybrid_ctes(k: int, boost: float, quota: int) -> dict[str, str]:
 # Text that mentions papers and DOIs, the same expression in both engines.
 REF_TEXT = (
     "concat('See https://doi.org/10.', cast(1000 + doc_id % 9000 as string), '/ab', cast(doc_id as string),"
-    " ', arXiv:', lpad(cast(2001 + doc_id % 300 as string), 4, '0'), '.', lpad(cast(doc_id % 100000 as string), 5, '0'),"
+    " ', arXiv:', lpad(cast(2001 + cast(floor(doc_id / 100000) as bigint) % 7999 as string), 4, '0'), '.', lpad(cast(doc_id % 100000 as string), 5, '0'),"
     " 'v', cast(1 + doc_id % 3 as string), ' and doi: 10.5555/X', cast(doc_id % 7 as string), ').',"
     " ' PDF https://arxiv.org/pdf/', lpad(cast(1001 + doc_id % 11 as string), 4, '0'), '.', lpad(cast(doc_id % 13 as string), 5, '0'),"
     " '.pdf and https://arxiv.org/abs/cs/', lpad(cast(doc_id % 1000 as string), 7, '0'), 'v2. ', text)"
