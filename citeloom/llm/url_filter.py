@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import lower_ascii
 
 SHORT_HEX = 8
-BROADCAST_RULES = 100_000
+BROADCAST_BYTES = 16 * 1024 * 1024
+ROW_BYTES = 160  # of a rule besides its text: digests, numbers, row overhead
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -40,11 +41,11 @@ def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> Da
 
 def judge_urls(
     pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id", default: str = "allow",
-    broadcast_rules: int = BROADCAST_RULES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(id, host, path, rule, verdict) of every page. ``rules``: verdict, host, path.
 
-    The rules are broadcast only if they are at most ``broadcast_rules``; a larger table takes a shuffled join.
+    The rules are broadcast only if they were measured to fit ``broadcast_bytes``; a larger table takes a shuffled join.
     """
     known = (
         rules.select("verdict", lower_ascii(F.col("host")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"))
@@ -74,9 +75,9 @@ def judge_urls(
     ]
     opened = urls.select("*", F.explode(F.array(F.lit(None).cast("string"), *expressions)).alias("__text"))
     opened = opened.withColumn("__full", F.sha2("__text", 256)).withColumn("__short", F.substring("__full", 1, SHORT_HEX))
-    few = known.limit(broadcast_rules + 1).count() <= broadcast_rules
+    size = known.agg(F.sum(F.octet_length("hit.rule") + ROW_BYTES)).first()[0] or 0
     met = opened.join(
-        F.broadcast(known) if few else known,
+        F.broadcast(known) if size <= broadcast_bytes else known,
         (F.col("__short") == F.col("short")) & (F.col("__full") == F.col("full")), "left",
     )
     # The expressions of a URL stand together in one task, so the partial aggregate sends one row per page.

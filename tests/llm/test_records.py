@@ -27,8 +27,8 @@ def test_urls(spark):
     rules = url_filter.rule_table(spark, URL_RULES)
     expected = sorted((i, *brute_verdict(u, URL_RULES)) for i, u in URLS)
     key = lambda r: tuple(str(v) for v in r)
-    for bound in (100, 0):
-        found = [tuple(r) for r in url_filter.judge_urls(pages, rules, broadcast_rules=bound).collect()]
+    for bound in (10_000, 0):
+        found = [tuple(r) for r in url_filter.judge_urls(pages, rules, broadcast_bytes=bound).collect()]
         assert sorted(found, key=key) == sorted(expected, key=key)
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
     assert url_filter.judge_urls(pages.limit(0), rules).collect() == []
