@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from citeloom.llm import html_text, language, toxicity
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header>Top</header><nav><ul><li>Home</ul></nav>
@@ -158,3 +159,25 @@ def test_pipeline(spark, sf_dir):
     tokens = corpus_pipeline.STAGES[-1][1](spark, given, sf_dir).collect()
     assert len(tokens) == seen[-1] and all(r.round_trip and r.n_tokens == len(r.ids) for r in tokens)
     assert 0.6 * docs.count() < seen[-1] < docs.count()
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = [(None, "a text without an id in words", None, None, None), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "1 2 %", "en", "s", 5)]
+    odd += [(-4, "the same row twice in one table", "en", "s", 31)] * 2 + [(-5, "long " * 30_000, None, "s", 150_000)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("kept", F.lit("clash")).withColumn("score", F.lit(1))
+    for table in (both, both.limit(0)):
+        given = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, given, sf_dir)
+            assert kept.columns == both.columns, name
+            given = spark.createDataFrame(kept.collect(), both.schema)
+        ids = [r.doc_id for r in given.collect()]
+        tokens = corpus_pipeline.STAGES[-1][1](spark, given, sf_dir).collect()
+        assert len(tokens) == len(ids) and all(r.round_trip for r in tokens)
+        if table is both:
+            assert not {-1, -2, -3} & set(ids) and ids.count(-4) == 1 and ids.count(-5) == 1 and ids.count(None) == 1
+        else:
+            assert ids == []
