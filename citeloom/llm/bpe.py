@@ -20,7 +20,7 @@ Ids that the vocabulary does not hold raise an error in decoding.
 from __future__ import annotations
 
 import base64
-import functools
+import gc
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from citeloom.llm.common import small_batches
 
-STATES, PIECES, STEPS = 60_000, 700_000, 1_000_000
+STATES, PIECES, STEPS = 30_000, 200_000, 150_000
 NEVER = 1 << 60
 
 
@@ -68,7 +68,7 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Pre-token → ids. One per Python worker."""
+    """Pre-token → ids. One per task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -258,17 +258,6 @@ def utf8_step(state: bytes, byte: int) -> tuple[bytes, str]:
     return (b"", seen.decode()) if len(seen) == needed else (seen, "")
 
 
-@functools.lru_cache(maxsize=2)
-def encoder_of(raw: bytes, pattern: str) -> Encoder:
-    """One per Python worker, so that its tables serve all tasks of the worker."""
-    return Encoder(parse_ranks(raw), pattern)
-
-
-@functools.lru_cache(maxsize=2)
-def decoder_of(raw: bytes) -> Decoder:
-    return Decoder({rank: token for token, rank in parse_ranks(raw).items()})
-
-
 class Decoder:
     """ids → text, one token at a time."""
 
@@ -302,23 +291,35 @@ class Decoder:
         return "".join(out) + ("�" if state else "")
 
 
-def encode_texts(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with an array of token ids in place of its text. The vocabulary file is read by the driver once."""
+def encode_texts(
+    df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``df`` with an array of token ids in place of its text. The vocabulary file is read by the driver once.
+
+    ``decoded`` names a column for the text that the ids decode to, worked out in the same task.
+    """
     with open(vocabulary, "rb") as file:
         raw = df.sparkSession.sparkContext.broadcast(file.read())
-    kept = [c for c in df.columns if c not in (text, out)]
+    names = [out] + ([decoded] if decoded else [])
+    kept = [c for c in df.columns if c not in (text, *names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(raw.value, pattern)
+        encoder = Encoder(parse_ranks(raw.value), pattern)
+        decoder = Decoder(encoder.tokens) if decoded else None
         for batch in batches:
             ids = [encoder.encode(value or "") for value in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, out])
+            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
+            if decoder:
+                made.append(pa.array([decoder.decode(i.tolist()) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *names])
+        del encoder, decoder
+        gc.collect()  # the tables refer to each other; the worker lives on and serves other tasks
 
     small_batches(df.sparkSession)
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    kinds = {out: T.ArrayType(T.IntegerType()), decoded: T.StringType()}
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, kinds[n]) for n in names])
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
@@ -329,7 +330,7 @@ def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
     kept = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = decoder_of(raw.value)
+        decoder = Decoder({rank: token for token, rank in parse_ranks(raw.value).items()})
         for batch in batches:
             lists = batch.column(ids)
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -345,8 +346,7 @@ def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
 
 def token_digests(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Count and digests of ids and of the text decoded from them."""
-    encoded = encode_texts(df.select(id_col, text), vocabulary, pattern, text)
-    decoded = decode_ids(encoded, vocabulary)
+    decoded = encode_texts(df.select(id_col, text), vocabulary, pattern, text, decoded="decoded")
     return decoded.select(
         id_col, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -34,7 +34,7 @@ STAR_ROUNDS = 2
 SMALL_BUCKET = 24
 BLOCK = 512  # sets
 SLICE = 8192  # shingles that are compared at once
-WORDS = 500_000  # word hashes that a worker keeps
+WORDS = 100_000  # word hashes that a worker keeps
 U32, U64 = np.uint32, np.uint64
 
 

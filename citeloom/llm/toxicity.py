@@ -33,7 +33,7 @@ SAMPLE_ROWS = 10_000
 LEXICON_TERMS = 4_000
 LEAST_TEXTS, LEAST_RATIO, LEAST_SHARE = 4, 30.0, 0.9
 NEAR = 8  # words on each side
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 QUOTED = regex.compile(r'"[^"]{1,400}"|“[^”]{1,400}”|„[^“”]{1,400}[“”]|«[^»]{1,400}»|‹[^›]{1,400}›')
 

@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): token ids and whether they decode to the text."""
     vocabulary = public_tokenizers.path(VOCABULARY)
     texts = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("__sha256"))
-    decoded = bpe.decode_ids(bpe.encode_texts(texts, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    decoded = bpe.encode_texts(texts, vocabulary, public_tokenizers.PATTERN, decoded="decoded")
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         (F.sha2("decoded", 256) == F.col("__sha256")).alias("round_trip"),

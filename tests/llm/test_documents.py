@@ -163,7 +163,8 @@ def test_tokens(spark, vocabulary):
     texts = odd_texts(1)
     frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     decoded = bpe.decode_ids(bpe.encode_texts(frame, path, public_tokenizers.PATTERN), path)
-    for r in decoded.collect():
+    both = bpe.encode_texts(frame, path, public_tokenizers.PATTERN, decoded="decoded")
+    for r in [*decoded.collect(), *both.collect()]:
         assert list(r.ids) == reference.encode_ordinary(texts[r.doc_id] or "") and r.decoded == (texts[r.doc_id] or "")
     assert bpe.token_digests(frame.limit(0), path, public_tokenizers.PATTERN).collect() == []
 
