@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from citeloom.llm.common import small_batches
 
-STATES, PIECES, STEPS = 30_000, 200_000, 150_000
+STATES, PIECES, STEPS = 60_000, 450_000, 400_000
 NEVER = 1 << 60
 
 
