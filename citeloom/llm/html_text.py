@@ -6,8 +6,9 @@ token streams, joined with separators; their suffixes are sorted by prefix doubl
 which is the part of a suffix array that shows repeats of at least that length. Tokens inside such a repeat that occurs on
 distinct pages are covered.
 
-Where a page marks its article (``article``, else ``main``), the marks decide: a passage that repeats inside articles
-is content. Where it marks none, blocks that are mostly covered are boilerplate, and the unique ones are the text.
+Where a page marks its article (``article``, else ``main``) and half of its tokens or more stand there, the marks
+decide: a passage that repeats inside articles is content. Elsewhere blocks that are mostly covered are boilerplate, and
+the unique ones are the text. Attributes are read one by one and count by their whole names.
 
 Pages go to tasks by host; hosts with more than a fixed share of all pages are split by a hash of the id. A task
 streams through the pages of a host in batches, each with some pages of the batch before as context.
@@ -57,17 +58,21 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-MARK = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[^\W_]+")
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
-def _is_dropped(name: str, attributes: str, in_article: bool) -> bool:
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Names and values in lower case. Every match takes a whole value, so no name is sought inside of one."""
+    return [(key.lower(), "".join(values).lower()) for key, *values in ATTRIBUTE.findall(text)] if text else []
+
+
+def _is_dropped(name: str, attributes: list[tuple[str, str]], in_article: bool) -> bool:
     if name in DROPPED or name == "header" and not in_article:
         return True
-    for key, *values in MARK.findall(attributes) if attributes else ():
-        value, key = "".join(values).lower(), key.lower()
-        if key == "hidden" or key == "role" and value in DROPPED_ROLES:
+    for key, value in attributes:
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in DROPPED_ROLES:
             return True
         if key in ("class", "id"):
             # The element that holds the text is judged by whole class names, others by their parts too.
@@ -127,11 +132,12 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             dropped, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if name in VOID or tag[3].endswith("/"):
             continue
-        drops = dropped or _is_dropped(name, tag[3], region > 0)
+        attributes = _attributes(tag[3])
+        drops = dropped or _is_dropped(name, attributes, region > 0)
         if drops and not dropped:
             close()
         dropped = drops
-        region = 2 if name == "article" else max(region, 1) if name == "main" or 'role="main"' in tag[3] else region
+        region = 2 if name == "article" else max(region, 1) if name == "main" or ("role", "main") in attributes else region
         stack.append((name, dropped, region))
     close()
     return found
@@ -176,11 +182,13 @@ def main_texts(pages: list[str | None], context: int = 0) -> list[tuple[str, int
     out = []
     for page, found in list(zip(pages, parsed, strict=True))[context:]:
         flags, at, kept = covered[first[page or ""]], 0, []
-        best = max((region for _, region in found), default=0)
+        sizes = [text.count(" ") + 1 for text, _ in found]
+        held = [sum(n for n, (_, region) in zip(sizes, found, strict=True) if region >= least) for least in (0, 1, 2)]
+        best = next((least for least in (2, 1) if held[least] and 2 * held[least] >= held[0]), 0)
         for text, region in found:
             n = text.count(" ") + 1
             share, at = flags[at : at + n].mean(), at + n
-            if region == best and (best or share < 0.5):
+            if best and region >= best or not best and share < 0.5:
                 kept.append(text)
         out.append(("\n".join(kept), len(flags), int(flags.sum())))
     return out

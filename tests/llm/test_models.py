@@ -56,6 +56,18 @@ def test_extract(spark, monkeypatch):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+def test_attributes_and_regions_of_text():
+    for attributes in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="a hidden valley"', 'href="/a?id=comments"', 'data-id="widget"', "data-x='role=\"main\"'"):
+        assert text_of(f"<div {attributes}><p>kept</p></div>") == "kept", attributes
+        assert text_of(f"<article {attributes}><p>kept</p></article>") == "kept", attributes
+    for attributes in ("hidden", "HIDDEN=''", 'title="x" hidden', 'aria-hidden="true"', "id=comments", "role='navigation'"):
+        assert text_of(f"<div {attributes}><p>gone</p></div>x") == "x", attributes
+    teaser = "<article><p>read this too</p></article>"
+    assert text_of(f"<main><p>{'body ' * 50}</p></main>{teaser}").startswith("body body")
+    assert text_of(f"<main><p>{'body ' * 50}</p>{teaser}</main>").startswith("body body")
+    assert text_of(f"<p>{'body ' * 50}</p>{teaser}").startswith("body body")
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
