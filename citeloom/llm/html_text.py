@@ -1,19 +1,20 @@
 """Main text of web pages: marked regions, and repeats across the pages of a host.
 
 A page is read into blocks (runs of text between block-level tags). Elements that mark menus, headers, footers,
-sidebars, notices, adverts, forms and comments take their blocks with them. The blocks of the pages of one host are
-token streams, joined with separators; their suffixes are sorted by prefix doubling, as far as the first ``LONG`` tokens,
-which is the part of a suffix array that shows repeats of at least that length. Tokens inside such a repeat that occurs on
-distinct pages are covered.
+sidebars, notices, adverts, forms and comments take their blocks with them. Attributes are read one by one and count by
+their whole names. The blocks of a page are a token stream; every run of ``LONG`` tokens that a different page of the
+host holds too covers its tokens.
 
 Where a page marks its article (``article``, else ``main``) and half of its tokens or more stand there, the marks
 decide: a passage that repeats inside articles is content. Elsewhere blocks that are mostly covered are boilerplate, and
-the unique ones are the text. Attributes are read one by one and count by their whole names.
+the unique ones are the text.
 
-Pages go to tasks by host; hosts with more than a fixed share of all pages are split by a hash of the id. A task
-streams through the pages of a host in batches, each with some pages of the batch before as context.
+Repeats are found over the whole host: runs are hashed with their host and aggregated to the least and the largest hash
+of a page that holds them, so neither batches nor table sizes change a text, and a hot host is dealt out by its
+runs. Runs count as equal if two independent 64-bit hashes of their tokens and host are. ``covered_tokens`` is the same
+for streams in memory, by suffixes sorted with prefix doubling.
 
-Edge cases: null or empty html gives an empty text. A null URL is a host of its own. Unclosed tags end with their
+Edge cases: null or empty html gives an empty text. Null URLs share one host. Unclosed tags end with their
 parents; unclosed comments and scripts run to the end. Repeated rows are pages of their own, except that equal pages
 do not count as distinct when repeats are sought. An empty table gives no rows; other columns are ignored.
 """
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import small_batches
 from citeloom.llm.url_filter import host_and_path
+from citeloom.session import materialize
 
 LONG = 8
-BATCH_PAGES, BATCH_CHARS, CONTEXT_PAGES = 64, 4_000_000, 8
-HOT_HOSTS = 4096  # no more hosts than this can exceed total / HOT_HOSTS pages
+BROADCAST_ROWS = 2_000_000
 
 # Element names and class words of the HTML vocabulary.
 BLOCKS = frozenset(
@@ -170,8 +171,21 @@ def covered_tokens(streams: list[list[str]], long: int = LONG) -> list[np.ndarra
     return [covered[end - size + 1 : end] for end, size in zip(ends, sizes, strict=True)]
 
 
+def kept_text(found: list[tuple[str, int]], flags: np.ndarray) -> str:
+    """The text of the innermost region that holds half of the tokens or more; without one, the blocks that are not mostly covered."""
+    sizes = [text.count(" ") + 1 for text, _ in found]
+    held = [sum(n for n, (_, region) in zip(sizes, found, strict=True) if region >= least) for least in (0, 1, 2)]
+    best = next((least for least in (2, 1) if held[least] and 2 * held[least] >= held[0]), 0)
+    kept, at = [], 0
+    for n, (text, region) in zip(sizes, found, strict=True):
+        share, at = flags[at : at + n].mean(), at + n
+        if best and region >= best or not best and share < 0.5:
+            kept.append(text)
+    return "\n".join(kept)
+
+
 def main_texts(pages: list[str | None], context: int = 0) -> list[tuple[str, int, int]]:
-    """(text, tokens, covered tokens) of each page after the first ``context`` ones, which only show repeats."""
+    """(text, tokens, covered tokens) of each page after the first ``context`` ones, for the pages of one host in memory."""
     parsed = [blocks(page) for page in pages]
     first: dict[str, int] = {}
     for at, page in enumerate(pages):
@@ -181,59 +195,103 @@ def main_texts(pages: list[str | None], context: int = 0) -> list[tuple[str, int
     covered = dict(zip(alone, covered_tokens(streams), strict=True)) if alone else {}
     out = []
     for page, found in list(zip(pages, parsed, strict=True))[context:]:
-        flags, at, kept = covered[first[page or ""]], 0, []
-        sizes = [text.count(" ") + 1 for text, _ in found]
-        held = [sum(n for n, (_, region) in zip(sizes, found, strict=True) if region >= least) for least in (0, 1, 2)]
-        best = next((least for least in (2, 1) if held[least] and 2 * held[least] >= held[0]), 0)
-        for text, region in found:
-            n = text.count(" ") + 1
-            share, at = flags[at : at + n].mean(), at + n
-            if best and region >= best or not best and share < 0.5:
-                kept.append(text)
-        out.append(("\n".join(kept), len(flags), int(flags.sum())))
+        flags = covered[first[page or ""]]
+        out.append((kept_text(found, flags), len(flags), int(flags.sum())))
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(id, url, text, n_chars, n_tokens, n_covered) of every page."""
+def _mixed(parts: list[np.ndarray], odd: int) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        out = (out ^ part) * np.uint64(odd)
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _windows(frame: pd.DataFrame, long: int) -> pd.DataFrame:
+    """(h, g, row, page, at): two hashes of every run of ``long`` tokens with its host, and where it starts in its row."""
+    streams = [text.replace("\n", " ").split(" ") if text else [] for text in frame["texts"]]
+    sizes = np.array([len(s) for s in streams], np.int64)
+    flat = np.array([token for stream in streams for token in stream], object)
+    owner = np.repeat(np.arange(len(streams)), sizes)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    starts = np.flatnonzero(at + long <= sizes[owner])
+    columns = {}
+    for name, key, odd in (("h", "repeats of a pag", 0x9E3779B97F4A7C15), ("g", "e across a host.", 0xD6E8FEB86659FD93)):
+        tokens = pd.util.hash_array(flat, hash_key=key)
+        host = pd.util.hash_array(frame["host"].to_numpy(object), hash_key=key)
+        columns[name] = _mixed([host[owner[starts]], *(tokens[starts + i] for i in range(long))], odd).view(np.int64)
+    rows, pages = frame["row"].to_numpy(np.int64), frame["page"].to_numpy(np.int64)
+    return pd.DataFrame({**columns, "row": rows[owner[starts]], "page": pages[owner[starts]], "at": at[starts].astype(np.int32)})
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast only what was counted; a larger side is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "url", "text", "n_chars", "n_tokens", "n_covered"]
-        context: list[str | None] = []
-        batch: list[tuple] = []
 
-        def done() -> pd.DataFrame:
-            texts = main_texts([*context, *(b[3] for b in batch)], len(context))
-            rows = [(b[0], b[1], text, len(text), n, c) for b, (text, n, c) in zip(batch, texts, strict=True)]
-            context[:] = [b[3] for b in batch[-CONTEXT_PAGES:]]
-            batch.clear()
-            return pd.DataFrame(rows, columns=names)
+def covered_starts(parsed: DataFrame, long: int = LONG, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(row, starts): where runs of ``long`` tokens start that a different page of the host holds too.
+
+    The first aggregate drops runs whose hash stands on one page only; what is left is judged by both hashes.
+    """
+
+    def every(names: list[str]):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield _windows(frame, long)[names]
+        return run
+
+    source = parsed.select("row", "host", "page", "texts")
+    on_two = F.min("page") != F.max("page")
+    hashes = source.mapInPandas(every(["h", "page"]), "h long, page long")
+    repeated = materialize(hashes.groupBy("h").agg(on_two.alias("two")).where("two").select("h"), "html-repeated")
+    windows = source.mapInPandas(every(["h", "g", "row", "page", "at"]), "h long, g long, row long, page long, at int")
+    candidates = materialize(windows.join(_bounded(repeated, broadcast_rows), "h", "left_semi"), "html-candidates")
+    # A run that stands on many pages of a hot host is one row per task before the exchange.
+    confirmed = candidates.groupBy("h", "g").agg(on_two.alias("two")).where("two").select("h", "g")
+    found = candidates.join(_bounded(materialize(confirmed, "html-confirmed"), broadcast_rows), ["h", "g"], "left_semi")
+    return found.groupBy("row").agg(F.collect_list("at").alias("starts"))
+
+
+def extract(
+    pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html", broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """(id, url, text, n_chars, n_tokens, n_covered) of every page."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [blocks(text) for text in frame.pop("html")]
+            # Blocks hold no line breaks.
+            frame["texts"] = ["\n".join(text for text, _ in b) for b in found]
+            frame["regions"] = ["".join(str(region) for _, region in b) for b in found]
+            yield frame
 
-        size = 0
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame[["id", "url", "host", "html"]].itertuples(index=False, name=None):
-                if batch and (batch[-1][2] != row[2] or len(batch) >= BATCH_PAGES or size >= BATCH_CHARS):
-                    same = batch[-1][2] == row[2]
-                    yield done()
-                    size = 0
-                    if not same:
-                        context.clear()
-                batch.append(row)
-                size += len(row[3] or "")
-        if batch:
-            yield done()
+            rows = []
+            for i, link, texts, regions, starts in frame.itertuples(index=False, name=None):
+                found = list(zip(texts.split("\n"), map(int, regions), strict=True)) if texts else []
+                depth = np.zeros(sum(text.count(" ") + 1 for text, _ in found) + 1, np.int64)
+                if starts is not None:
+                    starts = np.asarray(starts, np.int64)
+                    np.add.at(depth, starts, 1)
+                    np.add.at(depth, starts + LONG, -1)
+                flags = np.cumsum(depth)[:-1] > 0
+                text = kept_text(found, flags)
+                rows.append((i, link, text, len(text), len(flags), int(flags.sum())))
+            yield pd.DataFrame(rows, columns=["id", "url", "text", "n_chars", "n_tokens", "n_covered"])
 
     small_batches(pages.sparkSession)
     host, _ = host_and_path(F.col(url))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), host.alias("host"), F.col(page).alias("html"))
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(total // HOT_HOSTS, BATCH_PAGES)
-    # Bounded: at most HOT_HOSTS hosts have more than total / HOT_HOSTS pages.
-    hot = F.broadcast(counts.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).alias("parts")))
-    spread = rows.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
-    dealt = spread.repartition("host", "part").sortWithinPartitions("host", "part", F.xxhash64("id"), "id")
     kind = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url).alias("url"), host.alias("host"),
+        F.xxhash64(F.coalesce(page, F.lit(""))).alias("page"), F.col(page).alias("html"),
+    )
+    schema = f"row long, id {kind}, url string, host string, page long, texts string, regions string"
+    parsed = materialize(rows.mapInPandas(parse, schema), "html-blocks")
+    placed = parsed.join(covered_starts(parsed, broadcast_rows=broadcast_rows), "row", "left")
     schema = f"id {kind}, url string, text string, n_chars long, n_tokens long, n_covered long"
-    out = dealt.select("id", "url", "host", "html").mapInPandas(run, schema)
+    out = placed.select("id", "url", "texts", "regions", "starts").mapInPandas(finish, schema)
     return out.withColumnsRenamed({"id": id_col})

@@ -68,6 +68,33 @@ def test_attributes_and_regions_of_text():
     assert text_of(f"<p>{'body ' * 50}</p>{teaser}").startswith("body body")
 
 
+def test_repeats_of_a_whole_host(spark):
+    own = [" ".join(f"own{k}x{i}" for i in range(30)) for k in range(400)]
+    notice = " ".join(f"notice{i}" for i in range(12))
+    with_notice = {3, 391}
+    rows = [(k, f"http://a.com/{k}", f"<div>{own[k]}</div>" + (f"<div>{notice}</div>" if k in with_notice else "")) for k in range(400)]
+    rows += [(1000, "http://b.com/", f"<div>{own[3]}</div><div>{notice}</div>")]  # another host
+    rows += [(k, "http://c.com/", f"<div>{notice}</div>") for k in (1001, 1002)]  # equal pages are one
+    rows += [(k, None, f"<div>{notice}</div><div>{own[k - 1000]}</div>") for k in (1003, 1004)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+    for bound in (1000, 0):
+        found = {r.page_id: r for r in html_text.extract(frame, broadcast_rows=bound).collect()}
+        assert len(found) == len(rows)
+        assert all(found[k].text == own[k] and found[k].n_covered == 12 * (k in with_notice) for k in range(400))
+        assert found[1000].text == f"{own[3]}\n{notice}" and found[1001].text == found[1002].text == notice
+        assert found[1003].text == own[3] and found[1004].text == own[4]
+
+
+def test_host_repeats_against_memory(spark):
+    draw = random.Random(3)
+    pages = ["".join(f"<p>{' '.join(draw.choice('abc') for _ in range(draw.randrange(14)))}</p>" for _ in range(3)) for _ in range(40)]
+    pages += [pages[0], None, ""]
+    frame = spark.createDataFrame([(k, "http://a.com/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.page_id: (r.text, r.n_tokens, r.n_covered) for r in html_text.extract(frame).collect()}
+    expected = html_text.main_texts(pages)
+    assert [found[k] for k in range(len(pages))] == expected and any(c for _, _, c in expected)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
