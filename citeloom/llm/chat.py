@@ -10,7 +10,7 @@ becomes ``<\\|``, so no control string can come from a text; a line break in a r
 a list of (start, length) spans in code points: the escaped texts of assistant turns.
 
 Edge cases: a null text or role is empty. An answer to a missing message starts a tree of its own. Messages in a cycle
-have no root and are left out. Ties of path scores go to the smaller leaf id. Rows of one conversation with equal
+have no root and are left out. Rows with a null conversation id are one conversation, with a null id. Ties of path scores go to the smaller leaf id. Rows of one conversation with equal
 turns follow each other in the order of role and text, so repeated rows are repeated turns. An empty table gives no
 rows; columns other than those named are ignored.
 """
@@ -41,6 +41,11 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def _key(tree: str = "tree") -> Column:
+    """A tree as a join key that is never null."""
+    return F.struct(F.col(tree).isNull().alias("none"), F.col(tree).alias("id")).alias("tree")
+
+
 def linear_tree(messages: DataFrame, tree: str = "conv_id", turn: str = "turn") -> DataFrame:
     """(tree, node, parent, score, role, text): each row answers the row before it."""
     order = W.partitionBy(tree).orderBy(turn, F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
@@ -57,7 +62,7 @@ def chosen_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     ``nodes``: tree, node, parent, score; (tree, node) is unique. ``up`` counts steps from the leaf. The number of
     rounds is the logarithm of the depth.
     """
-    base = materialize(nodes.select("tree", "node", "parent", F.col("score").cast("double").alias("score")), "chat-nodes")
+    base = materialize(nodes.select(_key(), "node", "parent", F.col("score").cast("double").alias("score")), "chat-nodes")
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("__known"))
     jump = materialize(
         base.join(known, ["tree", "parent"], "left").select(
@@ -93,13 +98,14 @@ def chosen_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
             "tree", "leaf", "rank", (F.col("up") + F.lit(2**k)).alias("up"), F.col("anc").alias("node")
         )
         path = materialize(path.unionByName(higher), f"chat-path-{k}")
-    return path
+    return path.withColumn("tree", F.col("tree.id"))
 
 
 def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(tree, leaf, rank, formatted, loss_spans) of every path."""
-    turns = paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select(
-        "tree", "leaf", "rank", "up", F.col("role"),
+    placed_at = paths.select(_key(), "leaf", "rank", "up", "node")
+    turns = placed_at.join(nodes.select(_key(), "node", "role", "text"), ["tree", "node"]).select(
+        F.col("tree.id").alias("tree"), "leaf", "rank", "up", F.col("role"),
         F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK)), F.lit("\n")).alias("head"),
         escape(F.col("text")).alias("body"),
     )
@@ -132,7 +138,7 @@ def masked_text(formatted: str, spans) -> str:
 
 
 DIGESTS = (
-    "tree long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    "tree string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 )
 
 
@@ -152,4 +158,6 @@ def read_back(conversations: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["tree", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     small_batches(conversations.sparkSession, 500)
-    return conversations.select("tree", "formatted", "loss_spans").mapInPandas(digests, DIGESTS)
+    # As text, because pandas would turn integers beside a null into floating-point numbers.
+    given = conversations.select(F.col("tree").cast("string").alias("tree"), "formatted", "loss_spans")
+    return given.mapInPandas(digests, DIGESTS).withColumn("tree", F.col("tree").cast(conversations.schema["tree"].dataType))

@@ -70,6 +70,18 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_paths(nothing, chat.chosen_paths(nothing))).collect() == []
 
 
+def test_conversation_without_id(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "hello"), (None, 2, "user", "bye"), (2**53 + 1, 0, "user", "x")]
+    nodes = chat.linear_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    paths = chat.chosen_paths(nodes)
+    assert {(r.tree, r.up) for r in paths.collect()} == {(None, 0), (None, 1), (None, 2), (2**53 + 1, 0)}
+    formatted = chat.format_paths(nodes, paths)
+    assert {r.tree: chat.parse(r.formatted) for r in formatted.collect()} == {
+        None: [("user", "hi"), ("assistant", "hello"), ("user", "bye")], 2**53 + 1: [("user", "x")],
+    }
+    assert {(r.tree, r.n_turns, r.loss_chars) for r in chat.read_back(formatted).collect()} == {(None, 3, 5), (2**53 + 1, 1, 0)}
+
+
 def test_reply_trees(spark):
     nodes = [(1, 1, None, 1.0), (1, 2, 1, 5.0), (1, 3, 1, 1.0), (1, 4, 3, 1.0), (1, 5, 3, 9.0), (2, 1, 99, 0.0), (2, 2, 3, 1.0), (2, 3, 2, 1.0)]
     nodes += [(3, i, i - 1 if i else None, 0.0) for i in range(300)]
