@@ -12,8 +12,10 @@ finds them. Candidates then are pairs with an equal coordinate, and a pair count
 compared as strings over the whole document, are contained to ``least`` or more.
 
 Words are runs of letters and digits in lower case. Edge cases: texts that are null, empty or shorter than one
-shingle match nothing. Rows with one document id are one document. Repeated items, and items with equal texts, each
-get their rows. Empty tables give no rows. Columns other than ids and texts are ignored.
+shingle match nothing. Rows with one document id are one document, and so are, for ``contained_items``, those without an
+id. Rows with one item id are one item, and items with equal texts each get their rows. ``contained_items`` names no
+items without an id; ``clean_documents`` takes each text without an id as an item, or a document, of its own. Empty
+tables give no rows. Columns other than ids and texts are ignored.
 """
 
 from __future__ import annotations
@@ -59,56 +61,95 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def contained_items(
-    documents: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5, coordinates: int = COORDINATES,
-    id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """(doc id, item id, n_shingles, n_shared, containment) of every item contained to ``least`` or more."""
-    item_rows = items.select(F.col(item_col), words_of(F.col(text)).alias("words"))
-    item_set = _hash_rows(item_rows, width).select(item_col, "h", F.array_join(
+def _key(column: str, text: str, alone: bool = False) -> Column:
+    """An id as a join key that is never null. ``alone``: texts without an id have a key each."""
+    none = F.col(column).isNull()
+    own = F.when(none, F.sha2(F.coalesce(text, F.lit("")), 256)) if alone else F.lit(None).cast("string")
+    return F.struct(none.alias("none"), F.col(column).alias("id"), own.alias("own"))
+
+
+def _shingles(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    words = rows.select(*keys, words_of(F.col("text")).alias("words"))
+    placed = words.withColumn("at", F.explode_outer(_positions("words", width))).where("at is not null")
+    return placed.select(*keys, F.array_join(F.slice("words", F.col("at") + 1, width), " ").alias("shingle")).distinct()
+
+
+def _contained(documents: DataFrame, items: DataFrame, least: float, width: int, coordinates: int, broadcast_rows: int) -> DataFrame:
+    """(doc, item, n_shingles, n_shared, containment) for documents (doc, text) and items (item, text); no key is null."""
+    item_rows = items.select("item", words_of(F.col("text")).alias("words"))
+    item_set = _hash_rows(item_rows, width).select("item", "h", F.array_join(
         F.slice("words", F.col("at") + 1, width), " ").alias("shingle")).distinct()
-    sizes = item_set.groupBy(item_col).agg(F.count(F.lit(1)).alias("n_shingles"))
+    sizes = item_set.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"))
     sizes = sizes.withColumn("u", F.pow(F.lit(2), F.ceil(F.log2("n_shingles"))).cast("int"))
-    item_set = materialize(item_set.join(sizes, item_col), "decon-items")
-    item_signature = materialize(_signature(item_set, [item_col, "u"], coordinates), "decon-signatures")
+    item_set = materialize(item_set.join(sizes, "item"), "decon-items")
+    item_signature = materialize(_signature(item_set, ["item", "u"], coordinates), "decon-signatures")
 
-    own = item_set.select(item_col, "u", "h", F.explode(F.sequence(F.lit(0), F.lit(coordinates - 1))).alias("k"))
+    own = item_set.select("item", "u", "h", F.explode(F.sequence(F.lit(0), F.lit(coordinates - 1))).alias("k"))
     witnesses = materialize(
-        own.withColumn("value", F.xxhash64("h", "k")).join(item_signature, [item_col, "u", "k", "value"], "left_semi")
+        own.withColumn("value", F.xxhash64("h", "k")).join(item_signature, ["item", "u", "k", "value"], "left_semi")
         .select("h", "u").distinct(), "decon-witnesses",
     )
-    texts = documents.select(F.col(id_col), F.col(text))
-    shingles = _hash_rows(texts.select(id_col, words_of(F.col(text)).alias("words")), width).select(id_col, "at", "h")
+    texts = documents.select("doc", "text")
+    shingles = _hash_rows(texts.select("doc", words_of(F.col("text")).alias("words")), width).select("doc", "at", "h")
     met = shingles.join(_bounded(witnesses, broadcast_rows), "h")
     block = F.floor(F.col("at") / F.col("u")).cast("int")
-    windows = met.select(id_col, "u", F.explode(F.array(block, block - 1)).alias("w")).where("w >= 0").distinct()
+    windows = met.select("doc", "u", F.explode(F.array(block, block - 1)).alias("w")).where("w >= 0").distinct()
     windows = materialize(windows, "decon-windows")
     touched = materialize(
-        texts.join(windows.select(id_col).distinct(), id_col, "left_semi")
-        .select(id_col, words_of(F.col(text)).alias("words")), "decon-documents",
+        texts.join(windows.select("doc").distinct(), "doc", "left_semi")
+        .select("doc", words_of(F.col("text")).alias("words")), "decon-documents",
     )
 
-    cut = touched.join(windows, id_col).select(
-        id_col, "u", "w", F.slice("words", F.col("w") * F.col("u") + 1, 2 * F.col("u") + width - 1).alias("words")
+    cut = touched.join(windows, "doc").select(
+        "doc", "u", "w", F.slice("words", F.col("w") * F.col("u") + 1, 2 * F.col("u") + width - 1).alias("words")
     )
-    window_signature = _signature(_hash_rows(cut, width), [id_col, "u", "w"], coordinates)
+    window_signature = _signature(_hash_rows(cut, width), ["doc", "u", "w"], coordinates)
     candidates = materialize(
-        window_signature.join(_bounded(item_signature, broadcast_rows), ["u", "k", "value"]).select(id_col, item_col).distinct(),
+        window_signature.join(_bounded(item_signature, broadcast_rows), ["u", "k", "value"]).select("doc", "item").distinct(),
         "decon-candidates",
     )
 
-    wanted = candidates.join(item_set.select(item_col, "shingle", "n_shingles"), item_col)
-    present = touched.join(candidates.select(id_col).distinct(), id_col, "left_semi")
+    wanted = candidates.join(item_set.select("item", "shingle", "n_shingles"), "item")
+    present = touched.join(candidates.select("doc").distinct(), "doc", "left_semi")
     present = present.withColumn("at", F.explode_outer(_positions("words", width))).where("at is not null").select(
-        id_col, F.array_join(F.slice("words", F.col("at") + 1, width), " ").alias("shingle")
+        "doc", F.array_join(F.slice("words", F.col("at") + 1, width), " ").alias("shingle")
     ).distinct()
-    shared = wanted.join(present, [id_col, "shingle"]).groupBy(id_col, item_col, "n_shingles").agg(
+    shared = wanted.join(present, ["doc", "shingle"]).groupBy("doc", "item", "n_shingles").agg(
         F.count(F.lit(1)).alias("n_shared")
     )
     return shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= least)
 
 
-def clean_documents(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that contain no item; all rows of an id go or stay together. A null id stays."""
-    leaks = contained_items(documents, items, id_col=id_col, **options).select(id_col).distinct()
-    return documents.join(leaks, id_col, "left_anti").select(*documents.columns)
+def contained_items(
+    documents: DataFrame, items: DataFrame, least: float = 0.8, width: int = 5, coordinates: int = COORDINATES,
+    id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """(doc id, item id, n_shingles, n_shared, containment) of every item contained to ``least`` or more."""
+    named = F.col(id_col).isNotNull()
+    wanted = items.where(F.col(item_col).isNotNull()).select(_key(item_col, text).alias("item"), F.col(text).alias("text"))
+    found = _contained(
+        documents.where(named).select(_key(id_col, text).alias("doc"), F.col(text).alias("text")), wanted,
+        least, width, coordinates, broadcast_rows,
+    )
+    # The rows without an id are one document of any length, which windows would not fit: its shingles are all compared.
+    shingles = _shingles(wanted, ["item"], width)
+    sizes = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"))
+    held = _shingles(documents.where(~named).select(_key(id_col, text).alias("doc"), F.col(text).alias("text")), ["doc"], width)
+    shared = held.join(shingles, "shingle").groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_shared")).join(sizes, "item")
+    nameless = shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= least)
+    found = found.unionByName(nameless)
+    return found.select(F.col("doc.id").alias(id_col), F.col("item.id").alias(item_col), "n_shingles", "n_shared", "containment")
+
+
+def clean_documents(
+    documents: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text",
+    least: float = 0.8, width: int = 5, coordinates: int = COORDINATES, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The documents that contain no item; all rows of an id go or stay together, rows without an id by their texts."""
+    keyed = documents.withColumn("__doc", _key(id_col, text, alone=True))
+    leaks = _contained(
+        keyed.select(F.col("__doc").alias("doc"), F.col(text).alias("text")),
+        items.select(_key(item_col, text, alone=True).alias("item"), F.col(text).alias("text")),
+        least, width, coordinates, broadcast_rows,
+    ).select(F.col("doc").alias("__doc")).distinct()
+    return keyed.join(leaks, "__doc", "left_anti").select(*documents.columns)

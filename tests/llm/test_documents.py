@@ -111,6 +111,19 @@ def test_leaks(spark):
     assert decontamination.contained_items(docs.limit(0), bench).collect() == []
 
 
+def test_leaks_without_ids(spark):
+    passages = [" ".join(f"{name}{i}" for i in range(30)) for name in ("one", "two", "six")]
+    rest = " ".join(f"rest{i}" for i in range(50))
+    bench = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (7, passages[2])], "item_id long, text string")
+    rows = [(1, f"{rest} {passages[0]}"), (2, f"{passages[1]} {rest}"), (3, rest), (None, f"x {rest} {passages[2]}"), (None, f"y {rest} {passages[0]}"), (None, f"z {rest}")]
+    many = [(None, " ".join(f"n{k}x{i}" for i in range(60))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontamination.clean_documents(docs, bench).collect()} == {rows[2], rows[5]}
+    # As in OP1_SQL: rows without an id are one document, and items without an id have no row.
+    docs = docs.unionByName(spark.createDataFrame(many, docs.schema))
+    assert [(r.doc_id, r.item_id, r.n_shared) for r in decontamination.contained_items(docs, bench).collect()] == [(None, 7, 26)]
+
+
 def edited(texts):
     for at, text in enumerate(texts):
         cut = len(text) // 3
