@@ -26,11 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned. Null texts, texts without letters and undecided votes (a score under
-    one half) go."""
+    """Documents in a language that was learned; null texts and texts without letters go. A low score stays: it says
+    that a text mixes languages, not that it has none."""
     model = language.learn(docs.where(~language.held_out()))
     found = language.identify(docs, model, lang=LANGUAGE, score=SCORE)
-    return found.where((F.col(LANGUAGE) != language.UNDETERMINED) & (F.col(SCORE) >= 0.5)).select(*docs.columns)
+    return found.where(F.col(LANGUAGE) != language.UNDETERMINED).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,6 +183,17 @@ def test_language(spark, sf_dir):
     assert {r.lang_pred for r in language.identify(docs, one).collect()} <= {"de", "und"}
 
 
+def test_language_stage_keeps_vote_cycles(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    line = lambda bias: np.append(np.zeros(language.FEATURES), bias)
+    cycle = language.Model([["a", "b", "c"]], np.zeros((1, language.FEATURES + 1)), {("a", "b"): line(1), ("b", "c"): line(1), ("a", "c"): line(-1)})
+    assert cycle.predict(language.features("some text"))[1] < 0.5
+    monkeypatch.setattr(language, "learn", lambda *a, **k: cycle)
+    docs = spark.createDataFrame([(1, "some text", "a"), (2, "1 2", "a"), (3, None, "a")], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, sf_dir).collect()] == [1]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
