@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, decontamination, fingerprints, html_text, language, near_duplicates, shards, toxicity, url_filter
+from citeloom.llm import (
+    bpe, chat, decontamination, fingerprints, html_text, language, licenses, near_duplicates, shards, toxicity, url_filter,
+)
 from citeloom.llm.common import read_table, text_or_empty
 from citeloom.session import shared_folder
 
@@ -162,6 +164,62 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"), licenses.template_table(spark))
+    return found.select(
+        "doc_id", "n_words", F.col("n_exact").alias("n_base"), "first_word", "last_word",
+        F.col("exact_labels").alias("base_labels"), "labels", "score",
+    )
+
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') as w from documents
+), given(label, text, exact) as (values {templates}),
+t as (
+  select row_number() over () as t, label, exact, w, least({width}, len(w)) as k, len(w) - least({width}, len(w)) + 1 as n_grams
+  from (select label, exact, regexp_extract_all(lower(text), '{word}') as w from given)
+), tg as (
+  select t, k, tp, array_to_string(w[tp + 1 : tp + k], ' ') as g, cast(floor(tp * least(n_grams, {cells}) / n_grams) as int) as cell
+  from (select *, unnest(range(n_grams)) as tp from t)
+), dg as (
+  select n, p, k, array_to_string(w[p + 1 : p + k], ' ') as g
+  from (select n, w, unnest(range(len(w))) as p from d) cross join (select distinct k from t)
+), diagonals as (
+  select n, t, p - tp as diagonal, count(*) as votes, bit_or(cast(1 as bigint) << cell) as mask, min(p) as a, max(p) as b
+  from dg join tg using (k, g) group by 1, 2, 3
+), steps as (
+  select *, case when diagonal - lag(diagonal) over o > (case when exact then 0 else {slack} end) then 1 else 0 end as step
+  from diagonals join t using (t) window o as (partition by n, t order by diagonal)
+), numbered as (select *, sum(step) over (partition by n, t order by diagonal) as span from steps),
+spans as (
+  select n, t, any_value(label) as label, any_value(exact) as exact, any_value(k) as k, any_value(n_grams) as n_grams,
+    any_value(len(w)) as size, sum(votes) as votes, bit_or(mask) as mask, min(a) as a, max(b) as b, min(diagonal) as diagonal
+  from numbered group by n, t, span
+), judged as (
+  select *, bit_count(mask) / least(n_grams, {cells}) as share, exact and votes = n_grams as whole, b - a + k <= {longest} * size as short
+  from spans
+), found as (
+  select n, count(*) filter (whole) as n_base, min(diagonal) filter (whole) as first_word, max(diagonal) filter (whole) as last_word,
+    string_agg(distinct label, ',' order by label) filter (whole) as base_labels,
+    string_agg(distinct label, ',' order by label) filter (whole or not exact and share >= {least} and short) as labels,
+    max(case when exact then cast(whole as int) when short then share else 0 end) as score
+  from judged group by n
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word,
+  cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  cast(coalesce(score, 0) as double) as score
+from d left join found using (n)
+""".format(
+    word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+".replace("\\", "\"), width=licenses.WIDTH, cells=licenses.CELLS, slack=licenses.SLACK,
+    longest=licenses.LONGEST, least=licenses.LEAST_SHARE,
+    templates=", ".join(
+        f"('{label}', '{text}', {exact})" for rows, exact in ((licenses.PHRASES, "true"), (licenses.NOTICES, "false")) for label, text in rows
+    ),
+)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
@@ -173,10 +231,12 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_shards": op9_shards,
     "op10_language": op10_language,
+    "op12_licenses": op12_licenses,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_url_filter": OP4_SQL,
     "op5_near_duplicates": OP5_SQL,
     "op8_chat_format": OP8_SQL,
+    "op12_licenses": OP12_SQL,
 }
