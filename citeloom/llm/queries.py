@@ -212,7 +212,7 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bi
   cast(coalesce(score, 0) as double) as score
 from d left join found using (n)
 """.format(
-    word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+".replace("\\", "\"), width=licenses.WIDTH, cells=licenses.CELLS, slack=licenses.SLACK,
+    word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", width=licenses.WIDTH, cells=licenses.CELLS, slack=licenses.SLACK,
     longest=licenses.LONGEST, least=licenses.LEAST_SHARE,
     templates=", ".join(
         f"('{label}', '{text}', {exact})" for rows, exact in ((licenses.PHRASES, "true"), (licenses.NOTICES, "false")) for label, text in rows
