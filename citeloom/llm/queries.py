@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import (
-    bpe, chat, decontamination, fingerprints, html_text, language, licenses, near_duplicates, shards, toxicity, url_filter,
+    bpe, chat, decontamination, fingerprints, html_text, language, licenses, near_duplicates, prefix_trie, shards, toxicity,
+    url_filter, whitening,
 )
 from citeloom.llm.common import read_table, text_or_empty
 from citeloom.session import shared_folder
@@ -164,6 +165,51 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+    return found.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+OP11_SQL = r"""
+with recursive own as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, turn,
+    sha256(cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '')) as s
+  from conversations where conv_id is not null
+), t as (
+  select c, s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w,
+    row_number() over (partition by c order by turn nulls first, s) as p from own
+), crc(entry) as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end))
+), asked as (
+  select c, c - c % 20 as base, xor(list_reduce(list_concat([4294967295],
+    list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+    lambda a, b: xor(entry[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 4 as h
+  from (select distinct c from t) cross join crc
+), turns as (
+  select a.c, 0 as part, p, s, w from asked a join t on t.c = a.base and p <= h
+  union all select a.c, 1, p, s, w from asked a join t on t.c = a.c and p > h
+), numbered as (select c, s, w, row_number() over (partition by c order by part, p) as d from turns),
+path as (
+  select c, d, w, sha256(string_agg(s, '' order by d) over (partition by c order by d rows unbounded preceding)) as k from numbered
+  union all select c, 0, 0, '' from asked
+), above as (select *, lag(k) over (partition by c order by d) as pk from path),
+nodes as (select d, k, min(c) as conv, count(*) as n, min(pk) as pk, min(w) as w from above group by d, k),
+children as (select d - 1 as d, pk as k, count(*) as n_children from nodes where d > 0 group by 1, 2),
+tree as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (d, k)),
+sums as (
+  select p.d, p.k, count(*) filter (n_children = 0) as n_leaves, sum((n - 1) * v.w) as saved
+  from tree v join path p on p.c = v.conv and p.d <= v.d group by 1, 2
+), ended as (select c, max(d) as d from path group by c),
+ends as (select d, k, sha256(string_agg(cast(c as varchar), ',' order by c)) as e from path join ended using (c, d) group by d, k)
+select n.conv as conv_id, n.d as depth, p.conv as parent_conv_id, n.n as n_convs, n.n_children, n_leaves,
+  cast(saved as bigint) as saved_tokens, coalesce(e, sha256('')) as ends_sha256
+from tree n left join sums using (d, k) left join ends using (d, k) left join tree p on p.d = n.d - 1 and p.k = n.pk
+"""
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents"), licenses.template_table(spark))
     return found.select(
@@ -220,6 +266,17 @@ from d left join found using (n)
 )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    shares = F.array(*[F.lit(float(share)) for share in model.values / (model.trace or 1.0)])
+    opened = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return opened.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"),
+        "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_fingerprints": op2_fingerprints,
@@ -231,12 +288,15 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_shards": op9_shards,
     "op10_language": op10_language,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_licenses": op12_licenses,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op4_url_filter": OP4_SQL,
     "op5_near_duplicates": OP5_SQL,
     "op8_chat_format": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_licenses": OP12_SQL,
 }
