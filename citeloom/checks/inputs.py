@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.hybrid import Corpus
-from citeloom.operators.lexical import corpus_statistics, forward_index
+from citeloom.operators.chunk_store import store_chunks
+from citeloom.operators.lexical import corpus_statistics, forward_index, store_postings
 from citeloom.session import materialize
 
 SECTION_TITLES = ("Introduction", "Method", "Experiments", "Results", "Conclusion")
@@ -173,10 +174,10 @@ PROVENANCE_SQL = f"select concat('axv:', {paper_id()}, 'v1') as doc_id, {PROVENA
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """Chunks are cut once and written; statistics, index and payload then read only their columns."""
-    chunks = materialize(chunk_table(spark, sf_dir), "chunks")
+    chunks = store_chunks(chunk_table(spark, sf_dir), buckets=8)
     index = materialize(forward_index(chunks), "index")
     return Corpus(
-        chunks=chunks, vectors=vector_table(spark, sf_dir), index=index,
+        chunks=chunks, vectors=vector_table(spark, sf_dir), postings=store_postings(index),
         statistics=corpus_statistics(index), tiers=tier_table(spark, sf_dir), provenance=provenance_table(spark, sf_dir),
     )
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from citeloom.checks import Registry, inputs as I
-from citeloom.operators import hybrid, lexical, relevance, vector
+from citeloom.config import DEFAULTS
+from citeloom.operators import hybrid, lexical, probes, relevance, vector
 from citeloom.operators.relevance import entity_tokens, rare_terms
 
 CHECKS = Registry()
@@ -47,7 +50,7 @@ def query_terms(spark, sf_dir):
 def keyword_search(spark, sf_dir):
     """BM25 top-k with prefix terms."""
     corpus = I.corpus(spark, sf_dir)
-    hits = lexical.keyword_search(corpus.index, corpus.statistics, I.benchmark_queries(spark, sf_dir))
+    hits = lexical.keyword_search(corpus.postings, corpus.statistics, I.benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -56,10 +59,10 @@ def keyword_search(spark, sf_dir):
     + "select query_id, chunk_id, round(score, 6) as score, rank from keyword_ranked where rank <= 12"
 )
 def keyword_search_inverted(spark, sf_dir):
-    """The same search by joins with the inverted index, the way for query batches too large to broadcast."""
+    """The same search where nothing may be broadcast, the way for query batches and terms of any size."""
     corpus = I.corpus(spark, sf_dir)
-    inverted = lexical.stored_postings(corpus.index)
-    hits = lexical.search_inverted(inverted, corpus.statistics, I.benchmark_queries(spark, sf_dir))
+    shuffled = replace(DEFAULTS, max_broadcast_bytes=0, rows_per_salt=500)
+    hits = lexical.keyword_search(corpus.postings, corpus.statistics, I.benchmark_queries(spark, sf_dir), settings=shuffled)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -73,6 +76,22 @@ def vector_search(spark, sf_dir):
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@CHECKS.query(
+    I.with_sql(queries=I.QUERIES_SQL, vector_ranked=I.VECTOR_RANKED_SQL)
+    + "select count(*) as n_hits, count(distinct query_id) as n_queries, true as recall_reached from vector_ranked where rank <= 12"
+)
+def vector_search_probed(spark, sf_dir):
+    """E12, K4, H4 by probed cells: how many of the exact top 12 of every query are found, and whether 0.9 of them are."""
+    queries, vectors = I.benchmark_queries(spark, sf_dir), I.vector_table(spark, sf_dir)
+    exact = vector.nearest(queries, vectors).select("query_id", "chunk_id")
+    probed = probes.nearest_probed(queries, probes.build_index(vectors)).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = exact.join(probed, ["query_id", "chunk_id"], "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_hits"), F.countDistinct("query_id").alias("n_queries"),
+        (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+    )
+
+
 @CHECKS.query(
     "select e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(f.embedding as double[])), 6) as similarity"
     " from embeddings e join embeddings f on f.vec_id = e.label"
@@ -125,7 +144,7 @@ def rank_fusion(spark, sf_dir):
     """Outer merge of both hit lists."""
     corpus, queries = I.corpus(spark, sf_dir), I.benchmark_queries(spark, sf_dir)
     fused = hybrid.fuse_ranks(
-        vector.nearest(queries, corpus.vectors), lexical.keyword_search(corpus.index, corpus.statistics, queries)
+        vector.nearest(queries, corpus.vectors), lexical.keyword_search(corpus.postings, corpus.statistics, queries)
     )
     rrf = hybrid.reciprocal_rank(F.col("vector_rank")) + hybrid.reciprocal_rank(F.col("keyword_rank"))
     return fused.select("query_id", "chunk_id", "vector_rank", "keyword_rank", F.round(rrf, 9).alias("rrf"))

@@ -31,7 +31,16 @@ class Settings:
     queue_batch_size: int | None = None  # ready candidates per pass; None takes all at once
     salts: int = 8
     max_broadcast_bytes: int = 64 * 1024 * 1024
-    vectors_per_bucket: int = 200_000
+    sample_vectors: int = 20_000  # that centroids are fitted on
+    most_cells: int = 1024
+    tuning_vectors: int = 200
+    tuned_recall: float = 0.95
+    postings_buckets: int = 64
+    rows_per_salt: int = 1_000_000
+    most_salts: int = 512
+    chunk_rows_per_bucket: int = 200_000
+    most_chunk_buckets: int = 4096
+    pruned_ids: int = 10_000
     rows_per_numbering_bucket: int = 1_000_000
 
 

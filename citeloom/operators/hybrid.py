@@ -12,21 +12,23 @@ from citeloom.config import DEFAULTS, Settings
 from citeloom.functions.ids import citation_label
 from citeloom.functions.scoring import DEFAULT_TIER, PROVENANCE_BOOSTS, TIER_BOOSTS, by_value, in_priority_section
 from citeloom.functions.text import blank_to_null, preview
-from citeloom.operators.lexical import keyword_search
+from citeloom.operators.chunk_store import with_payload
+from citeloom.operators.lexical import Postings, keyword_search
+from citeloom.operators.ordered import measured_broadcast
 from citeloom.operators.relevance import filter_by_entities, irrelevance
 from citeloom.operators.vector import nearest
 from citeloom.session import materialize
 
-HIT_BYTES = 256
+PAYLOAD = ["doc_id", "arxiv_id", "title", "section_title", "text"]
 
 
 @dataclass(frozen=True)
 class Corpus:
     """The tables a retrieval job reads."""
 
-    chunks: DataFrame       # CHUNKS
+    chunks: DataFrame       # CHUNKS, best as a table of chunk_store.store_chunks
     vectors: DataFrame      # chunk_id, embedding
-    index: DataFrame        # chunk_id, tokens, n_tokens
+    postings: Postings      # of lexical.store_postings
     statistics: DataFrame   # one row: n_chunks, total_tokens
     tiers: DataFrame | None = None        # arxiv_id, tier
     provenance: DataFrame | None = None   # doc_id, provenance_kind
@@ -38,11 +40,6 @@ class Retrieval:
     verdicts: DataFrame   # query_id, is_irrelevant for all queries
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int, limit: int = DEFAULTS.max_broadcast_bytes) -> DataFrame:
-    """Broadcast hint only where the row bound proves that the side is small; else Spark plans the join."""
-    return F.broadcast(df) if max_rows * row_bytes <= limit else df
-
-
 def fuse_ranks(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
     """Outer merge of two hit lists in one aggregation: ranks and scores of either list per (query, chunk)."""
     tagged = vector_hits.select("query_id", "chunk_id", "score", "rank", F.lit("vector").alias("source")).unionByName(
@@ -66,32 +63,26 @@ def reciprocal_rank(rank: Column, rrf_k: int = DEFAULTS.rrf_k) -> Column:
 def candidates(corpus: Corpus, queries: DataFrame, vector_k: int, keyword_k: int, settings: Settings = DEFAULTS) -> DataFrame:
     """Fused hits with payload, tier and provenance.
 
-    The hit list has at most (vector_k + keyword_k) rows per query. Within that bound it is sent to the
-    chunk table, so the corpus text is scanned but not shuffled. The result is written once: later passes
-    (boosts, quotas, guard, routing) start from a table of known small size.
+    The hit list has at most (vector_k + keyword_k) rows per query. It is written once and measured; the chunks that it names are
+    read from their buckets. Later passes (boosts, quotas, guard, routing) start from a table of known small size.
     """
     fused = fuse_ranks(
-        nearest(queries, corpus.vectors, vector_k, settings.max_broadcast_bytes, settings.vectors_per_bucket),
-        keyword_search(corpus.index, corpus.statistics, queries, keyword_k, settings),
+        nearest(queries, corpus.vectors, vector_k, settings.max_broadcast_bytes),
+        keyword_search(corpus.postings, corpus.statistics, queries, keyword_k, settings),
     )
-    bound = queries.count() * (vector_k + keyword_k)
-    small = bounded_broadcast(fused, bound, HIT_BYTES, settings.max_broadcast_bytes)
-    payload = corpus.chunks.select("chunk_id", "doc_id", "arxiv_id", "title", "section_title", "text")
-    found = materialize(payload.join(small, "chunk_id"), "hits")
-    found = _attach(found, corpus.tiers, "arxiv_id", "tier", "int", bound, settings)
-    return _attach(found, corpus.provenance, "doc_id", "provenance_kind", "string", bound, settings)
+    found = materialize(with_payload(corpus.chunks, materialize(fused, "fused"), PAYLOAD, settings), "hits")
+    found = _attach(found, corpus.tiers, "arxiv_id", "tier", "int", settings)
+    return _attach(found, corpus.provenance, "doc_id", "provenance_kind", "string", settings)
 
 
-def _attach(
-    hits: DataFrame, table: DataFrame | None, key: str, value: str, value_type: str, bound: int, settings: Settings
-) -> DataFrame:
+def _attach(hits: DataFrame, table: DataFrame | None, key: str, value: str, value_type: str, settings: Settings) -> DataFrame:
     """Left lookup in a table that may be far larger than the hits: the hit keys select its rows first. A key with
     several rows gives its least value, so hits never multiply and the looked-up side has at most one row per hit."""
     if table is None:
         return hits.withColumn(value, F.lit(None).cast(value_type))
-    keys = bounded_broadcast(hits.select(key).distinct(), bound, HIT_BYTES, settings.max_broadcast_bytes)
+    keys = measured_broadcast(hits.select(key).distinct(), settings.max_broadcast_bytes)
     needed = table.select(key, value).join(keys, key, "left_semi").groupBy(key).agg(F.min(value).alias(value))
-    return hits.join(bounded_broadcast(needed, bound, HIT_BYTES, settings.max_broadcast_bytes), key, "left")
+    return hits.join(needed, key, "left")
 
 
 def doc_key() -> Column:

@@ -68,6 +68,17 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, spread: Sequence[str]
     return left.join(right, [on, "__salt"]).drop("__salt")
 
 
+def is_small(df: DataFrame, limit: int) -> bool:
+    """Whether the rows were measured to fit ``limit`` bytes. For stored tables: it reads them."""
+    cells = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(16))
+    return (df.agg(F.sum(cells)).first()[0] or 0) <= limit
+
+
+def measured_broadcast(df: DataFrame, limit: int) -> DataFrame:
+    """A broadcast hint only for rows that were measured to fit; else Spark plans the join."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
 def id_batches(ids: DataFrame, id_col: str, seq: str, batch_size: int) -> DataFrame:
     """Ids in order, cut into batches of a fixed size: (batch_no, ids)."""
     numbered = running_totals(ids.select(id_col, seq), seq, {"__n": F.lit(1)})

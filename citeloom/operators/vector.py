@@ -16,6 +16,7 @@ from citeloom.operators.topk import best_per_row, block_rows, hits_batch, merge_
 HITS = "query_id {id_type}, chunk_id string, score double"
 SCORE_DIGITS = 9
 
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity of two array columns."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
@@ -50,37 +51,42 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def query_slices(queries: DataFrame, dimension: int, max_broadcast_bytes: int) -> Iterator[pa.Table]:
+    """The query batch (query_id, vector) in slices that each fit ``max_broadcast_bytes``, by a hash of the id."""
+    room = max(1, max_broadcast_bytes // (8 * max(dimension, 1)))
+    head = queries.limit(room + 1).toArrow()
+    if head.num_rows <= room:
+        slices = iter([head])
+    else:
+        # Hash slices vary a little in size; half the room keeps every slice near the bound.
+        n = math.ceil(2 * queries.count() / room)
+        slices = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow() for i in range(n))
+    return (s for s in slices if s.num_rows)
+
+
 def nearest(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = DEFAULTS.vector_k,
-    max_broadcast_bytes: int = DEFAULTS.max_broadcast_bytes,
-    vectors_per_bucket: int = DEFAULTS.vectors_per_bucket,
+    queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.vector_k, max_broadcast_bytes: int = DEFAULTS.max_broadcast_bytes,
 ) -> DataFrame:
     """Top-k vectors per query: (query_id, chunk_id, score, rank).
 
     ``queries`` holds (query_id, vector), ``vectors`` holds (chunk_id, embedding). Pairs are scored as matrix
     products and never become rows: each task emits at most k rows per query. A query batch that fits
-    ``max_broadcast_bytes`` travels to the vectors, which are then read in place without any shuffle.
-    A larger one is cut into query blocks that meet vector buckets in a co-grouped shuffle.
+    ``max_broadcast_bytes`` travels to the vectors, which are read in place without any shuffle; a larger
+    one travels in slices, one after the other, and each reads the vectors once.
     """
     first = queries.select(F.size("vector").alias("n")).first()
     dimension = first["n"] if first else 0
     query_vectors = queries.select("query_id", "vector")
-    id_type = query_vectors.schema["query_id"].dataType.simpleString()
+    schema = HITS.format(id_type=query_vectors.schema["query_id"].dataType.simpleString())
     corpus = checked_vectors(vectors.select("chunk_id", "embedding"), dimension)
-    room = max(1, max_broadcast_bytes // (8 * max(dimension, 1)))
-    head = query_vectors.limit(room + 1).toArrow() if first else None
-    if head is None or head.num_rows <= room:
-        partial = _against_broadcast(head, corpus, k, HITS.format(id_type=id_type))
-    else:
-        partial = _against_blocks(query_vectors, corpus, k, room, vectors_per_bucket, HITS.format(id_type=id_type))
+    partial = corpus.sparkSession.createDataFrame([], schema)
+    for at, head in enumerate(query_slices(query_vectors, dimension, max_broadcast_bytes) if first else ()):
+        found = _against_broadcast(head, corpus, k, schema)
+        partial = found if at == 0 else partial.unionByName(found)
     return rank_within(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def _against_broadcast(head: pa.Table | None, corpus: DataFrame, k: int, schema: str) -> DataFrame:
-    if head is None or head.num_rows == 0:
-        return corpus.sparkSession.createDataFrame([], schema)
+def _against_broadcast(head: pa.Table, corpus: DataFrame, k: int, schema: str) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(
         (head.column("query_id").to_pandas().to_numpy(), _unit_rows(_matrix(head.column("vector"))))
     )
@@ -109,36 +115,3 @@ def _against_broadcast(head: pa.Table | None, corpus: DataFrame, k: int, schema:
             yield hits_batch(query_ids, best)
 
     return corpus.mapInArrow(score, schema)
-
-
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
-def _against_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, room: int, vectors_per_bucket: int, schema: str
-) -> DataFrame:
-    # Hash buckets vary a little in size; half the room keeps every block under the bound.
-    n_blocks = max(1, math.ceil(2 * queries.count() / room))
-    n_buckets = max(1, math.ceil(corpus.count() / vectors_per_bucket))
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "bucket", F.explode(_numbers(n_buckets))
-    )
-    buckets = corpus.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(n_buckets))).withColumn(
-        "block", F.explode(_numbers(n_blocks))
-    )
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids = left.column("query_id").to_pandas().to_numpy()
-        best = [(np.empty(0), np.empty(0, dtype=object))] * len(query_ids)
-        if len(query_ids):
-            query_matrix, step = _unit_rows(_matrix(left.column("vector"))), block_rows(len(query_ids))
-            for at in range(0, right.num_rows, step):
-                part = right.slice(at, step)
-                ids = part.column("chunk_id").to_pandas().to_numpy(dtype=object)
-                best = merge_best(best, _score_block(query_matrix, _matrix(part.column("embedding")), ids, k), k)
-        hits = pa.schema([("query_id", left.schema.field("query_id").type), ("chunk_id", pa.string()), ("score", pa.float64())])
-        found = sum(len(ids) for _, ids in best)
-        return pa.Table.from_batches([hits_batch(query_ids, best)]).cast(hits) if found else hits.empty_table()
-
-    return blocks.groupBy("block", "bucket").cogroup(buckets.groupBy("block", "bucket")).applyInArrow(score, schema)

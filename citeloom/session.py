@@ -41,6 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     return scratch
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once, read many: a Parquet table in the shared folder.
 
@@ -49,6 +54,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     hashes written as text hardly shrink without entropy coding.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ def random_vectors(spark, n, dim, name, seed):
     return rows, spark.createDataFrame(data, key)
 
 
-@pytest.mark.parametrize("settings", [{}, {"max_broadcast_bytes": 8 * 8 * 3, "vectors_per_bucket": 40}])
+@pytest.mark.parametrize("settings", [{}, {"max_broadcast_bytes": 8 * 8 * 3}])
 def test_nearest_equals_brute_force_both_ways(spark, settings):
     q, queries = random_vectors(spark, 11, 8, "query", 1)
     v, vectors = random_vectors(spark, 130, 8, "vector", 2)
@@ -64,13 +64,10 @@ def test_keyword_search_equals_model_both_ways(spark):
     asked = {1: "Compare with SuperGlue. super", 2: "match m", 3: "!!", 4: "zzz", 5: "A NOT deep"}
     queries = spark.createDataFrame(list(asked.items()), "query_id int, query string")
     index = lexical.forward_index(chunks)
-    stats = lexical.corpus_statistics(index)
+    stats, stored = lexical.corpus_statistics(index), lexical.store_postings(index)
     want = {(q, r + 1): hit for q, text in asked.items() for r, hit in enumerate(bm25_model(texts, text))}
-    for found in (
-        lexical.keyword_search(index, stats, queries),
-        lexical.search_inverted(lexical.postings(index), stats, queries),
-        lexical.keyword_search(index, stats, queries, settings=Settings(max_broadcast_bytes=128)),
-    ):
+    for settings in (Settings(), Settings(max_broadcast_bytes=0, rows_per_salt=5)):
+        found = lexical.keyword_search(stored, stats, queries, settings=settings)
         got = {(r["query_id"], r["rank"]): (r["score"], r["chunk_id"]) for r in found.collect()}
         assert got.keys() == want.keys()
         for key in want:

@@ -45,7 +45,7 @@ def test_feed_file_to_selection(spark, tmp_path):
 def test_repeated_lookup_rows_do_not_multiply_hits(spark):
     hits = spark.createDataFrame([("q", "c1", "p"), ("q", "c2", "x")], "query_id string, chunk_id string, arxiv_id string")
     tiers = spark.createDataFrame([("p", 2), ("p", 1)], "arxiv_id string, tier int")
-    found = hybrid._attach(hits, tiers, "arxiv_id", "tier", "int", 10, Settings())
+    found = hybrid._attach(hits, tiers, "arxiv_id", "tier", "int", Settings())
     assert sorted((r.chunk_id, r.tier) for r in found.collect()) == [("c1", 1), ("c2", None)]
 
 
@@ -82,15 +82,18 @@ def test_stored_postings_are_pruned_by_term(spark):
     rows = [(f"c{i}", "a", "t", "s", f"{w}{i % 7} common zebra") for i, w in enumerate(["alpha", "beta", "gamma", "delta", "epsilon"] * 40)]
     chunks = spark.createDataFrame(rows, "chunk_id string, arxiv_id string, title string, section_title string, text string")
     index = lexical.forward_index(chunks)
-    stored, statistics = lexical.stored_postings(index), lexical.corpus_statistics(index)
-    queries = spark.createDataFrame([("q", "gam alpha1 al"), ("r", "zeb zebra")], "query_id string, query string")
-    near = lexical.prune_terms(stored, lexical.query_terms(queries))
-    assert {r.term for r in near.select("term").distinct().collect()} == {f"{w}{i}" for w in ("alpha", "gamma") for i in range(7)} | {"zebra"}
-    assert "PushedFilters: [Or(" in near._jdf.queryExecution().toString()
-    as_rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.collect())
-    assert as_rows(lexical.search_inverted(stored, statistics, queries, 9)) == as_rows(lexical.keyword_search(index, statistics, queries, 9))
+    stored = lexical.store_postings(index)
+    queries = spark.createDataFrame([("q", "gam alpha1 al"), ("r", "zeb zebra"), ("s", "ZEB zebra")], "query_id string, query string")
+    members, terms = lexical.query_classes(queries)
+    assert len({r["class"] for r in members.collect()}) == 2
+    hits = lexical.prefix_hits(stored, terms)
+    assert {(r.prefix, r.n) for r in hits.groupBy("prefix").count().withColumnRenamed("count", "n").collect()} == {
+        ("gam", 40), ("al", 40), ("alpha1", 6), ("zeb", 200), ("zebra", 200)
+    }
+    assert "PartitionFilters: [bucket" in hits._jdf.queryExecution().toString()
     totals = {r.term: (r.df, r.cf) for r in lexical.term_statistics(index).collect()}
     assert totals["zebra"] == (200, 200) and totals["t"] == (200, 200) and totals["alpha0"][0] == 6
+    assert {r.term: (r.df, r.cf) for r in stored.vocabulary.collect()} == totals
 
 
 def test_a_document_that_comes_again_replaces_its_chunks(spark, tmp_path):
