@@ -172,13 +172,24 @@ TIERS_SQL = f"select {paper_id()} as arxiv_id, {TIER} as tier from labels"
 PROVENANCE_SQL = f"select concat('axv:', {paper_id()}, 'v1') as doc_id, {PROVENANCE} as provenance_kind from documents"
 
 
+_STORES: dict[tuple[str, str], Corpus] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Chunks are cut once and written; statistics, index and payload then read only their columns."""
+    """The stores of a table folder: chunks, postings, statistics. An application builds them once; its searches share them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = build_corpus(spark, sf_dir)
+    return _STORES[key]
+
+
+def build_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     chunks = store_chunks(chunk_table(spark, sf_dir), buckets=8)
     index = materialize(forward_index(chunks), "index")
     return Corpus(
         chunks=chunks, vectors=vector_table(spark, sf_dir), postings=store_postings(index),
-        statistics=corpus_statistics(index), tiers=tier_table(spark, sf_dir), provenance=provenance_table(spark, sf_dir),
+        statistics=materialize(corpus_statistics(index), "statistics"),
+        tiers=tier_table(spark, sf_dir), provenance=provenance_table(spark, sf_dir),
     )
 
 

@@ -14,15 +14,18 @@ from citeloom.session import shared_path
 
 def store_chunks(chunks: DataFrame, settings: Settings = DEFAULTS, buckets: int | None = None) -> DataFrame:
     """The chunks as a table of ``buckets`` buckets (default: by the number of rows)."""
-    spark = chunks.sparkSession
     if buckets is None:
         buckets = min(settings.most_chunk_buckets, max(8, -(-chunks.count() // settings.chunk_rows_per_bucket)))
-    name = f"chunks_{uuid.uuid4().hex}"
     # One task writes one bucket; an exchange on the key keeps the number of files at the number of buckets.
-    dealt = chunks.repartition(buckets, "chunk_id")
-    writer = dealt.write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").option("compression", "zstd")
-    writer.option("path", shared_path(spark, "chunks")).saveAsTable(name)
-    return spark.table(name)
+    return store_buckets(chunks.repartition(buckets, "chunk_id"), "chunk_id", buckets, "chunks")
+
+
+def store_buckets(dealt: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Rows that are dealt out by ``key`` as a table of as many sorted buckets."""
+    spark, table = dealt.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    writer = dealt.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd")
+    writer.option("path", shared_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
 
 
 def with_payload(store: DataFrame, hits: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> DataFrame:
