@@ -10,7 +10,8 @@ run of a finite automaton; long terms allow one or two edits. A hit counts less
 others stand near it: the window of words around it decides. Text alone is scored.
 
 Edge cases: null and empty texts, and texts without words, score like texts without hits. Without labelled rows of
-both kinds there is no lexicon and every score is the share of toxic labels (0 without labels). Rows with a null label
+both kinds there is no lexicon and every score is the share of toxic labels (about 1e-9 without labels). Quotations and texts may
+have any length; a very long text is scored whole, in time in proportion to its length. Rows with a null label
 or id are not learned from; repeated label rows of an id count once, toxic if any is. Repeated texts score alike.
 """
 
@@ -30,12 +31,13 @@ from citeloom.llm.common import crc32_of_id, small_batches
 from citeloom.session import materialize
 
 SAMPLE_ROWS = 10_000
-LEXICON_TERMS = 4_000
 LEAST_TEXTS, LEAST_RATIO, LEAST_SHARE = 4, 30.0, 0.9
 NEAR = 8  # words on each side
 KEPT_WORDS = 100_000
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-QUOTED = regex.compile(r'"[^"]{1,400}"|“[^”]{1,400}”|„[^“”]{1,400}[“”]|«[^»]{1,400}»|‹[^›]{1,400}›')
+MARK = regex.compile('["“”„«»‹›]')
+# Which marks end a quotation that a mark begins.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "‹": "›"}
 
 
 @dataclass(frozen=True)
@@ -134,6 +136,29 @@ class Matcher:
 FEATURES = 5
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the spans between a quotation mark and the next one that closes it, of any length, in one scan. A mark
+    without a closing one begins nothing, and what lies inside of a quotation begins no other."""
+    marks = [(m.start(), m[0]) for m in MARK.finditer(text)]
+    ending: dict[str, list[int]] = {}  # places of each closing mark, the next one last
+    for at, mark in reversed(marks):
+        ending.setdefault(mark, []).append(at)
+    found, free = [], 0
+    for at, mark in marks:
+        if at < free or mark not in CLOSING:
+            continue
+        ends = []
+        for closing in CLOSING[mark]:
+            places = ending.get(closing, [])
+            while places and places[-1] <= at:
+                places.pop()
+            ends += places[-1:]
+        if ends:
+            found.append((at, min(ends) + 1))
+            free = min(ends) + 1
+    return found
+
+
 def text_features(text: str | None, matcher: Matcher) -> list[float]:
     """Evidence of all hits, a misspelled one counting half; of misspelled ones; per word; in quotations; in one window."""
     lowered = (text or "").lower()
@@ -148,7 +173,7 @@ def text_features(text: str | None, matcher: Matcher) -> list[float]:
     if not hits:
         return [0.0] * FEATURES
     quoted = np.zeros(len(words), bool)
-    if spans := [m.span() for m in QUOTED.finditer(lowered)]:
+    if spans := quotations(lowered):
         starts = np.fromiter((m.start() for m in WORD.finditer(lowered)), np.int64, len(words))
         for a, b in spans:
             quoted[np.searchsorted(starts, a) : np.searchsorted(starts, b)] = True
@@ -183,20 +208,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25)
     return w
 
 
-def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, other: int) -> list[Term]:
-    """Terms (text, is_beginning, toxic texts, other texts) that stand almost only in toxic texts.
+def is_sign(a: Column, n: Column, rate: float) -> Column:
+    """Whether a term in ``n`` texts, ``a`` of them toxic, stands almost only in toxic texts, by a likelihood-ratio test."""
+    b = n - a
+    ratio = 2 * (a * F.log(a / (n * rate)) + F.when(b > 0, b * F.log(b / (n * (1 - rate)))).otherwise(0.0))
+    return (a >= LEAST_TEXTS) & (a >= LEAST_SHARE * n) & (ratio >= LEAST_RATIO)
+
+
+def choose_terms(signs: list[tuple[str, bool, int, int]], toxic: int, other: int) -> list[Term]:
+    """Terms (text, is_beginning, toxic texts, other texts) of those that passed the test.
 
     A beginning is left to a longer term that stands in nearly as many texts; of the rest, a shorter beginning covers
     the longer terms.
     """
-    rate = toxic / max(1, toxic + other)
-
-    def is_sign(a: int, b: int) -> bool:
-        expected, n = (a + b) * rate, a + b
-        ratio = 2 * (a * math.log(a / expected) + (b * math.log(b / (n - expected)) if b else 0.0))
-        return ratio >= LEAST_RATIO and a >= LEAST_SHARE * n
-
-    signs = [c for c in counts if is_sign(c[2], c[3])]
     longer: dict[str, int] = {}
     for text, is_beginning, a, _ in signs:
         for n in range(1, len(text) + (not is_beginning)):
@@ -211,7 +235,7 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, other: in
 
 def learn(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-    sample_rows: int = SAMPLE_ROWS, lexicon_terms: int = LEXICON_TERMS,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
     """A model from about ``sample_rows`` labelled texts. ``labels``: only rows that may be learned from."""
     once = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("toxic"))
@@ -243,9 +267,9 @@ def learn(
     bad = (F.col("toxic") > 0).cast("int")
     opened = sample.select(bad.alias("bad"), F.inline(terms))
     counted = opened.groupBy("term", "is_beginning").agg(F.sum("bad").alias("a"), F.count(F.lit(1)).alias("n"))
-    likely = counted.where((F.col("a") >= LEAST_TEXTS) & (F.col("a") >= LEAST_SHARE * F.col("n")))
-    top = likely.orderBy(F.desc("a"), "term", "is_beginning").limit(lexicon_terms)  # the size of the lexicon is bounded
-    chosen = choose_terms([(r["term"], r["is_beginning"], r["a"], r["n"] - r["a"]) for r in top.collect()], toxic, other)
+    # The sample bounds what passes: every term stands in at least LEAST_TEXTS of its texts.
+    passed = counted.where(is_sign(F.col("a"), F.col("n"), toxic / (toxic + other))).collect()
+    chosen = choose_terms([(r["term"], r["is_beginning"], r["a"], r["n"] - r["a"]) for r in passed], toxic, other)
 
     model = Model(chosen, np.zeros(FEATURES + 1))
     measured = score_texts(sample.select(bad.alias("bad"), "text"), model, keep=["bad"], features=True)
