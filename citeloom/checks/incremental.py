@@ -35,8 +35,7 @@ def streamed_references(spark, sf_dir):
         files.write_run(refs.filter(F.col("ref_type") == kind).drop("seq"), f"{root}/runs", run)
     query = jobs.fold_references_stream(spark, jobs.reference_stream(spark, f"{root}/runs"), f"{root}/state", lambda: NOW)
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress["numInputRows"] else query.lastProgress["batchId"] - 1
-    return jobs.read_snapshot(spark, f"{root}/state", last).documents.select("doc_id", "status", "resolution_confidence")
+    return jobs.read_snapshot(spark, f"{root}/state").documents.select("doc_id", "status", "resolution_confidence")
 
 
 def recorded(spark, sf_dir):
@@ -131,6 +130,26 @@ def streamed_chunks(spark, sf_dir):
     return jobs.enriched_chunks(spark, root).select("chunk_id", "text", "char_start")
 
 
+@CHECKS.query(I.with_sql(**{**I.CHUNK_CTES, "lines": "select doc_id, source, 1 as section_no,"
+              " case when doc_id % 10 = 0 then substr(text, 1, 100) else text end as line from documents"})
+              + "select doc_id, count(*) as n_chunks, count(*) as n_vectors, count(*) as n_indexed from chunks group by doc_id")
+def streamed_index(spark, sf_dir):
+    """All documents streamed, then some again with shorter texts; chunks, vectors and postings hold the last state."""
+    root = f"{shared_folder(spark)}/indexed-{uuid.uuid4().hex}"
+    sections = F.array(F.struct(F.lit("Introduction").alias("title"), F.col("text").alias("text")))
+    landed = I.table(spark, sf_dir, "documents").withColumn("arxiv_id", F.expr(I.paper_id()))
+    again = landed.where("doc_id % 10 = 0").withColumn("text", F.substring("text", 1, 100))
+    for rows in (landed, again):
+        came = rows.select(F.concat(F.lit("axv:"), "arxiv_id", F.lit("v1")).alias("doc_id"), "arxiv_id", F.lit("t").alias("title"), sections.alias("sections"))
+        came.write.mode("append").parquet(f"{root}/in")
+        jobs.enrich_documents_stream(spark.readStream.schema(came.schema).parquet(f"{root}/in"), f"{root}/out").awaitTermination()
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count_distinct("chunk_id").alias(name))
+    return (
+        count(jobs.enriched_chunks(spark, f"{root}/out"), "n_chunks").join(count(jobs.enriched_vectors(spark, f"{root}/out"), "n_vectors"), "doc_id")
+        .join(count(jobs.enriched_postings(spark, f"{root}/out"), "n_indexed"), "doc_id")
+    )
+
+
 def landed_fulltexts(spark, sf_dir):
     """A full text for the versioned paper that each document mentions; every ninth one is broken."""
     n = F.col("doc_id")

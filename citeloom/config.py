@@ -36,6 +36,7 @@ class Settings:
     tuning_vectors: int = 200
     tuned_recall: float = 0.95
     postings_buckets: int = 64
+    snapshot_parts: int = 64
     rows_per_salt: int = 1_000_000
     most_salts: int = 512
     chunk_rows_per_bucket: int = 200_000

@@ -16,7 +16,7 @@ from citeloom.operators.graph import GraphState, fold_batch, reference_events, r
 from citeloom.operators.models import Embedder, embed
 from citeloom.schemas import PAPERS
 from citeloom.session import materialize
-from citeloom.sources.files import numbered, read_references, read_resolutions, require_rows, write_run
+from citeloom.sources.files import is_written, numbered, read_references, read_resolutions, require_rows, write_run
 
 
 # --- discover and resolve ------------------------------------------------------------------------------------
@@ -56,15 +56,17 @@ def resolve_from_cache(dois: DataFrame, cache: DataFrame, resolved_at: int) -> R
 
 
 def record_run(
-    spark, rows: DataFrame, kind: str, state: GraphState, root: str, run_id: str, now_unix: int, settings: Settings = DEFAULTS
+    spark, rows: DataFrame, kind: str, state: GraphState, root: str, run_id: str, now_unix: int, settings: Settings = DEFAULTS,
+    resume: bool = False,
 ) -> GraphState:
     """State after one run of discovered ``references`` or of ``resolutions`` (``kind``).
 
     The rows are written in the order of ``seq`` as the run's artifact, which is immutable; the fold and the event log
     read the artifact, so a state can be rebuilt from artifacts alone. A run id that exists is refused before anything
-    else is written.
+    else is written. ``resume`` goes on with a run that was interrupted: what it has written whole is kept, the rest is written.
     """
-    write_run(rows.orderBy("seq").drop("seq"), f"{root}/{kind}", run_id)
+    if not (resume and is_written(spark, f"{root}/{kind}", run_id)):
+        write_run(rows.orderBy("seq").drop("seq"), f"{root}/{kind}", run_id, again=resume)
     path = f"{root}/{kind}/run_id={run_id}"
     if kind == "references":
         landed = materialize(numbered(read_references(spark, path).drop("run_id")), "run")
@@ -74,7 +76,8 @@ def record_run(
         events, inputs = resolution_events(landed, run_id, now_unix), (None, landed)
     else:
         raise ValueError(f"unknown kind of run: {kind}")
-    write_run(events, f"{root}/events/{kind}", run_id)
+    if not (resume and is_written(spark, f"{root}/events/{kind}", run_id)):
+        write_run(events, f"{root}/events/{kind}", run_id, again=resume)
     return fold_batch(state, *inputs, now_unix, settings)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -281,15 +282,18 @@ def require_rows(df: DataFrame, what: str) -> None:
 # --- sinks ---------------------------------------------------------------------------------------------------
 
 
-def write_run(df: DataFrame, runs_dir: str, run_id: str) -> None:
-    """Immutable run artifact: a new partition folder; an existing run id is refused by the writer."""
-    df.drop("run_id").write.mode("errorifexists").json(f"{runs_dir.rstrip('/')}/run_id={run_id}")
+def write_run(df: DataFrame, runs_dir: str, run_id: str, again: bool = False) -> None:
+    """Immutable run artifact: a new partition folder; an existing run id is refused by the writer. ``again`` writes over what an
+    interrupted run has left."""
+    df.drop("run_id").write.mode("overwrite" if again else "errorifexists").json(f"{runs_dir.rstrip('/')}/run_id={run_id}")
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, snapshot: str) -> str:
-    path = f"{root.rstrip('/')}/{snapshot}/{name}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def is_written(spark: SparkSession, runs_dir: str, run_id: str) -> bool:
+    """Whether the artifact of a run was written whole: Spark's writer ends with an empty _SUCCESS file."""
+    try:
+        return spark.read.format("binaryFile").load(f"{runs_dir.rstrip('/')}/run_id={run_id}/_SUCCESS").count() == 1
+    except AnalysisException:
+        return False
 
 
 def write_json(df: DataFrame, path: str) -> None:

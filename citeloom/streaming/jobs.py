@@ -13,20 +13,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citeloom.config import DEFAULTS, Settings
 from citeloom.operators.chunking import chunk_sections
-from citeloom.operators.graph import GraphState, fold_batch
+from citeloom.operators.graph import GraphState, fold_batch, operations_of
+from citeloom.operators.lexical import forward_index, postings
 from citeloom.operators.models import Embedder, embed
-from citeloom.schemas import CANDIDATES, DOCUMENT_SOURCES, DOCUMENTS, REFERENCES
-from citeloom.session import shared_folder
+from citeloom.schemas import CANDIDATES, DOCUMENT_SOURCES, DOCUMENTS, REFERENCES, STREAMED_CHUNKS, STREAMED_POSTINGS, STREAMED_VECTORS
+from citeloom.session import materialize, shared_folder
 from citeloom.sources.files import numbered
+from citeloom.sources.snapshots import Snapshots
 
+ENRICHED = {"chunks": STREAMED_CHUNKS, "vectors": STREAMED_VECTORS, "postings": STREAMED_POSTINGS}
 PARTS = {"documents": DOCUMENTS, "sources": DOCUMENT_SOURCES, "candidates": CANDIDATES}
 
 
-def read_snapshot(spark: SparkSession, root: str, version: int) -> GraphState:
-    """State after batch ``version``; the state before the first batch is empty."""
-    if version < 0:
-        return GraphState.empty(spark)
-    return GraphState(*[spark.read.schema(s).parquet(f"{root}/batch={version}/{p}") for p, s in PARTS.items()])
+def snapshots(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> Snapshots:
+    """The canonical state as tables in parts of document ids."""
+    return Snapshots(spark, root, PARTS, "doc_id", settings.snapshot_parts)
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None, settings: Settings = DEFAULTS) -> GraphState:
+    """State after batch ``version`` (default: the last committed one); the state before the first batch is empty."""
+    store = snapshots(spark, root, settings)
+    version = store.last_commit() if version is None else version if version >= 0 else None
+    return GraphState(*[store.read(name, version) for name in PARTS])
 
 
 def batch_time(spark: SparkSession, root: str, batch_id: int, now_unix: Callable[[], int]) -> int:
@@ -44,18 +52,25 @@ def fold_references_stream(
 ) -> StreamingQuery:
     """Fold new reference artifacts into the canonical state, each batch once.
 
-    Batch n reads snapshot n - 1 and overwrites snapshot n at the time of its first try, so a batch that is repeated
-    after a failure gives the same snapshot again. ``source`` is REFERENCES with ``seq``, or comes from ``reference_stream``.
+    A batch reads and rewrites the parts of the state that its documents fall into, and commits them together. A batch that was
+    committed is passed over; one that failed before is done again at the time of its first try, with the same result.
+    ``source`` is REFERENCES with ``seq``, or comes from ``reference_stream``.
     """
     root = root.rstrip("/")
+    store = snapshots(spark, root, settings)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
+        before = store.last_commit()
+        if before is not None and before >= batch_id:
+            return
         if "seq" not in batch.columns:
             at = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
             batch = numbered(batch.withColumn("seq", at))
-        state = fold_batch(read_snapshot(spark, root, batch_id - 1), batch, None, batch_time(spark, root, batch_id, now_unix), settings)
-        for part in PARTS:
-            getattr(state, part).write.mode("overwrite").parquet(f"{root}/batch={batch_id}/{part}")
+        batch = materialize(batch, "references")
+        now = batch_time(spark, root, batch_id, now_unix)
+        touched = store.touched(operations_of(batch, None, now))
+        state = fold_batch(GraphState(*[store.read(name, before, touched) for name in PARTS]), batch, None, now, settings)
+        store.commit(batch_id, before, {name: getattr(state, name) for name in PARTS}, touched)
 
     return (
         source.writeStream.foreachBatch(fold)
@@ -124,28 +139,61 @@ def first_mentions(references: DataFrame, event_time: str, watermark: str, keys:
 def enrich_documents_stream(
     documents: DataFrame, root: str, embedder: Embedder | None = None, settings: Settings = DEFAULTS
 ) -> StreamingQuery:
-    """New documents (doc_id, arxiv_id, title, sections) to embedded chunks, written once per batch. A document that
-    comes again replaces its chunks: ``enriched_chunks`` reads the latest ones."""
-    root = root.rstrip("/")
-    chunks = chunk_sections(documents, settings.chunk_max_chars, settings.chunk_overlap_chars)
-    embedded = embed(chunks, "text", "embedding", embedder, settings.embed_batch_size)
+    """New documents (doc_id, arxiv_id, title, sections; one row per document and batch) to chunks, vectors and postings.
+
+    The three tables are committed together, in parts of document ids: of a touched part, the rows of documents that come
+    again are left out and the new ones added. So a shorter new text leaves no stale chunk, vector or posting, and a batch that
+    is tried again after its commit changes nothing.
+    """
+    spark = documents.sparkSession
+    store = enriched_store(spark, root, settings)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
+        before = store.last_commit()
+        if before is not None and before >= batch_id:
+            return
+        chunks = chunk_sections(batch, settings.chunk_max_chars, settings.chunk_overlap_chars)
+        embedded = materialize(embed(chunks, "text", "embedding", embedder, settings.embed_batch_size), "chunks")
+        owners = embedded.select("chunk_id", "doc_id")
+        fresh = {
+            "chunks": embedded.drop("embedding"), "vectors": embedded.select("chunk_id", "doc_id", F.col("embedding").cast("array<float>")),
+            "postings": postings(forward_index(embedded)).join(owners, "chunk_id"),
+        }
+        came = materialize(batch.select("doc_id").distinct(), "documents")
+        touched = store.touched(came)
+        tables = {}
+        for name, rows in fresh.items():
+            columns = store.schemas[name].fieldNames()
+            kept = store.read(name, before, touched).join(came, "doc_id", "left_anti").select(*columns)
+            tables[name] = kept.unionByName(rows.select(*columns))
+        store.commit(batch_id, before, tables, touched)
 
     return (
-        embedded.writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{root}/_progress")
+        documents.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{root.rstrip('/')}/_progress")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def enriched_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of every streamed document as of its latest batch, so a shorter new text leaves no stale chunks."""
-    rows = spark.read.parquet(f"{root.rstrip('/')}/chunks")
-    latest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(latest, ["doc_id", "batch"], "left_semi").drop("batch")
+def enriched_store(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> Snapshots:
+    return Snapshots(spark, root, ENRICHED, "doc_id", settings.snapshot_parts)
+
+
+def enriched_chunks(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """Chunks of every streamed document as of the last commit."""
+    store = enriched_store(spark, root, settings)
+    return store.read("chunks", store.last_commit())
+
+
+def enriched_postings(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:
+    store = enriched_store(spark, root, settings)
+    return store.read("postings", store.last_commit())
+
+
+def enriched_vectors(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:
+    store = enriched_store(spark, root, settings)
+    return store.read("vectors", store.last_commit())
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
