@@ -28,10 +28,10 @@ class Registry(dict):
 
 
 def all_checks() -> dict[str, Check]:
-    from citeloom.checks import answering, corpus_state, curation, discovery, incremental, retrieval, scalars, selection
+    from citeloom.checks import answering, corpus_state, curation, discovery, incremental, retrieval, runs, scalars, selection
 
     merged: dict[str, Check] = {}
-    for module in (retrieval, scalars, discovery, corpus_state, selection, curation, answering, incremental):
+    for module in (retrieval, scalars, discovery, corpus_state, selection, curation, answering, incremental, runs):
         for name, check in module.CHECKS.items():
             assert name not in merged, name
             merged[name] = check

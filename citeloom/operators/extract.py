@@ -24,6 +24,8 @@ HTML_NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 ANCHOR = r"""(?i)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
+SKETCH_BITS = 14
+
 
 def paper_mentions(text: ColumnLike) -> Column:
     """ARRAY<STRUCT<base_id, paper_id, version, raw_match>> in text order; repeats stay."""
@@ -214,6 +216,31 @@ def discovery_totals(records: DataFrame, kind: str = "kind", value: str = "base_
     )
 
 
+def page_totals(requested: DataFrame, landed: DataFrame) -> DataFrame:
+    """One row: pages requested, ok and failed. ``requested``: page_url; ``landed``: page_url, html. A page that did not land, or
+    whose html is blank, has failed; repeated requests and landings count once."""
+    ok = landed.where(strip(F.coalesce("html", F.lit(""))) != "").select("page_url").distinct().withColumn("ok", F.lit(1))
+    pages = requested.select("page_url").where("page_url is not null").distinct().join(ok, "page_url", "left")
+    return pages.agg(
+        F.count(F.lit(1)).alias("pages_requested"), F.count("ok").alias("pages_ok"), F.count_if(F.col("ok").isNull()).alias("pages_failed")
+    )
+
+
+def run_sketches(records: DataFrame, run: str = "run_id", kind: str = "kind", value: str = "base_id") -> DataFrame:
+    """(run_id, kind, total, sketch): one mergeable row per run and kind, stored with the run."""
+    return records.where(F.col(value).isNotNull()).groupBy(run, kind).agg(
+        F.count(F.lit(1)).alias("total"), F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias("sketch")
+    )
+
+
+def unique_totals(sketches: DataFrame, kind: str = "kind") -> DataFrame:
+    """(kind, total, unique_estimate) over all runs, from their sketches alone. The standard error of an estimate is
+    1.04 / sqrt(2 ^ SKETCH_BITS), 0.8 percent."""
+    return sketches.groupBy(kind).agg(
+        F.sum("total").alias("total"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_estimate")
+    )
+
+
 def expand_pages(ranges: DataFrame) -> DataFrame:
     """Page URLs of (prefix_url, stem, start, end, seq): both ends included, first spelling of a URL kept."""
     pages = ranges.select(

@@ -31,6 +31,11 @@ def _edge_per_key(df: DataFrame, keys: Sequence[str], pick, order: Column) -> Da
     return kept.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
 
 
+def first_in_order(df: DataFrame, seq: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a position column; every task sends its first n rows only."""
+    return df.orderBy(seq).limit(max(n, 0))
+
+
 def running_totals(
     df: DataFrame, seq: str, totals: dict[str, Column], bucket_rows: int = DEFAULTS.rows_per_numbering_bucket
 ) -> DataFrame:

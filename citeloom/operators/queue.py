@@ -9,6 +9,7 @@ from citeloom.config import DEFAULTS, Settings
 from citeloom.functions.ids import ABS_URL_PREFIX, base_of_versioned, file_stem, retry_at
 from citeloom.functions.text import blank_to_null
 from citeloom.schemas import CANDIDATES
+from citeloom.session import materialize_observed
 
 FAILED_ATTEMPTS = ("blocked", "failed")
 
@@ -105,13 +106,25 @@ def apply_results_to_documents(documents: DataFrame, candidates: DataFrame, resu
     )
 
 
-def ingest_totals(outcomes: DataFrame) -> DataFrame:
-    """One row of counts over (outcome) of every selected candidate."""
+def outcome_counts() -> dict[str, Column]:
+    """Counts over (outcome) of every selected candidate."""
 
     def n(*names: str) -> Column:
         return F.count_if(F.col("outcome").isin(*names))
 
-    return outcomes.agg(
-        F.count(F.lit(1)).alias("selected"), n("ingested", "failed").alias("queued"), n("ingested").alias("ingested"),
-        n("failed").alias("failed"), n("blocked").alias("blocked"),
-    )
+    return {
+        "selected": F.count(F.lit(1)), "queued": n("ingested", "failed"), "ingested": n("ingested"), "failed": n("failed"),
+        "blocked": n("blocked"),
+    }
+
+
+def ingest_totals(outcomes: DataFrame) -> DataFrame:
+    """One row of counts over (outcome) of every selected candidate."""
+    return outcomes.agg(*[column.alias(name) for name, column in outcome_counts().items()])
+
+
+def stored_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the outcomes as a table, their counts): the counts are observed while the table is written."""
+    table, counts = materialize_observed(outcomes, "outcomes", **outcome_counts())
+    schema = ", ".join(f"{name} long" for name in outcome_counts())
+    return table, outcomes.sparkSession.createDataFrame([tuple(counts[name] for name in outcome_counts())], schema)

@@ -15,8 +15,9 @@ from citeloom.operators.chunking import chunk_sections, extract_sections
 from citeloom.operators.graph import GraphState, fold_batch, reference_events, resolution_events
 from citeloom.operators.models import Embedder, embed
 from citeloom.schemas import PAPERS
-from citeloom.session import materialize
-from citeloom.sources.files import is_written, numbered, read_references, read_resolutions, require_rows, write_run
+from citeloom.operators.ordered import first_in_order
+from citeloom.session import materialize, materialize_observed
+from citeloom.sources.files import is_written, numbered, paper_id_lines, read_references, read_resolutions, require_rows, write_run
 
 
 # --- discover and resolve ------------------------------------------------------------------------------------
@@ -113,6 +114,14 @@ def select_by_ids(raw_ids: DataFrame, fetched: DataFrame, papers: DataFrame, ski
     return Selection(remaining, select.selection_totals(matched, remaining), migrated)
 
 
+def select_from_lines(lines: DataFrame, fetched: DataFrame, papers: DataFrame, limit: int | None = None, skip_ingested: bool = True) -> tuple[Selection, DataFrame]:
+    """(selection, one row with the number of skipped lines) of JSON lines (line, seq): the first ``limit`` different ids in the
+    order of the lines."""
+    ids, skipped = paper_id_lines(lines)
+    ids = ids if limit is None else first_in_order(ids, "seq", limit)
+    return select_by_ids(ids.select(F.col("paper_id").alias("raw_id"), "seq"), fetched, papers, skip_ingested), skipped
+
+
 # --- ingest --------------------------------------------------------------------------------------------------
 
 
@@ -302,8 +311,9 @@ def rebuild(
 
     def restore():
         graph = restore_graph(spark, references, resolutions, now_unix, settings)
-        library = checkpointed(replace(empty, graph=graph), "restored")
-        return library, f"documents={library.graph.documents.count()}"
+        documents, seen = materialize_observed(graph.documents, "restored-documents", n=F.count(F.lit(1)))
+        library = checkpointed(replace(empty, graph=replace(graph, documents=documents)), "restored")
+        return library, f"documents={seen['n']}"
 
     library = step("restore", restore)
 
@@ -315,8 +325,8 @@ def rebuild(
 
     def metrics():
         done = curate_corpus(library.papers, library.metrics, catalogue, venues, now_unix, current_year)
-        table = materialize(done.metrics, "curated")
-        return replace(library, metrics=table), f"metrics={table.count()}"
+        table, seen = materialize_observed(done.metrics, "curated", n=F.count(F.lit(1)))
+        return replace(library, metrics=table), f"metrics={seen['n']}"
 
     library = step("curate", metrics)
     steps = spark.createDataFrame(report, "step string, status string, seconds double, details string")

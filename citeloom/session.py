@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "10g") -> SparkSession:
@@ -57,3 +57,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+    """A stored table with aggregates that were observed while it was written, so that no further job counts its rows."""
+    observation = Observation(f"{name}-{uuid.uuid4().hex}")
+    columns = [column.alias(metric) for metric, column in metrics.items()]
+    table = materialize(df.observe(observation, *columns), name)
+    return table, observation.get

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citeloom import schemas
 from citeloom.functions.ids import canonical_paper_id, choose_pdf_url, normalize_doi, normalize_paper_id, paper_version
@@ -58,6 +59,46 @@ def read_references(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _with_position(rows).withColumn("run_id", F.regexp_extract("seq.file", r"/(?:run_id=)?([^/]+)/[^/]+$", 1))
 
 
+REJECTED = "__rejected"
+
+
+def checked_lines(lines: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON lines (line, seq as from ``_lines``). A line that does not fit the schema is a reject with its file,
+    its number there (from 1, blank and comment lines not counted) and its text; the others are rows with ``seq``."""
+    parsed = F.from_json("line", StructType([*schema.fields]).add(REJECTED, "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED})
+    rows = lines.withColumn("r", parsed)
+    good = rows.where(F.col(f"r.{REJECTED}").isNull()).select("r.*", "seq").drop(REJECTED)
+    numbered_lines = numbered(lines.select("line", "seq", F.col("seq.file").alias("file")))
+    first = numbered_lines.groupBy("file").agg(F.min("seq").alias("__first"))
+    bad = numbered_lines.withColumn("r", parsed).where(F.col(f"r.{REJECTED}").isNotNull()).join(F.broadcast(first), "file")
+    return good, bad.select("file", (F.col("seq") - F.col("__first") + 1).alias("line_no"), "line")
+
+
+def read_references_checked(spark: SparkSession, path: str | list[str], rejects: str) -> DataFrame:
+    """References of run artifacts; lines that do not fit go to a reject table at ``rejects`` instead of failing the job."""
+    good, bad = checked_lines(_lines(spark, path), schemas.REFERENCES)
+    bad.write.mode("append").json(rejects)
+    return good
+
+
+def resolved_export(resolved: DataFrame, fetched_at: str) -> DataFrame:
+    """Resolved DOIs in the nine fields of their export."""
+    known = resolved.where(F.col("cache_state") == "resolved")
+    return known.select(
+        "doi", "openalex_id", "arxiv_id", "is_oa", "pdf_url", "landing_page_url", "license", "source", F.lit(fetched_at).alias("fetched_at")
+    )
+
+
+def metadata_export(papers: DataFrame) -> DataFrame:
+    """Papers in the fields of the metadata export."""
+    return papers.select(*schemas.PAPER_METADATA.fieldNames())
+
+
+def write_export(rows: DataFrame, path: str) -> None:
+    """JSON lines with all fields, nulls too; an existing export is refused."""
+    rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+
+
 def clean_resolutions(rows: DataFrame) -> DataFrame:
     """Blank text to null, default confidence and source."""
     blank = {c: F.when(strip(c) != "", F.col(c)) for c in ("arxiv_id", "arxiv_id_with_version", "doi", "pdf_url")}
@@ -296,10 +337,6 @@ def is_written(spark: SparkSession, runs_dir: str, run_id: str) -> bool:
         return False
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
-
-
 def write_unique_lines(df: DataFrame, column: str, path: str) -> None:
     """Sorted distinct values, one per line; the parts are in global order."""
     df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct().orderBy("value").write.mode(
