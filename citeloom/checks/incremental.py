@@ -108,6 +108,44 @@ def streamed_lifecycle(spark, sf_dir):
     )
 
 
+@CHECKS.query(f"""with e as (select user_id, event_id, {_ATTEMPT} as status from events),
+    t as (select user_id, count(*) filter (status in ('failed', 'blocked')) as n, arg_max(status, event_id) as last from e group by 1)
+    select user_id as doc_id, n::int as retry_count, case when last in ('failed', 'blocked') then case when n >= 40 then 'failed' else 'retry_due' end
+      else last end as status from t""")
+def streamed_retry_timers(spark, sf_dir):
+    """The earlier half of the attempts folded as a batch and taken as initial state, the rest streamed in order of time; then
+    time passes, and every candidate that is still blocked is reported by its timer."""
+    attempts = I.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        F.col("user_id").alias("doc_id"), F.expr(_ATTEMPT).alias("status"), F.col("event_id").alias("seq"),
+        F.unix_timestamp("ts").alias("at_unix"), "ts",
+    )
+    first, half, last = attempts.agg(F.min("at_unix"), F.percentile_approx("at_unix", 0.5), F.max("at_unix")).first()
+    early = attempts.where(F.col("at_unix") <= half)
+    bad = F.col("status").isin("failed", "blocked")
+    latest = early.groupBy("doc_id").agg(
+        F.count_if(bad).cast("int").alias("retry_count"), F.max_by("status", "seq").alias("last"), F.max_by("at_unix", "seq").alias("at_unix"),
+        F.max("seq").alias("last_seq"),
+    )
+    ended = F.when(F.col("last").isin("failed", "blocked"), F.when(F.col("retry_count") >= 40, "failed").otherwise("blocked")).otherwise(F.col("last"))
+    initial = materialize(latest.select("doc_id", "retry_count", ended.alias("status"), "at_unix", "last_seq"), "candidates")
+    landed = f"{shared_folder(spark)}/attempts-{uuid.uuid4().hex}"
+    middle = (half + last) // 2
+    later = [F.col("at_unix").between(half + 1, middle), F.col("at_unix") > middle]
+    for rows in [attempts.where(part) for part in later]:
+        rows.coalesce(1).write.mode("append").parquet(landed)
+    for days in (4000, 4001):  # nothing but time passes; a watermark counts from the batch after
+        at = last + days * 86400
+        silent = spark.createDataFrame([(-1, "discovered", 1 << 60, at)], "doc_id long, status string, seq long, at_unix long")
+        silent.withColumn("ts", F.timestamp_seconds("at_unix")).select([F.col(c).cast(attempts.schema[c].dataType) for c in attempts.columns]).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    with jobs.rocksdb_state(spark):
+        states = jobs.retry_timers(stream, "ts", "1 day", initial, Settings(candidate_max_retries=40))
+        rows = jobs.run_to_table(states, spark, "timers", "update")
+    seen = rows.where("doc_id >= 0").select("doc_id", "retry_count", "status", "batch")
+    seen = seen.unionByName(initial.select("doc_id", "retry_count", "status", F.lit(-1).cast("long").alias("batch")))
+    return seen.groupBy("doc_id").agg(F.max_by("retry_count", "batch").alias("retry_count"), F.max_by("status", "batch").alias("status"))
+
+
 @CHECKS.query("select distinct user_id, event_type from events")
 def streamed_first_mentions(spark, sf_dir):
     """First mention per key; the watermark spans the whole table here."""

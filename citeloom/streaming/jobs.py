@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citeloom.config import DEFAULTS, Settings
@@ -131,6 +132,95 @@ def candidate_lifecycle(results: DataFrame, settings: Settings = DEFAULTS, timeo
     )
 
 
+TIMED_STATE = "retry_count int, status string, at_unix long, last_seq long"
+TIMED_ROWS = "doc_id {id_type}, status string, retry_count int, next_retry_unix long, last_seq long"
+
+
+class RetryTimers(StatefulProcessor):
+    """Candidate state per document with a timer for its next retry.
+
+    Attempts are taken in the order of ``seq``, whatever order they come in. A blocked candidate registers a timer in event time; a
+    newer attempt replaces it, and when the watermark passes it the candidate is reported as 'retry_due'.
+    """
+
+    def __init__(self, columns: dict[str, str], retries: int, wait: int):
+        self.columns, self.retries, self.wait = columns, retries, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("candidate", TIMED_STATE)
+
+    def _due(self, status: str, at: int | None) -> int | None:
+        return None if status != "blocked" or at is None else at + self.wait
+
+    def _rows(self, key, status: str, count: int, due: int | None, last_seq: int | None) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], status, count, due, last_seq)], columns=list(self.columns)).astype(self.columns)
+
+    def _set_timer(self, due: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if due is not None:
+            self.handle.registerTimer(due * 1000)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        """The batch fold's candidate: (doc_id, retry_count, status, at_unix, last_seq)."""
+        row = initialState.iloc[0]
+        values = (int(row["retry_count"]), row["status"], int(row["at_unix"]), int(row["last_seq"]))
+        self.state.update(values)
+        self._set_timer(self._due(values[1], values[2]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        count, status, at, last_seq = self.state.get() if self.state.exists() else (0, "discovered", None, None)
+        for frame in rows:
+            count += int(frame["status"].isin(["blocked", "failed"]).sum())
+            last = frame.loc[frame["seq"].idxmax()]
+            if last_seq is None or last["seq"] > last_seq:
+                last_seq, status, at = int(last["seq"]), last["status"], int(last["at_unix"])
+        if status in ("blocked", "failed"):
+            status = "failed" if count >= self.retries else "blocked"
+        self.state.update((count, status, at, last_seq))
+        due = self._due(status, at)
+        self._set_timer(due)
+        yield self._rows(key, status, count, due, last_seq)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        count, status, at, last_seq = self.state.get()
+        self.state.update((count, "retry_due", at, last_seq))
+        yield self._rows(key, "retry_due", count, self._due(status, at), last_seq)
+
+    def close(self) -> None:
+        pass
+
+
+def retry_timers(
+    results: DataFrame, event_time: str, watermark: str, initial: DataFrame | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Candidate state per document, and 'retry_due' when its wait is over in event time.
+
+    ``results``: doc_id, status, seq, at_unix and the event time; ``initial``: candidates of a batch fold (doc_id, retry_count,
+    status, at_unix, last_seq), one row per document. Needs the RocksDB state store.
+    """
+    columns = {"doc_id": "object", "status": "object", "retry_count": "int32", "next_retry_unix": "Int64", "last_seq": "Int64"}
+    id_type = results.schema["doc_id"].dataType.simpleString()
+    processor = RetryTimers(columns, max(settings.candidate_max_retries, 1), max(settings.candidate_retry_days, 1) * 86400)
+    return results.withWatermark(event_time, watermark).groupBy("doc_id").transformWithStateInPandas(
+        processor, TIMED_ROWS.format(id_type=id_type), "Update", "EventTime",
+        initialState=None if initial is None else initial.groupBy("doc_id"),
+    )
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors with timers need, for streams that are started inside."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def first_mentions(references: DataFrame, event_time: str, watermark: str, keys: tuple[str, ...]) -> DataFrame:
     """First mention of each key. Unlike the batch form, mentions later than the watermark are dropped."""
     return references.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(list(keys))
