@@ -5,17 +5,19 @@ sidebars, notices, adverts, forms and comments take their blocks with them. Attr
 their whole names. The blocks of a page are a token stream; every run of ``LONG`` tokens that a different page of the
 host holds too covers its tokens.
 
-Where a page marks its article (``article``, else ``main``) and half of its tokens or more stand there, the marks
-decide: a passage that repeats inside articles is content. Elsewhere blocks that are mostly covered are boilerplate, and
-the unique ones are the text.
+Where half of the tokens of a page or more stand in ``main`` or in an ``article``, the text is sought there: passages that repeat
+inside articles are content, while repeats around them, and all repeats on other pages, are boilerplate. Blocks that are
+mostly covered go, and the unique runs are the text.
 
-Repeats are found over the whole host: runs are hashed with their host and aggregated to the least and the largest hash
-of a page that holds them, so neither batches nor table sizes change a text, and a hot host is dealt out by its
-runs. Runs count as equal if two independent 64-bit hashes of their tokens and host are. ``covered_tokens`` is the same
-for streams in memory, by suffixes sorted with prefix doubling.
+Repeats are found over the whole host. Anchors (the least of the short grams in a run) are aggregated to the least and the
+largest number of a page that holds them; runs whose anchor stands on two pages are then hashed whole and aggregated likewise.
+So neither batches nor table sizes change a text, and a hot host is dealt out by its runs. Runs count as equal if two independent
+64-bit hashes of their tokens and host are; pages count as different if their checksums are. ``covered_tokens`` is the same for
+streams in memory, by suffixes sorted with prefix doubling.
 
 Edge cases: null or empty html gives an empty text. Null URLs share one host. Unclosed tags end with their
-parents; unclosed comments and scripts run to the end. Repeated rows are pages of their own, except that equal pages
+parents; unclosed comments and scripts run to the end; a tag that never ends is text. Reading a page takes time in
+proportion to its length, also for very long ones, deep nesting and unclosed markup. Repeated rows are pages of their own, except that equal pages
 do not count as distinct when repeats are sought. An empty table gives no rows; other columns are ignored.
 """
 
@@ -34,8 +36,10 @@ from citeloom.llm.common import small_batches
 from citeloom.llm.url_filter import host_and_path
 from citeloom.session import materialize
 
-LONG = 8
+LONG, GRAM = 8, 4
 BROADCAST_ROWS = 2_000_000
+VERDICT_BYTES = 64 * 1024 * 1024
+ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 # Element names and class words of the HTML vocabulary.
 BLOCKS = frozenset(
@@ -43,7 +47,6 @@ BLOCKS = frozenset(
     " form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot"
     " th thead title tr ul".split()
 )
-HOLDERS = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "canvas", "xmp", "title")
 DROPPED = frozenset("nav aside footer form dialog menu head button".split())
@@ -53,14 +56,19 @@ DROPPED_WORDS = frozenset(
     " cookies copyright disqus gdpr menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted"
     " related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+COMPOUNDS = frozenset(
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper comment-list comments-area cookie-banner cookie-consent cookie-notice cookie-bar nav-bar"
+    " nav-menu main-menu main-nav main-navigation site-nav page-nav post-nav post-navigation side-bar site-footer site-header page-footer"
+    " page-header related-articles related-links related-posts share-buttons share-links social-links social-share skip-link"
+    " newsletter-signup sponsored-content user-comments".split()
+)
 PAGE_WORDS = frozenset(("header", "footer", "masthead"))  # only outside of the article
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+LONGEST_TAG = 65_536  # characters that are searched for the end of a tag with attention to quotes
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-WORDS = re.compile(r"[^\W_]+")
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
@@ -76,18 +84,97 @@ def _is_dropped(name: str, attributes: list[tuple[str, str]], in_article: bool)
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in DROPPED_ROLES:
             return True
         if key in ("class", "id"):
-            # The element that holds the text is judged by whole class names, others by their parts too.
-            words = set(value.split()) if name in HOLDERS else set(WORDS.findall(value))
-            if words & DROPPED_WORDS or not in_article and words & PAGE_WORDS:
+            words = set(value.split())
+            if words & DROPPED_WORDS or not in_article and words & PAGE_WORDS or not words.isdisjoint(COMPOUNDS):
                 return True
     return False
 
 
+class Tags:
+    """The tags of a page one after the other. What does not lie ahead any more is remembered, so unclosed markup is not searched twice."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {mark: page.rfind(mark) for mark in ('>', '"', "'", "-->")}
+        self.careless = 0
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at ``at``; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        place = at
+        while self.careless < 16 and place - at < LONGEST_TAG:
+            stop = STOP.search(self.page, place)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                return stop.start()
+            if stop.start() >= self.last[stop[0]]:
+                break  # a quotation mark without a second one
+            place = self.page.find(stop[0], stop.end()) + 1
+        self.careless += 1
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, closes) of the next tag from ``at`` on. Comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4) if start + 4 <= self.last["-->"] else -1
+                return start, end + 3 if end >= 0 else len(page), "", "", False
+            if page[at : at + 1] in ("!", "?"):
+                end = page.find(">", at) if at <= self.last[">"] else -1
+                return start, end + 1 if end >= 0 else len(page), "", "", False
+            closes = page[at : at + 1] == "/"
+            name = NAME.match(page, at + closes)
+            if name is None:
+                continue
+            end = self._end(name.end())
+            if end >= 0:
+                return start, end + 1, name[0].lower(), page[name.end() : end], closes
+            return None  # no tag ends any more
+        return None
+
+
+class Open:
+    """The open elements, with the places of each name and of the blocks among them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int]] = []  # name, dropped, region
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, dropped: bool, region: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, dropped, region))
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def place(self, name: str) -> int | None:
+        found = self.places.get(name)
+        return found[-1] if found else None
+
+    def open_p(self) -> int | None:
+        """A paragraph in which no other block is open."""
+        return self.blocks[-1] if self.blocks and self.stack[self.blocks[-1]][0] == "p" else None
+
+    def state(self) -> tuple[bool, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0)
+
+
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(text, region) of every block that no marked element drops. Region: 2 in an article, 1 in main, 0 elsewhere."""
     page = page or ""
     found: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, region
+    tags, opened = Tags(page), Open()
     run: list[str] = []
     dropped, region, at = False, 0, 0
 
@@ -98,48 +185,46 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         run.clear()
 
     while at < len(page):
-        tag = TAG.search(page, at)
+        tag = tags.next(at)
         if tag is None:
             run.append(html.unescape(page[at:]))
             break
-        if tag.start() > at:
-            run.append(html.unescape(page[at : tag.start()]))
-        at = tag.end()
-        if tag[2] is None:
+        start, end, name, inside, closes = tag
+        if start > at:
+            run.append(html.unescape(page[at:start]))
+        at = end
+        if not name:
             continue
-        name = tag[2].lower()
-        if tag[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in BLOCKS or depth is not None and stack[depth][1]:
+        if closes:
+            depth = opened.place(name)
+            if name in BLOCKS or depth is not None and opened.stack[depth][1]:
                 close()
             if depth is not None:
-                del stack[depth:]
-                dropped, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                opened.cut(depth)
+                dropped, region = opened.state()
             continue
         if name in RAW:
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            ended = RAW_END[name].search(page, at)
+            at = ended.end() if ended else len(page)
             continue
         if name == "br":
             run.append(" ")
         if name in BLOCKS or name == "button":
             close()
-            if name in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None and not any(s[0] in BLOCKS for s in stack[depth + 1 :]):
-                    del stack[depth:]
-            if name in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                stack.pop()
-            dropped, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if name in VOID or tag[3].endswith("/"):
+            if name in CLOSES_P and (depth := opened.open_p()) is not None:
+                opened.cut(depth)
+            if name in ("li", "dt", "dd", "tr", "td", "th") and opened.stack and opened.stack[-1][0] == name:
+                opened.cut(len(opened.stack) - 1)
+            dropped, region = opened.state()
+        if name in VOID or inside.endswith("/"):
             continue
-        attributes = _attributes(tag[3])
+        attributes = _attributes(inside)
         drops = dropped or _is_dropped(name, attributes, region > 0)
         if drops and not dropped:
             close()
         dropped = drops
         region = 2 if name == "article" else max(region, 1) if name == "main" or ("role", "main") in attributes else region
-        stack.append((name, dropped, region))
+        opened.push(name, dropped, region)
     close()
     return found
 
@@ -171,17 +256,22 @@ def covered_tokens(streams: list[list[str]], long: int = LONG) -> list[np.ndarra
     return [covered[end - size + 1 : end] for end, size in zip(ends, sizes, strict=True)]
 
 
-def kept_text(found: list[tuple[str, int]], flags: np.ndarray) -> str:
-    """The text of the innermost region that holds half of the tokens or more; without one, the blocks that are not mostly covered."""
-    sizes = [text.count(" ") + 1 for text, _ in found]
-    held = [sum(n for n, (_, region) in zip(sizes, found, strict=True) if region >= least) for least in (0, 1, 2)]
-    best = next((least for least in (2, 1) if held[least] and 2 * held[least] >= held[0]), 0)
+def kept_blocks(sizes: list[int], regions: list[int], flags: np.ndarray) -> list[bool]:
+    """Which blocks are text: those of ``main``, else of the articles, if half of the tokens or more stand there; what a repeat
+    covers goes, unless it stands in an article, or in a ``main`` without one. Without such a region, the blocks that are not
+    mostly covered."""
+    marked = 2 * sum(n for n, region in zip(sizes, regions, strict=True) if region) >= sum(sizes) > 0
+    content = max(regions, default=0)  # where repeats are content
     kept, at = [], 0
-    for n, (text, region) in zip(sizes, found, strict=True):
+    for n, region in zip(sizes, regions, strict=True):
         share, at = flags[at : at + n].mean(), at + n
-        if best and region >= best or not best and share < 0.5:
-            kept.append(text)
-    return "\n".join(kept)
+        kept.append(bool(marked and region and region == content or (region or not marked) and share < 0.5))
+    return kept
+
+
+def kept_text(found: list[tuple[str, int]], flags: np.ndarray) -> str:
+    kept = kept_blocks([text.count(" ") + 1 for text, _ in found], [region for _, region in found], flags)
+    return "\n".join(text for (text, _), keep in zip(found, kept, strict=True) if keep)
 
 
 def main_texts(pages: list[str | None], context: int = 0) -> list[tuple[str, int, int]]:
@@ -208,21 +298,49 @@ def _mixed(parts: list[np.ndarray], odd: int) -> np.ndarray:
     return out
 
 
-def _windows(frame: pd.DataFrame, long: int) -> pd.DataFrame:
-    """(h, g, row, page, at): two hashes of every run of ``long`` tokens with its host, and where it starts in its row."""
-    streams = [text.replace("\n", " ").split(" ") if text else [] for text in frame["texts"]]
-    sizes = np.array([len(s) for s in streams], np.int64)
-    flat = np.array([token for stream in streams for token in stream], object)
-    owner = np.repeat(np.arange(len(streams)), sizes)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    starts = np.flatnonzero(at + long <= sizes[owner])
-    columns = {}
-    for name, key, odd in (("h", "repeats of a pag", 0x9E3779B97F4A7C15), ("g", "e across a host.", 0xD6E8FEB86659FD93)):
-        tokens = pd.util.hash_array(flat, hash_key=key)
-        host = pd.util.hash_array(frame["host"].to_numpy(object), hash_key=key)
-        columns[name] = _mixed([host[owner[starts]], *(tokens[starts + i] for i in range(long))], odd).view(np.int64)
-    rows, pages = frame["row"].to_numpy(np.int64), frame["page"].to_numpy(np.int64)
-    return pd.DataFrame({**columns, "row": rows[owner[starts]], "page": pages[owner[starts]], "at": at[starts].astype(np.int32)})
+class _Tokens:
+    """The tokens of a batch of pages in one array, and what runs over them hash to, always with the host.
+
+    The anchor of a run of ``long`` tokens is the ``gram`` tokens inside it with the least hash, so equal runs have equal
+    anchors, and neighbouring runs mostly share one.
+    """
+
+    def __init__(self, frame: pd.DataFrame, long: int, gram: int):
+        streams = [text.replace("\n", " ").split(" ") if text else [] for text in frame["texts"]]
+        sizes = np.array([len(s) for s in streams], np.int64)
+        self.codes, self.names = pd.factorize(np.array([token for stream in streams for token in stream], object))
+        self.owner = np.repeat(np.arange(len(streams)), sizes)
+        self.at = np.arange(len(self.codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.starts = np.flatnonzero(self.at + long <= sizes[self.owner])
+        self.hosts, self.long = frame["host"].to_numpy(object), long
+        self.rows, self.pages = frame["row"].to_numpy(np.int64), frame["page"].to_numpy(np.int32)
+        whole = np.arange(max(0, len(self.codes) - gram + 1))
+        grams = self._hash(whole, gram, "repeats of a pag", ODD[0])
+        least = grams[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
+        for i in range(1, long - gram + 1):
+            least = np.minimum(least, grams[self.starts + i])
+        self.anchors = least.view(np.int64)
+
+    def _hash(self, starts: np.ndarray, width: int, key: str, odd: int) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        tokens = pd.util.hash_array(np.asarray(self.names, object), hash_key=key)[self.codes]
+        host = pd.util.hash_array(self.hosts, hash_key=key)[self.owner]
+        return _mixed([host[starts], *(tokens[starts + i] for i in range(width))], odd)
+
+    def anchor_rows(self) -> pd.DataFrame:
+        found = pd.DataFrame({"anchor": self.anchors, "row": self.rows[self.owner[self.starts]], "page": self.pages[self.owner[self.starts]]})
+        return found.drop_duplicates()
+
+    def runs(self, wanted: np.ndarray) -> pd.DataFrame:
+        """(h, g, row, page, at) of the runs that are wanted."""
+        starts = self.starts[wanted]
+        columns = {
+            name: self._hash(starts, self.long, key, odd).view(np.int64)
+            for name, key, odd in (("h", "repeats of a pag", ODD[0]), ("g", "e across a host.", ODD[1]))
+        }
+        owner = self.owner[starts]
+        return pd.DataFrame({**columns, "row": self.rows[owner], "page": self.pages[owner], "at": self.at[starts].astype(np.int32)})
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -230,24 +348,44 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def covered_starts(parsed: DataFrame, long: int = LONG, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def covered_starts(parsed: DataFrame, long: int = LONG, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(row, starts): where runs of ``long`` tokens start that a different page of the host holds too.
 
-    The first aggregate drops runs whose hash stands on one page only; what is left is judged by both hashes.
+    First only anchors move, one per page and anchor, about a third of the tokens. Runs whose anchor stands on one page have no equal
+    on another one; the rest are compared by both hashes.
     """
+    spark = parsed.sparkSession
+
+    def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield _Tokens(frame, long, gram).anchor_rows()
 
-    def every(names: list[str]):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield _windows(frame, long)[names]
-        return run
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.append(shared.value, np.int64(2**63 - 1))
+        for frame in frames:
+            tokens = _Tokens(frame, long, gram)
+            place = np.searchsorted(known[:-1], tokens.anchors)
+            yield tokens.runs((known[place] == tokens.anchors) & (place < len(known) - 1))
+
+    def chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            tokens = _Tokens(frame, long, gram)
+            wanted = [set(own.tolist()) for own in frame["anchors"]]
+            met = [a in wanted[k] for a, k in zip(tokens.anchors.tolist(), tokens.owner[tokens.starts].tolist(), strict=True)]
+            yield tokens.runs(np.array(met, bool))
 
     source = parsed.select("row", "host", "page", "texts")
     on_two = F.min("page") != F.max("page")
-    hashes = source.mapInPandas(every(["h", "page"]), "h long, page long")
-    repeated = materialize(hashes.groupBy("h").agg(on_two.alias("two")).where("two").select("h"), "html-repeated")
-    windows = source.mapInPandas(every(["h", "g", "row", "page", "at"]), "h long, g long, row long, page long, at int")
-    candidates = materialize(windows.join(_bounded(repeated, broadcast_rows), "h", "left_semi"), "html-candidates")
+    placed = source.mapInPandas(anchors, "anchor long, row long, page int")
+    repeated = materialize(placed.groupBy("anchor").agg(on_two.alias("two")).where("two").select("anchor"), "html-anchors")
+    schema = "h long, g long, row long, page int, at int"
+    if repeated.limit(broadcast_rows + 1).count() <= broadcast_rows:  # numbers of eight bytes
+        shared = spark.sparkContext.broadcast(np.sort(repeated.toArrow().column("anchor").to_numpy()))
+        candidates = source.mapInPandas(runs, schema)
+    else:  # a page's repeated anchors, fewer than its tokens, are brought to it
+        own = placed.join(repeated, "anchor", "left_semi").groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
+        candidates = source.join(own, "row").mapInPandas(chosen, schema)
+    candidates = materialize(candidates, "html-candidates")
     # A run that stands on many pages of a hot host is one row per task before the exchange.
     confirmed = candidates.groupBy("h", "g").agg(on_two.alias("two")).where("two").select("h", "g")
     found = candidates.join(_bounded(materialize(confirmed, "html-confirmed"), broadcast_rows), ["h", "g"], "left_semi")
@@ -267,19 +405,31 @@ def extract(
             frame["regions"] = ["".join(str(region) for _, region in b) for b in found]
             yield frame
 
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for i, link, texts, regions, starts in frame.itertuples(index=False, name=None):
-                found = list(zip(texts.split("\n"), map(int, regions), strict=True)) if texts else []
-                depth = np.zeros(sum(text.count(" ") + 1 for text, _ in found) + 1, np.int64)
-                if starts is not None:
-                    starts = np.asarray(starts, np.int64)
-                    np.add.at(depth, starts, 1)
-                    np.add.at(depth, starts + LONG, -1)
+            for row, sizes, regions, starts in frame.itertuples(index=False, name=None):
+                depth = np.zeros(int(sum(sizes)) + 1, np.int64)
+                starts = np.asarray(starts, np.int64)
+                np.add.at(depth, starts, 1)
+                np.add.at(depth, starts + LONG, -1)
                 flags = np.cumsum(depth)[:-1] > 0
-                text = kept_text(found, flags)
-                rows.append((i, link, text, len(text), len(flags), int(flags.sum())))
+                kept = kept_blocks([int(n) for n in sizes], [int(r) for r in regions], flags)
+                rows.append((row, int(flags.sum()), "".join("01"[k] for k in kept)))
+            yield pd.DataFrame(rows, columns=["row", "n_covered", "kept"])
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for i, link, texts, regions, n_covered, kept in frame.itertuples(index=False, name=None):
+                parts = texts.split("\n") if texts else []
+                sizes = [text.count(" ") + 1 for text in parts]
+                if kept is None:  # nothing is covered
+                    keep = kept_blocks(sizes, [int(r) for r in regions], np.zeros(sum(sizes), bool))
+                else:
+                    keep = [k == "1" for k in kept]
+                text = "\n".join(t for t, k in zip(parts, keep, strict=True) if k)
+                rows.append((i, link, text, len(text), sum(sizes), 0 if kept is None else int(n_covered)))
             yield pd.DataFrame(rows, columns=["id", "url", "text", "n_chars", "n_tokens", "n_covered"])
 
     small_batches(pages.sparkSession)
@@ -287,11 +437,16 @@ def extract(
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url).alias("url"), host.alias("host"),
-        F.xxhash64(F.coalesce(page, F.lit(""))).alias("page"), F.col(page).alias("html"),
+        F.hash(F.coalesce(page, F.lit(""))).alias("page"), F.col(page).alias("html"),
     )
-    schema = f"row long, id {kind}, url string, host string, page long, texts string, regions string"
+    schema = f"row long, id {kind}, url string, host string, page int, texts string, regions string"
     parsed = materialize(rows.mapInPandas(parse, schema), "html-blocks")
-    placed = parsed.join(covered_starts(parsed, broadcast_rows=broadcast_rows), "row", "left")
+    # Verdicts need sizes and regions of blocks, not their texts; they are one short row per page with a repeat.
+    sizes = F.transform(F.filter(F.split("texts", "\n"), lambda t: t != ""), lambda t: F.size(F.split(t, " ")))
+    light = parsed.select("row", sizes.alias("sizes"), "regions").join(covered_starts(parsed, broadcast_rows=broadcast_rows), "row")
+    verdicts = materialize(light.select("row", "sizes", "regions", "starts").mapInPandas(judge, "row long, n_covered long, kept string"), "html-verdicts")
+    small = (verdicts.agg(F.sum(F.length("kept") + 32)).first()[0] or 0) <= VERDICT_BYTES and broadcast_rows > 0
+    placed = parsed.join(F.broadcast(verdicts) if small else verdicts, "row", "left")
     schema = f"id {kind}, url string, text string, n_chars long, n_tokens long, n_covered long"
-    out = placed.select("id", "url", "texts", "regions", "starts").mapInPandas(finish, schema)
+    out = placed.select("id", "url", "texts", "regions", "n_covered", "kept").mapInPandas(finish, schema)
     return out.withColumnsRenamed({"id": id_col})
