@@ -17,29 +17,28 @@ from citeloom.operators.extract import DOI_MENTION, PAPER_MENTION, PAPER_PARTS
 WINDOWS = "chunk_index int, text string, char_start int, char_end int"
 
 
-def _windows(texts: list[str | None], keys: list | None, max_chars: int, overlap_chars: int) -> pa.Table:
-    """The windows of many texts as columns, with the key of their text if there are keys."""
-    found = [
-        (at, index, window["text"], window["char_start"], window["char_end"]) for at, text in enumerate(texts)
-        for index, window in enumerate(text_windows(" ".join((text or "").split()), max_chars, overlap_chars))
-    ]
-    at, index, text, start, end = (list(column) for column in zip(*found, strict=True)) if found else ([], [], [], [], [])
-    columns = {"chunk_index": pa.array(index, pa.int32()), "text": pa.array(text, pa.string()), "char_start": pa.array(start, pa.int32()), "char_end": pa.array(end, pa.int32())}
-    return pa.table(columns if keys is None else {"doc_id": pa.array([keys[k] for k in at], pa.string())} | columns)
-
-
 class ChunkText:
-    """Windows of one text: (chunk_index, text, char_start, char_end)."""
+    """Windows of one text, for lateral joins, which take no Arrow functions: (chunk_index, text, char_start, char_end)."""
 
-    def eval(self, text: pa.Array, max_chars: pa.Array, overlap_chars: pa.Array) -> Iterator[pa.Table]:
-        yield _windows(text.to_pylist(), None, max_chars[0].as_py(), overlap_chars[0].as_py())
+    def eval(self, text: str, max_chars: int, overlap_chars: int) -> Iterator[tuple]:
+        for index, window in enumerate(text_windows(" ".join((text or "").split()), max_chars, overlap_chars)):
+            yield index, window["text"], window["char_start"], window["char_end"]
 
 
 class ChunkTexts:
     """Windows of all rows of a table (doc_id, text), a batch at a time: (doc_id, chunk_index, text, char_start, char_end)."""
 
     def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
-        yield _windows(rows.column("text").to_pylist(), rows.column("doc_id").to_pylist(), DEFAULTS.chunk_max_chars, DEFAULTS.chunk_overlap_chars)
+        size, overlap = DEFAULTS.chunk_max_chars, DEFAULTS.chunk_overlap_chars
+        found = [
+            (doc_id, index, window["text"], window["char_start"], window["char_end"])
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True)
+            for index, window in enumerate(text_windows(" ".join((text or "").split()), size, overlap))
+        ]
+        columns = list(zip(*found, strict=True)) if found else [()] * 5
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+        names = ["doc_id", "chunk_index", "text", "char_start", "char_end"]
+        yield pa.Table.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], names)
 
 
 def _raw(pattern: str) -> str:
@@ -69,6 +68,6 @@ RETURN
 
 def register(spark: SparkSession) -> None:
     """Make ``chunk_text(text, max_chars, overlap_chars)``, ``chunk_texts(TABLE(rows))`` and ``extract_references(text)`` known to SQL."""
-    spark.udtf.register("chunk_text", F.arrow_udtf(ChunkText, returnType=WINDOWS))
+    spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType=WINDOWS))
     spark.udtf.register("chunk_texts", F.arrow_udtf(ChunkTexts, returnType=f"doc_id string, {WINDOWS}"))
     spark.sql(EXTRACT_REFERENCES)

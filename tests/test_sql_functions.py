@@ -13,3 +13,7 @@ def test_table_functions(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4
     chunks = spark.sql("SELECT c.* FROM texts, LATERAL chunk_text(texts.text, 40, 5) c").collect()
     assert len(chunks) > 2 and all(len(c["text"]) <= 40 for c in chunks)
+    rows = spark.sql("SELECT concat_ws('-', source_repo, found_in) AS doc_id, text FROM texts UNION ALL SELECT 'empty', '' UNION ALL SELECT 'null', NULL")
+    rows.createOrReplaceTempView("keyed")
+    whole = spark.sql("SELECT * FROM chunk_texts(TABLE(keyed))").collect()
+    assert sorted((r.doc_id, r.chunk_index, r.text) for r in whole) == [("r-f", 0, " ".join(text.split())), ("r-g", 0, "none")]
