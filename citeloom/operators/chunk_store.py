@@ -20,10 +20,11 @@ def store_chunks(chunks: DataFrame, settings: Settings = DEFAULTS, buckets: int
     return store_buckets(chunks.repartition(buckets, "chunk_id"), "chunk_id", buckets, "chunks")
 
 
-def store_buckets(dealt: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """Rows that are dealt out by ``key`` as a table of as many sorted buckets."""
+def store_buckets(dealt: DataFrame, key: str, buckets: int, name: str, in_order: bool = True) -> DataFrame:
+    """Rows that are dealt out by ``key`` as a table of as many buckets, sorted by it unless only their place matters."""
     spark, table = dealt.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    writer = dealt.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd")
+    writer = dealt.write.bucketBy(buckets, key).option("compression", "zstd")
+    writer = writer.sortBy(key) if in_order else writer
     writer.option("path", shared_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
