@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.checks import Registry, inputs as I
 from citeloom.checks.retrieval import ENTITY_SQL, RARE_SQL
 from citeloom.checks.scalars import ANSWER_TEXT
-from citeloom.operators import ground, hybrid, prompts, route
+from citeloom.operators import evaluation, ground, hybrid, prompts, route
 from citeloom.plans import answering
 from citeloom.session import materialize
 
@@ -286,15 +286,24 @@ def eval_cases(spark, sf_dir):
     )
 
 
-@CHECKS.query(I.with_sql(**EVAL_CTES) + """select query_id, note = '' as passed, n::int as n_sources, note from (select query_id, n, concat_ws('; ',
+_EVALUATED_SQL = """select query_id, note = '' as passed, n::int as n_sources, note from (select query_id, n, concat_ws('; ',
     case when n < 6 then 'sources=' || n || ' < min_sources=6' end,
     case when n = 0 or (rare > 0 and not overlap and best < 0.45) then 'retrieval deemed irrelevant' end,
-    case when not matched then 'no chunk matched must_include constraints' end) as note from judged) x""")
+    case when not matched then 'no chunk matched must_include constraints' end) as note from judged) x"""
+
+
+@CHECKS.query(I.with_sql(**EVAL_CTES) + _EVALUATED_SQL)
 def evaluated_cases(spark, sf_dir):
     """Retrieval checks of an evaluation suite made of all questions."""
     return answering.evaluate(I.corpus(spark, sf_dir), eval_cases(spark, sf_dir))
 
 
+@CHECKS.query(I.with_sql(**EVAL_CTES) + f"select count(*) filter (passed) as passed, count(*) as cases from ({_EVALUATED_SQL}) e")
+def evaluation_totals(spark, sf_dir):
+    """F16: how many cases of the suite passed."""
+    return evaluation.pass_counts(answering.evaluate(I.corpus(spark, sf_dir), eval_cases(spark, sf_dir)))
+
+
 def citing_stub(prompt, **_):
     """Stands in for a model: cites well, except that every other draft forgets to."""
     if "Draft to rewrite" in prompt or len(prompt) % 2 == 0:

@@ -24,10 +24,6 @@ def blank_to_null(c: ColumnLike) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def non_blank(c: ColumnLike) -> Column:
-    return F.coalesce(strip(c) != "", F.lit(False))
-
-
 def first_filled(*cs: ColumnLike) -> Column:
     """First column that holds more than whitespace, trimmed."""
     return F.coalesce(*[blank_to_null(c) for c in cs])

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.config import DEFAULTS
-from citeloom.functions.text import col, collapse_whitespace, section_or_untitled
+from citeloom.functions.text import col, section_or_untitled
 
-WINDOWS = "array<struct<text: string, char_start: int, char_end: int>>"
 SECTIONS = "array<struct<title: string, text: string>>"
 TEI = "{http://www.tei-c.org/ns/1.0}"
 
@@ -42,19 +41,6 @@ def text_windows(text: str, size: int, overlap: int) -> Iterator[dict]:
         start += text[start] == " "
 
 
-def windows(c: Column | str, size: int = DEFAULTS.chunk_max_chars, overlap: int = DEFAULTS.chunk_overlap_chars) -> Column:
-    """Array of windows of at most ``size`` characters, cut at a blank in the second half where there is one.
-
-    Each window starts where the previous one says, a recurrence that no built-in function expresses.
-    """
-
-    @F.pandas_udf(WINDOWS)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(text_windows(t, size, overlap)) if t else [])
-
-    return cut(collapse_whitespace(c))
-
-
 def chunk_sections(
     sections: DataFrame,
     size: int = DEFAULTS.chunk_max_chars,
