@@ -29,7 +29,11 @@ def hashing_embedding(text: ColumnLike, dimension: int = 64) -> Column:
         rows = np.repeat(np.arange(len(batch)), lengths)
         flat = np.concatenate([*batch.to_numpy(), np.empty(0)]).astype(np.int64)
         sign = np.where(flat < dimension, 1.0, -1.0)
-        sums = np.bincount(rows * dimension + flat % dimension, sign, len(batch) * dimension).reshape(-1, dimension)
+        sums = np.bincount(rows * dimension + flat % dimension, sign, len(batch) * dimension).astype(float).reshape(-1, dimension)
+        # Tokens that cancel each other out still count: such a text gets the plain counts of its slots.
+        lost = ~sums.any(axis=1)
+        if lost.any():
+            sums[lost] = np.bincount(rows * dimension + flat % dimension, None, len(batch) * dimension).reshape(-1, dimension)[lost]
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         return pd.Series(list(np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0).astype(np.float32)))
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from citeloom.checks import incremental
+from citeloom.operators.models import hashing_embedding
 
 
 def test_tables_stream_from_one_file_and_from_a_folder(spark, tmp_path):
@@ -16,3 +19,12 @@ def test_tables_stream_from_one_file_and_from_a_folder(spark, tmp_path):
     for folder in ("many", "one"):
         chunks = incremental.streamed_chunks(spark, str(tmp_path / folder)).collect()
         assert len(chunks) == 8 and {c.text for c in chunks} == {r[1].strip() for r in rows}
+
+
+def test_tokens_that_cancel_out_still_have_a_vector(spark):
+    words = [f"w{i}" for i in range(400)]
+    slots = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select(
+        "w", F.pmod(F.xxhash64("w"), F.lit(128)).alias("s")).collect()}
+    plus, minus = next((a, b) for a in words for b in words if slots[b] == slots[a] + 64)
+    vectors = [r.v for r in spark.createDataFrame([(f"{plus} {minus}",), (plus,), ("",)], "t string").select(hashing_embedding("t").alias("v")).collect()]
+    assert [round(sum(x * x for x in v), 5) for v in vectors] == [1.0, 1.0, 0.0]
