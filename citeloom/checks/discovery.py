@@ -140,9 +140,7 @@ def landed_pages(spark, sf_dir):
     row_number() over (partition by page_url order by n) - 1 as position from links""")
 def page_links(spark, sf_dir):
     """Absolute link targets of every page in order."""
-    return landed_pages(spark, sf_dir).select(
-        "page_url", F.posexplode(extract.page_hrefs("html", "page_url")).alias("position", "link")
-    )
+    return extract.page_links(landed_pages(spark, sf_dir))
 
 
 @CHECKS.query(I.with_sql(**PAGE_CTES) + """select page_url as source_page_url, kind, value as normalized_value, raw_link, context

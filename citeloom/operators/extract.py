@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions.ids import (
@@ -113,8 +114,8 @@ def absolute_url(page_url: ColumnLike, href: ColumnLike) -> Column:
     return F.when(joined.rlike("(?i)^https?:"), joined)
 
 
-def page_hrefs(html: ColumnLike, page_url: ColumnLike) -> Column:
-    """Absolute link targets of a page in order, first occurrence only."""
+def numbered_hrefs(html: ColumnLike, page_url: ColumnLike) -> Column:
+    """ARRAY<STRUCT<n, link>>: absolute link targets of a page with the number of their anchor."""
     anchors = F.regexp_extract_all(F.regexp_replace(col(html), HTML_NOISE, " "), F.lit(ANCHOR), F.lit(0))
 
     def target(anchor: Column) -> Column:
@@ -123,8 +124,24 @@ def page_hrefs(html: ColumnLike, page_url: ColumnLike) -> Column:
             raw = F.replace(raw, F.lit(entity), F.lit(char))
         return strip(raw)
 
-    wanted = F.filter(F.transform(anchors, target), lambda h: (h != "") & ~h.rlike("(?i)^(?:javascript|mailto):"))
-    return F.array_distinct(F.filter(F.transform(wanted, lambda h: absolute_url(page_url, h)), lambda u: u.isNotNull()))
+    hrefs = F.transform(anchors, lambda a, i: F.struct(i.alias("n"), target(a).alias("href")))
+    wanted = F.filter(hrefs, lambda h: (h["href"] != "") & ~h["href"].rlike("(?i)^(?:javascript|mailto):"))
+    links = F.transform(wanted, lambda h: F.struct(h["n"].alias("n"), absolute_url(page_url, h["href"]).alias("link")))
+    return F.filter(links, lambda h: h["link"].isNotNull())
+
+
+def page_hrefs(html: ColumnLike, page_url: ColumnLike) -> Column:
+    """Absolute link targets of a page in order, first occurrence only."""
+    return F.array_distinct(F.transform(numbered_hrefs(html, page_url), lambda h: h["link"]))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_url, link, position) of landed pages (page_url, html): each link of an address once, however often its page landed,
+    in the order of its first anchor; of links with one anchor number the lesser comes first."""
+    flat = pages.select("page_url", F.inline(numbered_hrefs("html", "page_url"))).repartition("page_url")
+    first = flat.groupBy("page_url", "link").agg(F.min("n").alias("n"))
+    in_order = W.partitionBy("page_url").orderBy("n", "link")
+    return first.select("page_url", "link", (F.row_number().over(in_order) - 1).alias("position"))
 
 
 def classify_link(url: ColumnLike) -> Column:

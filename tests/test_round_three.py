@@ -7,9 +7,18 @@ import os
 from pyspark.sql import functions as F
 
 from citeloom.checks import incremental
+from citeloom.operators import extract
 from citeloom.operators.models import hashing_embedding
 
 
+def test_pages_of_one_address_give_each_link_once(spark):
+    pages = spark.createDataFrame(
+        [("http://h.org/p", '<a href="a"><a name="x"><a href="b"><a href="a">'), ("http://h.org/p", '<a href="mailto:m"><a href="c"><a href="b">'),
+         ("http://h.org/q", '<a href="a">')], "page_url string, html string")
+    got = {(r.page_url[-1], r.position): r.link[-1] for r in extract.page_links(pages).collect()}
+    assert got == {("p", 0): "a", ("p", 1): "c", ("p", 2): "b", ("q", 0): "a"}
+
+
 def test_tables_stream_from_one_file_and_from_a_folder(spark, tmp_path):
     rows = [(i, "word " * (i + 1), "en", "src0") for i in range(8)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
