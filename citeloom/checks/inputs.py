@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.hybrid import Corpus
 from citeloom.operators.chunk_store import store_chunks
-from citeloom.operators.lexical import corpus_statistics, forward_index, store_postings
+from citeloom.operators.lexical import corpus_statistics, forward_index
 from citeloom.session import materialize
 
 SECTION_TITLES = ("Introduction", "Method", "Experiments", "Results", "Conclusion")
@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table for work on its whole texts, which is heavy per byte. One row group is one task, so a table
-    of few splits is spread over all cores first; a table with enough splits is read as it lies."""
+    of fewer splits than cores is spread over them first; a table with enough splits is read as it lies, without a shuffle of its texts."""
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def with_sql(**ctes: str) -> str:
@@ -176,7 +176,7 @@ _STORES: dict[tuple[str, str], Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The stores of a table folder: chunks, postings, statistics. An application builds them once; its searches share them."""
+    """The stores of a table folder: chunks, index, statistics. An application builds them once; its searches share them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         _STORES[key] = build_corpus(spark, sf_dir)
@@ -187,7 +187,7 @@ def build_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     chunks = store_chunks(chunk_table(spark, sf_dir), buckets=8)
     index = materialize(forward_index(chunks), "index")
     return Corpus(
-        chunks=chunks, vectors=vector_table(spark, sf_dir), postings=store_postings(index),
+        chunks=chunks, vectors=vector_table(spark, sf_dir), index=index,
         statistics=materialize(corpus_statistics(index), "statistics"),
         tiers=tier_table(spark, sf_dir), provenance=provenance_table(spark, sf_dir),
     )

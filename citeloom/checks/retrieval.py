@@ -50,7 +50,7 @@ def query_terms(spark, sf_dir):
 def keyword_search(spark, sf_dir):
     """BM25 top-k with prefix terms."""
     corpus = I.corpus(spark, sf_dir)
-    hits = lexical.keyword_search(corpus.postings, corpus.statistics, I.benchmark_queries(spark, sf_dir))
+    hits = lexical.keyword_search(corpus.index, corpus.statistics, I.benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -59,10 +59,10 @@ def keyword_search(spark, sf_dir):
     + "select query_id, chunk_id, round(score, 6) as score, rank from keyword_ranked where rank <= 12"
 )
 def keyword_search_inverted(spark, sf_dir):
-    """The same search where nothing may be broadcast, the way for query batches and terms of any size."""
+    """The same search in the least slices of queries, the way for query batches of any size."""
     corpus = I.corpus(spark, sf_dir)
     shuffled = replace(DEFAULTS, max_broadcast_bytes=0, rows_per_salt=500)
-    hits = lexical.keyword_search(corpus.postings, corpus.statistics, I.benchmark_queries(spark, sf_dir), settings=shuffled)
+    hits = lexical.keyword_search(corpus.index, corpus.statistics, I.benchmark_queries(spark, sf_dir), settings=shuffled)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -144,7 +144,7 @@ def rank_fusion(spark, sf_dir):
     """Outer merge of both hit lists."""
     corpus, queries = I.corpus(spark, sf_dir), I.benchmark_queries(spark, sf_dir)
     fused = hybrid.fuse_ranks(
-        vector.nearest(queries, corpus.vectors), lexical.keyword_search(corpus.postings, corpus.statistics, queries)
+        vector.nearest(queries, corpus.vectors), lexical.keyword_search(corpus.index, corpus.statistics, queries)
     )
     rrf = hybrid.reciprocal_rank(F.col("vector_rank")) + hybrid.reciprocal_rank(F.col("keyword_rank"))
     return fused.select("query_id", "chunk_id", "vector_rank", "keyword_rank", F.round(rrf, 9).alias("rrf"))

@@ -13,7 +13,7 @@ from citeloom.functions.ids import citation_label
 from citeloom.functions.scoring import DEFAULT_TIER, PROVENANCE_BOOSTS, TIER_BOOSTS, by_value, in_priority_section
 from citeloom.functions.text import blank_to_null, preview
 from citeloom.operators.chunk_store import with_payload
-from citeloom.operators.lexical import Postings, keyword_search
+from citeloom.operators.lexical import keyword_search
 from citeloom.operators.ordered import measured_broadcast
 from citeloom.operators.relevance import filter_by_entities, irrelevance
 from citeloom.operators.vector import nearest
@@ -28,7 +28,7 @@ class Corpus:
 
     chunks: DataFrame       # CHUNKS, best as a table of chunk_store.store_chunks
     vectors: DataFrame      # chunk_id, embedding
-    postings: Postings      # of lexical.store_postings
+    index: DataFrame        # of lexical.forward_index
     statistics: DataFrame   # one row: n_chunks, total_tokens
     tiers: DataFrame | None = None        # arxiv_id, tier
     provenance: DataFrame | None = None   # doc_id, provenance_kind
@@ -68,7 +68,7 @@ def candidates(corpus: Corpus, queries: DataFrame, vector_k: int, keyword_k: int
     """
     fused = fuse_ranks(
         nearest(queries, corpus.vectors, vector_k, settings.max_broadcast_bytes),
-        keyword_search(corpus.postings, corpus.statistics, queries, keyword_k, settings),
+        keyword_search(corpus.index, corpus.statistics, queries, keyword_k, settings),
     )
     found = materialize(with_payload(corpus.chunks, materialize(fused, "fused"), PAYLOAD, settings), "hits")
     found = _attach(found, corpus.tiers, "arxiv_id", "tier", "int", settings)

@@ -99,7 +99,7 @@ def nearest_probed(
     rows = queries.select("query_id", "vector")
     schema = HITS.format(id_type=rows.schema["query_id"].dataType.simpleString())
     partial = None
-    for head in query_slices(rows, index.dimension, settings.max_broadcast_bytes):
+    for head in query_slices(rows, index.dimension, settings.max_broadcast_bytes) if index.centroids.size else ():
         unit = _unit_rows(_matrix(head.column("vector")))
         nearness = unit @ index.centroids.T
         near = np.argpartition(-nearness, probes - 1, axis=1)[:, :probes]

@@ -54,7 +54,7 @@ def merge_best(best: Best | None, block: Best, k: int) -> Best:
     return merged
 
 
-def hits_batch(query_ids: np.ndarray, best: Best, sign: float = 1.0) -> pa.RecordBatch:
+def hits_batch(query_ids: np.ndarray, best: Best, sign: float = 1.0, key: str = "query_id") -> pa.RecordBatch:
     counts = [len(ids) for _, ids in best]
     return pa.RecordBatch.from_arrays(
         [
@@ -62,5 +62,5 @@ def hits_batch(query_ids: np.ndarray, best: Best, sign: float = 1.0) -> pa.Recor
             pa.array(np.concatenate([ids for _, ids in best]), pa.string()),
             pa.array(sign * np.concatenate([scores for scores, _ in best])),
         ],
-        names=["query_id", "chunk_id", "score"],
+        names=[key, "chunk_id", "score"],
     )

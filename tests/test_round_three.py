@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from citeloom.checks import incremental
-from citeloom.operators import extract
+from citeloom.config import DEFAULTS
+from citeloom.operators import extract, lexical
 from citeloom.operators.models import hashing_embedding
+from citeloom.session import materialize, shared_folder
 
 
 def test_pages_of_one_address_give_each_link_once(spark):
@@ -37,3 +40,19 @@ def test_tokens_that_cancel_out_still_have_a_vector(spark):
     plus, minus = next((a, b) for a in words for b in words if slots[b] == slots[a] + 64)
     vectors = [r.v for r in spark.createDataFrame([(f"{plus} {minus}",), (plus,), ("",)], "t string").select(hashing_embedding("t").alias("v")).collect()]
     assert [round(sum(x * x for x in v), 5) for v in vectors] == [1.0, 1.0, 0.0]
+
+
+def test_keyword_search_stores_no_pairs(spark, tmp_path):
+    rows = [(f"c{i:03d}", "", "", "", f"a common a{i % 9} rare{i % 50} " * (1 + i % 4)) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, arxiv_id string, title string, section_title string, text string")
+    index = materialize(lexical.forward_index(chunks), "index")
+    stats = lexical.corpus_statistics(index)
+    queries = spark.createDataFrame([(i, f"a common rare{i}") for i in range(40)], "query_id int, query string")
+    before = set(os.listdir(shared_folder(spark)))
+    found = lexical.keyword_search(index, stats, queries, 3)
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in found.collect()}
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_folder(spark))) - before} == {"query-classes"}
+    # Only whole words of the rare kind tell these chunks apart; rare1 also begins rare10 to rare19.
+    assert all(int(got[q, 1][1:]) % 50 == q for q in range(6, 40)) and len(got) == 120
+    sliced = lexical.keyword_search(index, stats, queries, 3, replace(DEFAULTS, max_broadcast_bytes=0))
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in sliced.collect()} == got
