@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.session import small_batches  # noqa: F401
+
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,10 +26,3 @@ def text_or_empty(column: str = "text") -> Column:
 def crc32_of_id(column: str = "doc_id") -> Column:
     """Unsigned CRC-32 of an integer id written as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
-
-
-def small_batches(spark: SparkSession, rows: int = 200) -> None:
-    """Rows per Arrow batch: long texts would make batches of the default 10,000 rows too large for a task."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

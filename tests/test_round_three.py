@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeloom.checks import incremental
 from citeloom.config import DEFAULTS
 from citeloom.operators import extract, lexical
+from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.models import hashing_embedding
 from citeloom.session import materialize, shared_folder
 
@@ -56,3 +57,15 @@ def test_keyword_search_stores_no_pairs(spark, tmp_path):
     assert all(int(got[q, 1][1:]) % 50 == q for q in range(6, 40)) and len(got) == 120
     sliced = lexical.keyword_search(index, stats, queries, 3, replace(DEFAULTS, max_broadcast_bytes=0))
     assert {(r.query_id, r["rank"]): r.chunk_id for r in sliced.collect()} == got
+
+
+def test_chunking_bounds_the_rows_of_a_python_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        schema = "doc_id string, arxiv_id string, title string, sections array<struct<title: string, text: string>>"
+        chunks = chunk_sections(spark.createDataFrame([(f"d{i}", "a", "t", [("s", "some text")]) for i in range(500)], schema))
+        assert chunks.count() == 500 and int(spark.conf.get(name)) <= 200
+    finally:
+        spark.conf.set(name, before)
