@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.checks import Registry, inputs as I
@@ -63,11 +64,9 @@ LIST_CTES = {
 
 
 def ranked_hits(spark, sf_dir):
-    from citeloom.operators.topk import rank_within
-
     rows = order_hits(spark, sf_dir).withColumnRenamed("rank", "line")
     order = [F.asc("line"), F.asc("chunk_id"), F.asc("arxiv_id"), F.asc("section_title"), F.asc("text")]
-    return rank_within(rows, ["query_id"], order, 1 << 30).drop("line")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).drop("line")
 
 
 @CHECKS.query(I.with_sql(**LIST_CTES) + """, docs as (select query_id, arxiv_id, max(fused_score) as best, count(*) as count from hits group by 1, 2),
