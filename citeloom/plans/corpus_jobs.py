@@ -16,7 +16,7 @@ from citeloom.operators.graph import GraphState, fold_batch, reference_events, r
 from citeloom.operators.models import Embedder, embed
 from citeloom.schemas import PAPERS
 from citeloom.operators.ordered import first_in_order
-from citeloom.session import materialize, materialize_observed
+from citeloom.session import materialize, materialize_observed, small_batches
 from citeloom.sources.files import is_written, numbered, paper_id_lines, read_references, read_resolutions, require_rows, write_run
 
 
@@ -48,7 +48,7 @@ class Resolution:
 
 
 def resolve_from_cache(dois: DataFrame, cache: DataFrame, resolved_at: int) -> Resolution:
-    resolved = resolve.resolve_dois(dois, cache)
+    resolved = materialize(resolve.resolve_dois(dois, cache), "resolved")
     known = resolved.filter(F.col("cache_state") == "resolved")
     return Resolution(
         known, resolve.resolution_rows(resolved, resolved_at), resolve.pdf_url_list(resolved),
@@ -67,7 +67,8 @@ def record_run(
     else is written. ``resume`` goes on with a run that was interrupted: what it has written whole is kept, the rest is written.
     """
     if not (resume and is_written(spark, f"{root}/{kind}", run_id)):
-        write_run(rows.orderBy("seq").drop("seq"), f"{root}/{kind}", run_id, again=resume)
+        # A global sort reads its input twice; the second time it is read as it was stored.
+        write_run(materialize(rows, kind).orderBy("seq").drop("seq"), f"{root}/{kind}", run_id, again=resume)
     path = f"{root}/{kind}/run_id={run_id}"
     if kind == "references":
         landed = materialize(numbered(read_references(spark, path).drop("run_id")), "run")
@@ -109,7 +110,7 @@ def select_by_ids(raw_ids: DataFrame, fetched: DataFrame, papers: DataFrame, ski
         migrated = select.migrate_legacy(catalog.legacy_unversioned(papers), by_base)
         moved = migrated.filter(F.col("outcome") == "migrated").select("arxiv_id_with_version")
         known = known.unionByName(moved).distinct()
-    matched = select.match_requested(select.requested_ids(raw_ids), fetched, upgrade=skip_ingested)
+    matched = materialize(select.match_requested(select.requested_ids(raw_ids), fetched, upgrade=skip_ingested), "matched")
     remaining = select.without_known_versions(matched, known) if skip_ingested else matched
     return Selection(remaining, select.selection_totals(matched, remaining), migrated)
 
@@ -142,6 +143,7 @@ def chunk_papers(papers: DataFrame, fulltexts: DataFrame, settings: Settings = D
 
     A paper whose text is absent or unreadable gives an error row and touches nothing else.
     """
+    small_batches(papers.sparkSession)
     texts = papers.join(fulltexts.select("file_stem", "xml"), "file_stem", "left")
     parsed = texts.withColumn("__s", extract_sections("xml")).select("*", "__s.sections", "__s.error").drop("__s", "xml")
     missing = F.when(F.col("sections").isNull(), "full text not found")
@@ -306,6 +308,9 @@ def rebuild(
         report.append((name, "ok", time.monotonic() - started, details))
         return result
 
+    # Checks and folds read an artifact several times, so it is derived once.
+    references = [materialize(part, "references") for part in references]
+    resolutions = [materialize(part, "resolutions") for part in resolutions]
     for part in references + resolutions:
         require_rows(part, "run artifact")
 
