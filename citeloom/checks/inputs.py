@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.hybrid import Corpus
-from citeloom.operators.chunk_store import store_chunks
 from citeloom.operators.lexical import corpus_statistics, forward_index
 from citeloom.session import materialize
 
@@ -61,7 +60,12 @@ def paper_id(c: str = "doc_id") -> str:
 
 
 def documents_as_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document with its lines as sections."""
+    """One row per document with its lines as sections, spread over the cores."""
+    return as_papers(text_table(spark, sf_dir, "documents"))
+
+
+def as_papers(documents: DataFrame) -> DataFrame:
+    """Rows of the table of documents as papers, each read where it lies."""
     lines = F.split("text", "\n")
     titles = F.array(*[F.lit(t) for t in SECTION_TITLES])
     sections = F.transform(
@@ -69,8 +73,7 @@ def documents_as_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda line, i: F.struct(F.get(titles, i % len(SECTION_TITLES)).alias("title"), line.alias("text")),
     )
     return (
-        text_table(spark, sf_dir, "documents")
-        .withColumn("arxiv_id", F.expr(paper_id()))
+        documents.withColumn("arxiv_id", F.expr(paper_id()))
         .select(
             F.concat(F.lit("axv:"), "arxiv_id", F.lit("v1")).alias("doc_id"), "arxiv_id",
             F.concat_ws(" ", F.lit("Paper"), "doc_id", "source").alias("title"), sections.alias("sections"),
@@ -176,7 +179,7 @@ _STORES: dict[tuple[str, str], Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The stores of a table folder: chunks, index, statistics. An application builds them once; its searches share them."""
+    """The stores of a table folder: index, statistics. An application builds them once; its searches share them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         _STORES[key] = build_corpus(spark, sf_dir)
@@ -184,12 +187,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def build_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    chunks = store_chunks(chunk_table(spark, sf_dir), buckets=8)
+    """The index is the one copy of the texts that is stored, written by the tasks that cut them; the few chunks that are hits are cut again."""
+    chunks = chunk_table(spark, sf_dir)
     index = materialize(forward_index(chunks), "index")
     return Corpus(
         chunks=chunks, vectors=vector_table(spark, sf_dir), index=index,
         statistics=materialize(corpus_statistics(index), "statistics"),
-        tiers=tier_table(spark, sf_dir), provenance=provenance_table(spark, sf_dir),
+        tiers=tier_table(spark, sf_dir), provenance=provenance_table(spark, sf_dir), papers=as_papers(table(spark, sf_dir, "documents")),
     )
 
 

@@ -1,4 +1,5 @@
-"""Chunks in buckets of their id, sorted by it: the hits of a search meet their text without a scan or a shuffle of all chunks."""
+"""The text of hits: chunks in buckets of their id, sorted by it, which hits meet without a scan or a shuffle of all chunks; or no stored
+chunks at all, the documents of the hits are cut again."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.config import DEFAULTS, Settings
+from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.ordered import measured_broadcast
 from citeloom.session import shared_path
 
@@ -40,3 +42,14 @@ def with_payload(store: DataFrame, hits: DataFrame, columns: list[str], settings
     if len(ids) > settings.pruned_ids:
         return payload.join(hits, "chunk_id")
     return payload.where(F.col("chunk_id").isin(ids)).join(measured_broadcast(hits, settings.max_broadcast_bytes), "chunk_id")
+
+
+def cut_again(papers: DataFrame, hits: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> DataFrame:
+    """``hits`` (a stored table with chunk_id) with columns of their chunks, cut anew from ``papers`` (as ``chunk_sections`` takes them).
+
+    Only documents that a hit names are cut: their ids meet the rows where these are read, so no text is stored or moved for the rest.
+    """
+    owner = F.regexp_replace("chunk_id", r":\d+$", "")
+    owners = measured_broadcast(hits.select(owner.alias("doc_id")).distinct(), settings.max_broadcast_bytes)
+    chunks = chunk_sections(papers.join(owners, "doc_id", "left_semi"), settings.chunk_max_chars, settings.chunk_overlap_chars)
+    return chunks.select("chunk_id", *columns).join(measured_broadcast(hits, settings.max_broadcast_bytes), "chunk_id")

@@ -12,7 +12,7 @@ from citeloom.config import DEFAULTS, Settings
 from citeloom.functions.ids import citation_label
 from citeloom.functions.scoring import DEFAULT_TIER, PROVENANCE_BOOSTS, TIER_BOOSTS, by_value, in_priority_section
 from citeloom.functions.text import blank_to_null, preview
-from citeloom.operators.chunk_store import with_payload
+from citeloom.operators.chunk_store import cut_again, with_payload
 from citeloom.operators.lexical import keyword_search
 from citeloom.operators.ordered import measured_broadcast
 from citeloom.operators.relevance import filter_by_entities, irrelevance
@@ -26,12 +26,13 @@ PAYLOAD = ["doc_id", "arxiv_id", "title", "section_title", "text"]
 class Corpus:
     """The tables a retrieval job reads."""
 
-    chunks: DataFrame       # CHUNKS, best as a table of chunk_store.store_chunks
+    chunks: DataFrame       # CHUNKS, a table of chunk_store.store_chunks, or any frame if ``papers`` is given
     vectors: DataFrame      # chunk_id, embedding
     index: DataFrame        # of lexical.forward_index
     statistics: DataFrame   # one row: n_chunks, total_tokens
     tiers: DataFrame | None = None        # arxiv_id, tier
     provenance: DataFrame | None = None   # doc_id, provenance_kind
+    papers: DataFrame | None = None       # documents as chunk_sections takes them: hits are cut from them again, chunks need not be stored
 
 
 @dataclass(frozen=True)
@@ -64,13 +65,18 @@ def candidates(corpus: Corpus, queries: DataFrame, vector_k: int, keyword_k: int
     """Fused hits with payload, tier and provenance.
 
     The hit list has at most (vector_k + keyword_k) rows per query. It is written once and measured; the chunks that it names are
-    read from their buckets. Later passes (boosts, quotas, guard, routing) start from a table of known small size.
+    read from their buckets or cut again from their documents. Later passes (boosts, quotas, guard, routing) start from a table of known small size.
     """
     fused = fuse_ranks(
         nearest(queries, corpus.vectors, vector_k, settings.max_broadcast_bytes),
         keyword_search(corpus.index, corpus.statistics, queries, keyword_k, settings),
     )
-    found = materialize(with_payload(corpus.chunks, materialize(fused, "fused"), PAYLOAD, settings), "hits")
+    fused = materialize(fused, "fused")
+    if corpus.papers is None:
+        found = with_payload(corpus.chunks, fused, PAYLOAD, settings)
+    else:
+        found = cut_again(corpus.papers, fused, PAYLOAD, settings)
+    found = materialize(found, "hits")
     found = _attach(found, corpus.tiers, "arxiv_id", "tier", "int", settings)
     return _attach(found, corpus.provenance, "doc_id", "provenance_kind", "string", settings)
 

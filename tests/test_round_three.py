@@ -7,9 +7,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from citeloom.checks import incremental
+from citeloom.checks import incremental, inputs
 from citeloom.config import DEFAULTS
-from citeloom.operators import extract, lexical
+from citeloom.operators import chunk_store, extract, lexical
 from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.models import hashing_embedding
 from citeloom.session import materialize, shared_folder
@@ -69,3 +69,17 @@ def test_chunking_bounds_the_rows_of_a_python_batch(spark):
         assert chunks.count() == 500 and int(spark.conf.get(name)) <= 200
     finally:
         spark.conf.set(name, before)
+
+
+def test_searches_store_the_index_alone_and_cut_hits_again(spark, sf_dir):
+    before = set(os.listdir(shared_folder(spark)))
+    corpus = inputs.build_corpus(spark, sf_dir)
+    assert {name.rsplit("-", 5)[0] for name in set(os.listdir(shared_folder(spark))) - before} == {"index", "statistics"}
+    stored = chunk_store.store_chunks(inputs.chunk_table(spark, sf_dir))
+    every = corpus.index.select("chunk_id").where(F.xxhash64("chunk_id") % 3 == 0)
+    hits = materialize(every.unionByName(spark.createDataFrame([("axv:none:0",)], "chunk_id string")), "hits")
+    columns = ["doc_id", "arxiv_id", "title", "section_title", "text"]
+    rows = lambda df: sorted(df.select("chunk_id", *columns).collect())
+    want = rows(chunk_store.with_payload(stored, hits, columns))
+    assert want and rows(chunk_store.cut_again(corpus.papers, hits, columns)) == want
+    assert rows(chunk_store.cut_again(corpus.papers, hits, columns, replace(DEFAULTS, max_broadcast_bytes=0))) == want
