@@ -97,11 +97,14 @@ def candidate_lifecycle(results: DataFrame, settings: Settings = DEFAULTS, timeo
     """Running candidate state per document from a stream of attempts (doc_id, status, seq, at_unix).
 
     The attempt with the largest ``seq`` decides the status, also if older ones arrive in later batches; late ones
-    still count as retries.
+    still count as retries. The state is an aggregate, so the attempts of a batch are folded in the tasks that read them and a
+    document that many attempts name costs one row per task.
 
-    With ``timeout_ms`` a blocked candidate whose document stays silent is reported as 'retry_due'.
+    With ``timeout_ms`` a blocked candidate whose document stays silent is reported as 'retry_due'; this takes a Python step per document.
     """
     retries, wait = max(settings.candidate_max_retries, 1), max(settings.candidate_retry_days, 1) * 86400
+    if timeout_ms is None:
+        return _running_candidates(results, retries, wait)
     id_type = results.schema["doc_id"].dataType.simpleString()
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -121,14 +124,26 @@ def candidate_lifecycle(results: DataFrame, settings: Settings = DEFAULTS, timeo
         if status in ("blocked", "failed"):
             status, due = ("failed", None) if count >= retries else ("blocked", at + wait)
         state.update((count, status, at, last_seq))
-        if timeout_ms is not None and status == "blocked":
+        if status == "blocked":
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], status, count, due, last_seq)], columns=list(columns)).astype(columns)
 
     columns = {"doc_id": "object", "status": "object", "retry_count": "int32", "next_retry_unix": "Int64", "last_seq": "Int64"}
-    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return results.groupBy("doc_id").applyInPandasWithState(
-        advance, ATTEMPT_ROWS.format(id_type=id_type), ATTEMPT_STATE, "update", timeout
+        advance, ATTEMPT_ROWS.format(id_type=id_type), ATTEMPT_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def _running_candidates(results: DataFrame, retries: int, wait: int) -> DataFrame:
+    """(ATTEMPT_ROWS) from the number of bad attempts and the last attempt of every document."""
+    folded = results.groupBy("doc_id").agg(
+        F.count_if(F.col("status").isin("blocked", "failed")).cast("int").alias("retry_count"),
+        F.max(F.struct(F.col("seq").cast("long").alias("seq"), F.col("at_unix").cast("long").alias("at_unix"), "status")).alias("last"),
+    )
+    bad, spent = F.col("last.status").isin("blocked", "failed"), F.col("retry_count") >= retries
+    return folded.select(
+        "doc_id", F.when(bad & spent, "failed").when(bad, "blocked").otherwise(F.col("last.status")).alias("status"), "retry_count",
+        F.when(bad & ~spent, F.col("last.at_unix") + wait).alias("next_retry_unix"), F.col("last.seq").alias("last_seq"),
     )
 
 

@@ -13,6 +13,7 @@ from citeloom.operators import chunk_store, extract, lexical
 from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.models import hashing_embedding
 from citeloom.session import materialize, shared_folder
+from citeloom.streaming import jobs
 
 
 def test_pages_of_one_address_give_each_link_once(spark):
@@ -83,3 +84,23 @@ def test_searches_store_the_index_alone_and_cut_hits_again(spark, sf_dir):
     want = rows(chunk_store.with_payload(stored, hits, columns))
     assert want and rows(chunk_store.cut_again(corpus.papers, hits, columns)) == want
     assert rows(chunk_store.cut_again(corpus.papers, hits, columns, replace(DEFAULTS, max_broadcast_bytes=0))) == want
+
+
+def test_running_candidates_equal_a_row_by_row_model_without_python(spark, tmp_path):
+    schema = "doc_id long, status string, seq long, at_unix long"
+    rows = [(i % 7, ("blocked", "failed", "ingested", "ready", None)[i * i % 5], i * 37 % 211, 1000 + i) for i in range(211)]
+    for at in range(0, len(rows), 50):
+        spark.createDataFrame(rows[at : at + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    states = jobs.candidate_lifecycle(stream, replace(DEFAULTS, candidate_max_retries=12))
+    assert "Python" not in states._jdf.queryExecution().toString() and "Pandas" not in states._jdf.queryExecution().toString()
+    got = {}
+    for r in sorted(jobs.run_to_table(states, spark, "running", "update").collect(), key=lambda r: r.batch):
+        got[r.doc_id] = (r.status, r.retry_count, r.next_retry_unix, r.last_seq)
+    for doc in range(7):
+        mine = [r for r in rows if r[0] == doc]
+        n, last = sum(r[1] in ("blocked", "failed") for r in mine), max(mine, key=lambda r: r[2])
+        status, due = last[1], None
+        if status in ("blocked", "failed"):
+            status, due = ("failed", None) if n >= 12 else ("blocked", last[3] + 14 * 86400)
+        assert got[doc] == (status, n, due, last[2])
