@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table for work on its whole texts, which is heavy per byte. One row group is one task, so a table
+    """A given table for work that is heavy per byte, as on its whole texts. One row group is one task, so a table
     of fewer splits than cores is spread over them first; a table with enough splits is read as it lies, without a shuffle of its texts."""
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism

@@ -214,7 +214,8 @@ def work_cache(spark, sf_dir):
         F.when((n % 10 == 7) | (n % 5 == 0), F.lit("{broken")).when(n % 10 == 3, F.lit('{"_status": 404}')).when(n % 10 == 9, F.lit("[1, 2]"))
         .otherwise(F.to_json(work))
     )
-    rows = I.table(spark, sf_dir, "part").select(F.sha2(doi, 256).alias("cache_key"), value.alias("value"))
+    # Writing and parsing the records is heavy per byte of the table, which may be one split.
+    rows = I.text_table(spark, sf_dir, "part").select(F.sha2(doi, 256).alias("cache_key"), value.alias("value"))
     return files.parse_work_cache(rows)
 
 

@@ -13,13 +13,14 @@ from citeloom.functions.ids import (
 from citeloom.functions.text import ColumnLike, col, strip
 from citeloom.operators.ordered import first_per_key
 
-# The grammar of every mention form of a paper or DOI in one leftmost alternation.
+# The grammar of every mention form of a paper or DOI in one leftmost alternation. The look-ahead at the first
+# letter changes no match; it spares the Unicode tests at every other character.
 PAPER_MENTION = (
-    rf"(?iU)https?://arxiv\.org/abs/{PAPER_BASE}(?:v\d+)?\b|https?://arxiv\.org/pdf/{PAPER_BASE}(?:v\d+)?\.pdf\b"
-    rf"|\barxiv(?:\s*:\s*|\s+){PAPER_BASE}(?:v\d+)?\b"
+    rf"(?=[hHaA])(?iU)(?:https?://arxiv\.org/abs/{PAPER_BASE}(?:v\d+)?\b|https?://arxiv\.org/pdf/{PAPER_BASE}(?:v\d+)?\.pdf\b"
+    rf"|\barxiv(?:\s*:\s*|\s+){PAPER_BASE}(?:v\d+)?\b)"
 )
 PAPER_PARTS = rf"(?iU)^(?:https?://arxiv\.org/(?:abs|pdf)/|arxiv(?:\s*:\s*|\s+))({PAPER_BASE})(v\d+)?(?:\.pdf)?$"
-DOI_MENTION = rf"(?iU)(?:https?://(?:dx\.)?doi\.org/|\bdoi\s*:\s*|(?<![A-Za-z0-9]))({DOI_CORE})"
+DOI_MENTION = rf"(?=[hHdD1])(?iU)(?:https?://(?:dx\.)?doi\.org/|\bdoi\s*:\s*|(?<![A-Za-z0-9]))({DOI_CORE})"
 DOI_LEAD = r"(?iU)^(?:https?://(?:dx\.)?doi\.org/|doi\s*:\s*)"
 HTML_NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 ANCHOR = r"""(?i)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.ids import axv_doc_id, normalize_paper_id
 from citeloom.functions.text import blank_to_null
-from citeloom.operators.ordered import first_per_key
 
 
 def open_access_location(best: Column, primary: Column, locations: Column) -> Column:
@@ -38,7 +37,7 @@ def resolve_dois(dois: DataFrame, cache: DataFrame) -> DataFrame:
 
     ``dois`` holds (doi, seq); ``cache`` holds the cache key, the WORK fields and is joined on the hash.
     """
-    unique = first_per_key(dois.select("doi", "seq"), ["doi"], "seq")
+    unique = dois.groupBy("doi").agg(F.min("seq").alias("seq"))
     joined = unique.withColumn("cache_key", F.sha2("doi", 256)).join(cache, "cache_key", "left")
     known, negative = F.col("cached"), F.col("_status") == 404
     state = F.when(known.isNull(), "uncached").when(negative, "missing").otherwise("resolved")

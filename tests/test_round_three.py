@@ -7,9 +7,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from citeloom.checks import incremental, inputs
+from citeloom.checks import incremental, inputs, selection
 from citeloom.config import DEFAULTS
-from citeloom.operators import chunk_store, extract, lexical
+from citeloom.operators import chunk_store, extract, lexical, resolve
 from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.models import hashing_embedding
 from citeloom.session import materialize, shared_folder
@@ -104,3 +104,24 @@ def test_running_candidates_equal_a_row_by_row_model_without_python(spark, tmp_p
         if status in ("blocked", "failed"):
             status, due = ("failed", None) if n >= 12 else ("blocked", last[3] + 14 * 86400)
         assert got[doc] == (status, n, due, last[2])
+
+
+def test_resolved_state_mines_no_texts_and_spreads_its_cache(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(incremental, "references", lambda *_: 1 / 0)
+    assert incremental.resolved_state(spark, sf_dir).count() > 0
+    assert selection.work_cache(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    seen = spark.createDataFrame([("10.1/a", 5), ("10.1/a", 3), ("10.1/b", None), (None, 7)], "doi string, seq long")
+    unique = resolve.resolve_dois(seen, selection.work_cache(spark, sf_dir))
+    assert {(r.doi, r.seq) for r in unique.collect()} == {("10.1/a", 3), ("10.1/b", None), (None, 7)}
+    assert "SortAggregate" not in unique._jdf.queryExecution().toString()
+
+
+def test_mentions_are_searched_from_their_first_letters(spark):
+    texts = ["ArXiv: 2101.00001v2 ARXIV 2101.00002", "HTTPS://ARXIV.ORG/ABS/cs/0101001, http://arxiv.org/pdf/2101.00003v1.pdf",
+             "xarxiv:2101.00004 éarxiv:2101.00005 (arxiv:2101.00006)", "DOI:10.1000/A x10.1000/b é10.1000/c https://DX.doi.org/10.1000/d 10.1000/e.", ""]
+    plain = {name: pattern.split("(?iU)", 1) for name, pattern in (("paper", extract.PAPER_MENTION), ("doi", extract.DOI_MENTION))}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for ahead, rest in plain.values():
+        assert ahead.startswith("(?=[")
+        found = rows.select(F.regexp_extract_all("t", F.lit(ahead + "(?iU)" + rest), F.lit(0)), F.regexp_extract_all("t", F.lit("(?iU)" + rest), F.lit(0))).collect()
+        assert all(a == b for a, b in found) and sum(len(a) for a, _ in found) >= 4
