@@ -33,7 +33,7 @@ METRICS = _table(
 VECTORS = _table(chunk_id=S, embedding=T.ArrayType(T.FloatType()))
 STREAMED_CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("char_start", I), T.StructField("char_end", I)])
 STREAMED_VECTORS = _table(chunk_id=S, doc_id=S, embedding=T.ArrayType(T.FloatType()))
-STREAMED_POSTINGS = _table(term=S, chunk_id=S, doc_id=S, n_tokens=I, tf=L)
+STREAMED_POSTINGS = _table(chunk_id=S, doc_id=S, n_tokens=I, terms=T.ArrayType(_table(term=S, tf=L)))
 PAPER_METADATA = _table(
     arxiv_id=S, arxiv_id_with_version=S, version=S, doc_id=S, title=S, summary=S, published=S, updated=S,
     authors=T.ArrayType(S), pdf_url=S, abs_url=S,

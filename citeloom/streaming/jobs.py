@@ -15,8 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from citeloom.config import DEFAULTS, Settings
 from citeloom.operators.chunking import chunk_sections
 from citeloom.operators.graph import GraphState, fold_batch, operations_of
-from citeloom.operators.lexical import forward_index, postings
+from citeloom.operators.lexical import chunk_postings, forward_index, posting_rows
 from citeloom.operators.models import Embedder, embed
+from citeloom.operators.ordered import measured_broadcast
 from citeloom.schemas import CANDIDATES, DOCUMENT_SOURCES, DOCUMENTS, REFERENCES, STREAMED_CHUNKS, STREAMED_POSTINGS, STREAMED_VECTORS
 from citeloom.session import materialize, shared_folder
 from citeloom.sources.files import numbered
@@ -259,13 +260,14 @@ def enrich_documents_stream(
             return
         chunks = chunk_sections(batch, settings.chunk_max_chars, settings.chunk_overlap_chars)
         embedded = materialize(embed(chunks, "text", "embedding", embedder, settings.embed_batch_size), "chunks")
-        owners = embedded.select("chunk_id", "doc_id")
         fresh = {
             "chunks": embedded.drop("embedding"), "vectors": embedded.select("chunk_id", "doc_id", F.col("embedding").cast("array<float>")),
-            "postings": postings(forward_index(embedded)).join(owners, "chunk_id"),
+            # One row per chunk: a rewrite moves chunks, not terms.
+            "postings": chunk_postings(forward_index(embedded, ["doc_id"]), ["doc_id"]),
         }
         came = materialize(batch.select("doc_id").distinct(), "documents")
         touched = store.touched(came)
+        came = measured_broadcast(came, settings.max_broadcast_bytes)
         tables = {}
         for name, rows in fresh.items():
             columns = store.schemas[name].fieldNames()
@@ -293,7 +295,7 @@ def enriched_chunks(spark: SparkSession, root: str, settings: Settings = DEFAULT
 
 def enriched_postings(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:
     store = enriched_store(spark, root, settings)
-    return store.read("postings", store.last_commit())
+    return posting_rows(store.read("postings", store.last_commit()), ["doc_id"])
 
 
 def enriched_vectors(spark: SparkSession, root: str, settings: Settings = DEFAULTS) -> DataFrame:

@@ -125,3 +125,14 @@ def test_mentions_are_searched_from_their_first_letters(spark):
         assert ahead.startswith("(?=[")
         found = rows.select(F.regexp_extract_all("t", F.lit(ahead + "(?iU)" + rest), F.lit(0)), F.regexp_extract_all("t", F.lit("(?iU)" + rest), F.lit(0))).collect()
         assert all(a == b for a, b in found) and sum(len(a) for a, _ in found) >= 4
+
+
+def test_postings_carry_their_document_without_a_shuffle(spark):
+    chunks = spark.createDataFrame([("d:0", "d", "one two one"), ("e:0", "e", "two"), ("f:0", None, "")], "chunk_id string, doc_id string, text string")
+    chunks = chunks.withColumns({c: F.lit("") for c in ("arxiv_id", "title", "section_title")})
+    nested = lexical.chunk_postings(lexical.forward_index(chunks, ["doc_id"]), ["doc_id"])
+    assert {r.chunk_id: sorted(map(tuple, r.terms)) for r in nested.collect()} == {"d:0": [("one", 2), ("two", 1)], "e:0": [("two", 1)], "f:0": []}
+    assert lexical.chunk_postings(lexical.forward_index(chunks.where("text = ''"))).count() == 1
+    found = lexical.posting_rows(nested, ["doc_id"])
+    assert {(r.term, r.doc_id, r.tf) for r in found.collect()} == {("one", "d", 2), ("two", "d", 1), ("two", "e", 1)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
