@@ -41,14 +41,10 @@ _STORED_ID = (
 def references(spark, sf_dir):
     mined = extract.mine_texts(reference_texts(spark, sf_dir))
     order = F.col("found_in").cast("long") * 100000 + F.when(F.col("kind") == "doi", 50000).otherwise(0) + F.col("position")
-    rows = mined.withColumn("seq", order)
-    kinds = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.expr(_KIND_OF).alias("kind_of"))
-    numbered = rows.select("seq", F.col("found_in").cast("long").alias("n"), *[
-        F.col("kind").alias("ref_type"), F.col("value").alias("normalized_value"), F.col("source_url").alias("source_ref")
-    ])
-    return numbered.join(kinds, "n").select(
-        "seq", "ref_type", "normalized_value", F.col("kind_of").alias("source_kind"), "source_ref",
-        (F.lit(NOW - 1000) + F.col("n") % 100).cast("long").alias("discovered_at_unix"),
+    rows = mined.withColumns({"seq": order, "n": F.col("found_in").cast("long"), "source": F.col("source_repo")})
+    return rows.select(
+        "seq", F.col("kind").alias("ref_type"), F.col("value").alias("normalized_value"), F.expr(_KIND_OF).alias("source_kind"),
+        F.col("source_url").alias("source_ref"), (F.lit(NOW - 1000) + F.col("n") % 100).cast("long").alias("discovered_at_unix"),
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from citeloom.checks import incremental, inputs, selection
+from citeloom.checks import corpus_state, incremental, inputs, selection
 from citeloom.config import DEFAULTS
 from citeloom.operators import chunk_store, extract, lexical, resolve
 from citeloom.operators.chunking import chunk_sections
@@ -136,3 +136,10 @@ def test_postings_carry_their_document_without_a_shuffle(spark):
     found = lexical.posting_rows(nested, ["doc_id"])
     assert {(r.term, r.doc_id, r.tf) for r in found.collect()} == {("one", "d", 2), ("two", "d", 1), ("two", "e", 1)}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_take_their_kind_from_the_mined_row(spark, sf_dir):
+    mined = corpus_state.references(spark, sf_dir)
+    assert "Join" not in mined._jdf.queryExecution().executedPlan().toString()
+    kinds = {(r.source_ref.rsplit("/", 1)[1], r.source_kind) for r in mined.select("source_ref", "source_kind").distinct().collect()}
+    assert ("src0", "curated_repo") in kinds and len(dict(kinds)) == len(kinds)
