@@ -326,3 +326,61 @@ def test_repeats_beyond_the_broadcast_bound(spark):
     small = {r.page_id: (r.text, r.n_covered) for r in html_text.extract(frame).collect()}
     large = {r.page_id: (r.text, r.n_covered) for r in html_text.extract(frame, broadcast_rows=0).collect()}
     assert small == large and all(c == 20 for _, c in small.values())
+
+
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_anchors_of_pages_move_in_few_bytes(spark):
+    draw = random.Random(5)
+    rows = [(k, "http://a.com/", f"<div>{' '.join(f'w{draw.randrange(10**9)}' for _ in range(1000))}</div>") for k in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    before = shuffled(spark)
+    assert all(r.n_tokens == 1000 and r.n_covered == 0 for r in html_text.extract(frame).collect())
+    assert shuffled(spark) - before < 2.5 * 400 * 1000  # bytes a token; 6.5 with one row per anchor
+
+
+def test_pages_of_one_short_checksum_differ(spark):
+    notice = " ".join(f"n{i}" for i in range(20))
+    own = " ".join(f"w{i}" for i in range(30))
+    drawn = spark.range(300_000).select(F.format_string(f"<div>{own} %d</div><div>{notice}</div>", "id").alias("html"))
+    one, two = drawn.groupBy(F.hash("html")).agg(F.sort_array(F.collect_list("html")).alias("all")).where("size(all) > 1").first()["all"][:2]
+    frame = spark.createDataFrame([(0, "http://a.com/", one), (1, "http://a.com/", two)], "page_id long, url string, html string")
+    assert [r.n_covered for r in html_text.extract(frame).collect()] == [50, 50]
+
+
+def test_copies_of_pages_take_the_verdict_of_the_first(spark):
+    notice = " ".join(f"n{i}" for i in range(20))
+    page = lambda k: f"<div>{' '.join(f'w{k}x{i}' for i in range(30))}</div><div>{notice}</div>"
+    rows = [(k, "http://a.com/", page(k % 3)) for k in range(60)] + [(k, f"http://b{k}.com/", page(0)) for k in (60, 61)]
+    rows += [(k, "http://c.com/", page(9)) for k in (62, 63)] + [(64, "http://d.com/", None), (65, "http://d.com/", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for bound in (1000, 0):
+        found = {r.page_id: r for r in html_text.extract(frame, broadcast_rows=bound).collect()}
+        assert len(found) == 66 and all(found[k].n_covered == 20 and notice not in found[k].text for k in range(60))
+        assert all(found[k].n_covered == 0 and found[k].text.endswith(notice) for k in (60, 61, 62, 63))
+        assert found[64].text == found[65].text == ""
+
+
+def test_a_full_bitmap_and_small_packs_change_no_repeat(spark, monkeypatch):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("abcdef") for _ in range(draw.randrange(90))) for _ in range(120)]
+    frame = spark.createDataFrame([(k, "a.com", text) for k, text in enumerate(texts)], "row long, host string, texts string").repartition(3)
+    expected = {k: flags for k, flags in enumerate(html_text.covered_tokens([t.split(" ") if t else [] for t in texts]))}
+    for held, width in ((2_000_000, 30), (50, 15)):
+        monkeypatch.setattr(html_text, "HELD_CODES", held)
+        found = {r.row: r.starts for r in html_text.covered_starts(frame, most_width=width).collect()}
+        for k, flags in expected.items():
+            covered = np.zeros(len(flags), bool)
+            for start in found.get(k, []):
+                covered[start : start + html_text.LONG] = True
+            assert (covered == flags).all()
+    many = np.random.default_rng(2).integers(0, 2**html_text.CODE_BITS, 30_000)
+    anchors = spark.createDataFrame([(int(a),) for a in many[:20_000]], "anchor long")
+    for width in (15, 18, 30):
+        bitmap = html_text._bitmap(anchors, width)
+        held = html_text._held(bitmap, many)
+        assert held[:20_000].all() and (width < 30 or held[20_000:].mean() < 0.01)
