@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -372,6 +373,7 @@ def test_a_full_bitmap_and_small_packs_change_no_repeat(spark, monkeypatch):
     expected = {k: flags for k, flags in enumerate(html_text.covered_tokens([t.split(" ") if t else [] for t in texts]))}
     for held, width in ((2_000_000, 30), (50, 15)):
         monkeypatch.setattr(html_text, "HELD_CODES", held)
+        monkeypatch.setattr(html_text, "HELD_RUNS", held)
         found = {r.row: r.starts for r in html_text.covered_starts(frame, most_width=width).collect()}
         for k, flags in expected.items():
             covered = np.zeros(len(flags), bool)
@@ -384,3 +386,11 @@ def test_a_full_bitmap_and_small_packs_change_no_repeat(spark, monkeypatch):
         bitmap = html_text._bitmap(anchors, width)
         held = html_text._held(bitmap, many)
         assert held[:20_000].all() and (width < 30 or held[20_000:].mean() < 0.01)
+
+
+def test_one_place_of_a_hot_run_per_batch_meets_the_others():
+    runs = pd.DataFrame({"h": [5] * 1000 + [6, 6, 7], "g": [1] * 1003, "row": [*range(1000), 3, 3, 4], "at": [2] * 1000 + [0, 9, 1]})
+    met = html_text._met([runs[:400], runs[400:]])
+    assert sorted(zip(met["row"], met["at"], strict=True)) == sorted(zip(runs["row"], runs["at"], strict=True))
+    assert met.groupby(["h", "g"]).size().max() == 2 and met["sure"].sum() == 1000  # a page's own repeat is not sure
+    assert met[(met["h"] == 5) & (met["g"] == 1)]["sure"].all()
