@@ -37,6 +37,35 @@ def epoch(c: str) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
 
 
+# What no XML 1.0 text can hold, and the noncharacters that stand for it, one for one, so that cuts by length stay. Unicode keeps
+# them for such inner use; a text that holds them itself would not come back as it was.
+_NOT_XML = "".join(map(chr, [*range(9), 0x0B, *range(0x0E, 0x20), 0xFFFE, 0xFFFF]))
+_STAND_IN = "".join(chr(0xFDD0 + i) for i in range(len(_NOT_XML)))
+_BLANK = chr(0xFDD0 + len(_NOT_XML))
+
+
+def xml_text(c: str) -> Column:
+    """A column as it stands inside an XML document; ``of_xml`` reads it back. A form feed becomes the blank that it counts as."""
+    text = F.translate(c, _NOT_XML + "\f", _STAND_IN + " ")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def xml_paragraph(c: str) -> Column:
+    """``xml_text`` that is never blank, so that it stays a paragraph: blank text and null become a mark, which ``of_xml`` drops."""
+    return F.when(holds_text(xml_text(c)), xml_text(c)).otherwise(_BLANK)
+
+
+def holds_text(c: Column) -> Column:
+    return c.rlike(r"(?U)\S")
+
+
+def of_xml(c: str) -> Column:
+    # translate() would drop what it turns into a zero, so the first character goes its own way.
+    return F.replace(F.translate(c, _STAND_IN[1:] + _BLANK, _NOT_XML[1:]), F.lit(_STAND_IN[0]), F.lit(_NOT_XML[0]))
+
+
 # The same text runs in both engines. The id grammar has room for 799,900,000 papers; larger tables repeat ids.
 PAPER_ID = (
     "concat(lpad(cast(2001 + cast(floor({0} / 100000) as bigint) % 7999 as string), 4, '0'), '.',"
