@@ -46,7 +46,7 @@ _BLANK = chr(0xFDD0 + len(_NOT_XML))
 
 def xml_text(c: str) -> Column:
     """A column as it stands inside an XML document; ``of_xml`` reads it back. A form feed becomes the blank that it counts as."""
-    text = F.translate(c, _NOT_XML + "\f", _STAND_IN + " ")
+    text = F.when(F.col(c).rlike(f"[{_NOT_XML[:-2]}\f{_NOT_XML[-2]}-{_NOT_XML[-1]}]"), F.translate(c, _NOT_XML + "\f", _STAND_IN + " ")).otherwise(F.col(c))
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
     return text
@@ -54,16 +54,18 @@ def xml_text(c: str) -> Column:
 
 def xml_paragraph(c: str) -> Column:
     """``xml_text`` that is never blank, so that it stays a paragraph: blank text and null become a mark, which ``of_xml`` drops."""
-    return F.when(holds_text(xml_text(c)), xml_text(c)).otherwise(_BLANK)
+    return F.when(holds_text(c), xml_text(c)).otherwise(_BLANK)
 
 
-def holds_text(c: Column) -> Column:
-    return c.rlike(r"(?U)\S")
+def holds_text(c: str) -> Column:
+    """Whether ``xml_text`` holds more than white space; a vertical tab is none, as it travels as another character."""
+    return F.col(c).rlike(r"(?U)[\S\x0B]")
 
 
 def of_xml(c: str) -> Column:
     # translate() would drop what it turns into a zero, so the first character goes its own way.
-    return F.replace(F.translate(c, _STAND_IN[1:] + _BLANK, _NOT_XML[1:]), F.lit(_STAND_IN[0]), F.lit(_NOT_XML[0]))
+    back = F.replace(F.translate(c, _STAND_IN[1:] + _BLANK, _NOT_XML[1:]), F.lit(_STAND_IN[0]), F.lit(_NOT_XML[0]))
+    return F.when(F.col(c).rlike(f"[{_STAND_IN[0]}-{_BLANK}]"), back).otherwise(F.col(c))
 
 
 # The same text runs in both engines. The id grammar has room for 799,900,000 papers; larger tables repeat ids.
