@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.ids import catalogue_batch_key, catalogue_keys, is_curatable
 from citeloom.functions.scoring import TierThresholds, impact_score, peer_reviewed, quality_tier
 from citeloom.functions.text import strip
+from citeloom.operators.ordered import keyed_join
 from citeloom.schemas import METRICS
 
 
@@ -15,7 +16,7 @@ def stale_or_missing(ids: DataFrame, metrics: DataFrame, refresh_days: int, now_
     """Ids without a metric row, without a time, or older than the cutoff."""
     cutoff = now_unix - max(refresh_days, 0) * 86400
     known = metrics.select("arxiv_id", F.col("updated_at").alias("__at"))
-    return ids.join(known, "arxiv_id", "left").filter(F.col("__at").isNull() | (F.col("__at") < cutoff)).drop("__at")
+    return keyed_join(ids, known, "arxiv_id", "left").filter(F.col("__at").isNull() | (F.col("__at") < cutoff)).drop("__at")
 
 
 def look_up(ids: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def look_up(ids: DataFrame, catalogue: DataFrame) -> DataFrame:
     payload = [c for c in catalogue.columns if c != "paper_key"]
     forms = F.array_distinct(F.concat(F.array(catalogue_batch_key("arxiv_id")), catalogue_keys("arxiv_id")))
     asked = ids.select("arxiv_id", F.posexplode(forms).alias("__pos", "paper_key")).filter(F.col("paper_key") != "")
-    found = asked.join(catalogue, "paper_key").groupBy("arxiv_id").agg(
+    found = keyed_join(asked, catalogue, "paper_key", "inner").groupBy("arxiv_id").agg(
         F.min_by(F.struct(*payload), "__pos").alias("__hit")
     )
     return found.select("arxiv_id", *[F.col("__hit")[c].alias(c) for c in payload])

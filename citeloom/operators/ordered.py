@@ -84,6 +84,12 @@ def measured_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def keyed_join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+    """A join on a key that is as frequent as the rows of a whole table: both sides are shuffled. Spark takes a stored table for as
+    small as its compressed columns, and would send the keys of a corpus through the driver as a hash table of many times that size."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def id_batches(ids: DataFrame, id_col: str, seq: str, batch_size: int) -> DataFrame:
     """Ids in order, cut into batches of a fixed size: (batch_no, ids)."""
     numbered = running_totals(ids.select(id_col, seq), seq, {"__n": F.lit(1)})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.config import DEFAULTS, Settings
 from citeloom.functions.ids import ABS_URL_PREFIX, base_of_versioned, file_stem, retry_at
 from citeloom.functions.text import blank_to_null
+from citeloom.operators.ordered import keyed_join
 from citeloom.schemas import CANDIDATES
 from citeloom.session import materialize_observed
 
@@ -30,12 +31,12 @@ def ready_candidates(candidates: DataFrame, limit: int | None, now_unix: int) ->
 def to_papers(selected: DataFrame, documents: DataFrame) -> DataFrame:
     """Selected candidates as papers to ingest; ``blocked_reason`` marks those without a PDF URL.
 
-    The selection is a queue batch, so its keys go to the documents table and not the other way round.
+    A pass may take the whole queue, so neither side is small.
     """
-    found = documents.join(selected.select("doc_id"), "doc_id", "left_semi").select(
+    found = keyed_join(documents, selected.select("doc_id"), "doc_id", "left_semi").select(
         "doc_id", "arxiv_id", "arxiv_id_with_version", "doi", "pdf_url", "provenance_kind"
     )
-    joined = selected.select("doc_id", "best_pdf_url").join(found, "doc_id", "left")
+    joined = keyed_join(selected.select("doc_id", "best_pdf_url"), found, "doc_id", "left")
     versioned = F.coalesce(blank_to_null("arxiv_id_with_version"), F.col("doc_id"))
     paper = F.coalesce(blank_to_null("arxiv_id"), base_of_versioned(versioned))
     url = F.coalesce(F.nullif("best_pdf_url", F.lit("")), blank_to_null("pdf_url"))
@@ -54,7 +55,7 @@ def require_cached(papers: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select("file_stem").distinct().withColumn("__cached", F.lit(True))
     missing = F.when(F.col("__cached").isNull(), F.lit("cache_only_missing_pdf"))
     return (
-        papers.join(known, "file_stem", "left")
+        keyed_join(papers, known, "file_stem", "left")
         .withColumn("blocked_reason", F.coalesce("blocked_reason", missing))
         .drop("__cached")
     )
@@ -72,7 +73,7 @@ def apply_results(
         F.max_by(F.struct("status", "reason"), "seq").alias("last"),
         F.count_if(F.col("status").isin(*FAILED_ATTEMPTS)).alias("failures"),
     )
-    joined = candidates.join(attempts, "doc_id", "full")
+    joined = keyed_join(candidates, attempts, "doc_id", "full")
     touched = F.col("last").isNotNull()
     retries = (F.coalesce("retry_count", F.lit(0)) + F.coalesce("failures", F.lit(0))).cast("int")
     failing = F.col("last.status").isin(*FAILED_ATTEMPTS)
@@ -90,12 +91,12 @@ def apply_results(
 
 def apply_results_to_documents(documents: DataFrame, candidates: DataFrame, results: DataFrame, now_unix: int) -> DataFrame:
     """Documents take the status their candidate ended with."""
-    ended = candidates.join(results.select("doc_id").distinct(), "doc_id", "left_semi").select(
+    ended = keyed_join(candidates, results.select("doc_id").distinct(), "doc_id", "left_semi").select(
         "doc_id", F.col("status").alias("__status")
     )
     changed = F.col("__status").isNotNull()
     return (
-        documents.join(ended, "doc_id", "left")
+        keyed_join(documents, ended, "doc_id", "left")
         .withColumns(
             {
                 "status": F.coalesce("__status", "status"),

@@ -15,7 +15,7 @@ from citeloom.operators.chunking import chunk_sections, extract_sections
 from citeloom.operators.graph import GraphState, fold_batch, reference_events, resolution_events
 from citeloom.operators.models import Embedder, embed
 from citeloom.schemas import PAPERS
-from citeloom.operators.ordered import first_in_order
+from citeloom.operators.ordered import first_in_order, is_small, keyed_join
 from citeloom.session import materialize, materialize_observed, small_batches
 from citeloom.sources.files import is_written, numbered, paper_id_lines, read_references, read_resolutions, require_rows, write_run
 
@@ -125,6 +125,8 @@ def select_from_lines(lines: DataFrame, fetched: DataFrame, papers: DataFrame, l
 
 # --- ingest --------------------------------------------------------------------------------------------------
 
+HASHED = 8  # times its measured bytes that a column of short keys takes as a broadcast hash table, at most
+
 
 @dataclass(frozen=True)
 class Library:
@@ -144,7 +146,7 @@ def chunk_papers(papers: DataFrame, fulltexts: DataFrame, settings: Settings = D
     A paper whose text is absent or unreadable gives an error row and touches nothing else.
     """
     small_batches(papers.sparkSession)
-    texts = papers.join(fulltexts.select("file_stem", "xml"), "file_stem", "left")
+    texts = keyed_join(papers, fulltexts.select("file_stem", "xml"), "file_stem", "left")
     parsed = texts.withColumn("__s", extract_sections("xml")).select("*", "__s.sections", "__s.error").drop("__s", "xml")
     missing = F.when(F.col("sections").isNull(), "full text not found")
     errors = parsed.select("doc_id", F.coalesce("error", missing).alias("error")).filter(F.col("error").isNotNull())
@@ -162,16 +164,18 @@ def ingest_batch(
         listed = queue.require_cached(listed, fulltexts)
     listed = materialize(listed, "queue-batch")
     papers = listed.filter(F.col("blocked_reason").isNull())
-    # Only the batch's own texts are read on; the full-text table is filtered by its stems.
-    texts = fulltexts.join(papers.select("file_stem"), "file_stem", "left_semi")
-    chunks, errors = chunk_papers(papers, texts, settings)
+    # Of a small batch only its own texts are shuffled; the full-text table is filtered by its stems.
+    stems = papers.select("file_stem")
+    if is_small(stems, settings.max_broadcast_bytes // HASHED):
+        fulltexts = fulltexts.join(F.broadcast(stems), "file_stem", "left_semi")
+    chunks, errors = chunk_papers(papers, fulltexts, settings)
     chunks = materialize(
         embed(chunks, "text", "embedding", embedder, settings.embed_batch_size).withColumn("seq", F.col("chunk_index").cast("long")),
         "chunks",
     )
     failed = errors.select("doc_id", F.lit("pipeline_failed").alias("failure"))
     outcomes = materialize(
-        listed.join(failed, "doc_id", "left").select(
+        keyed_join(listed, failed, "doc_id", "left").select(
             "doc_id",
             F.when(F.col("blocked_reason").isNotNull(), "blocked").when(F.col("failure").isNotNull(), "failed")
             .otherwise("ingested").alias("outcome"),
@@ -179,7 +183,7 @@ def ingest_batch(
         ),
         "outcomes",
     )
-    with_text = papers.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
+    with_text = keyed_join(papers, chunks.select("doc_id").distinct(), "doc_id", "left_semi")
     empty = F.lit(None).cast("string")
     rows = with_text.select(
         "arxiv_id", "doc_id", "arxiv_id_with_version", empty.alias("version"), "title", F.lit("").alias("summary"),
